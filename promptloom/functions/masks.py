@@ -67,8 +67,11 @@ def mask_completion(ids, marker: list[int], occurrence: str = "last") -> Column:
 
     starts = F.transform(ids, lambda x, i: F.when(found(i), i))
     start = F.array_max(starts) if occurrence == "last" else F.array_min(starts)
-    first_kept = F.coalesce(start + len(marker), F.size(ids))
-    return F.transform(ids, lambda x, i: F.when(i < first_kept, F.lit(IGNORE)).otherwise(x))
+    skipped = F.coalesce((start + len(marker)).cast("int"), F.size(ids))
+    # put together from two arrays: a lambda would search for the marker again at every position
+    return F.concat(
+        F.array_repeat(F.lit(IGNORE), skipped), F.slice(ids, skipped + 1, F.size(ids))
+    )
 
 
 def mask_flagged(ids, flags) -> Column:

@@ -72,10 +72,12 @@ def with_opening(
 ) -> DataFrame:
     """Adds to ``df`` the opening system text of its conversation in ``rows``, or the default.
 
-    The text is carried to every part, so the join has at most ``part_size`` rows per key.
+    The text is carried to every part, so the join has at most ``part_size`` rows per key.  Until
+    then only the role of a part's first message and the text of system turns are moved.
     """
+    said = F.when(F.col(role) == "system", F.col(content))
     opening = rows.groupBy(key, part_of(order, part_size).alias("_part")).agg(
-        F.min_by(F.struct(F.col(role).alias("r"), F.col(content).alias("c")), order).alias("_m")
+        F.min_by(F.struct(F.col(role).alias("r"), said.alias("c")), order).alias("_m")
     )
     first = F.first("_m").over(Window.partitionBy(key).orderBy("_part"))
     carried = opening.select(key, "_part", first.alias("_m"))

@@ -181,11 +181,16 @@ def head(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def prefix_share(df: DataFrame, parts: int, order: list[Column]) -> DataFrame:
-    """The first ``int(rows / parts)`` rows of a total order, at any size."""
-    ranked = global_rank(df, order, "_pos")
+def prefix_share(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """The first ``int(rows / parts)`` rows by a unique ``key``, at any size.
+
+    Only the key column is ranked; the rows themselves are then filtered by one bound, which
+    reaches the scan.
+    """
+    ranked = global_rank(df.select(key), [F.asc(key)], "_pos")
     total = df.agg(F.count(F.lit(1))).scalar()
-    return ranked.filter(F.col("_pos") <= F.floor(total / parts)).drop("_pos")
+    bound = ranked.filter(F.col("_pos") == F.floor(total / parts)).select(key)
+    return df.filter(F.col(key) <= bound.scalar())
 
 
 # --- exact splits ---------------------------------------------------------------------------------

@@ -49,24 +49,41 @@ def _is_head() -> Column:
     return (F.col("id") < HEAD) & (F.length("token") <= HEAD_LENGTH)
 
 
-def _looked_up(rows: DataFrame, vocab: DataFrame, by: str, want: str) -> DataFrame:
-    """``rows`` with ``want`` from the vocabulary: broadcast for its head, a shuffle for the rest."""
+def _by_key(df: DataFrame, key: list[str]) -> DataFrame:
+    """Partitioned by a key that is never null.
+
+    The filter is the one a later join on the key would add to one of its sides; with it both sides
+    are the same and share one shuffle.
+    """
+    for column in key:
+        df = df.filter(F.col(column).isNotNull())
+    return df.repartition(*key)
+
+
+def _looked_up(
+    rows: DataFrame, key: list[str], vocab: DataFrame, by: str, want: str, entry: list[Column]
+) -> DataFrame:
+    """``key, _entries``: each row's entries in order, with ``want`` from the vocabulary.
+
+    ``rows`` come partitioned by ``key``, so the broadcast lookups and the grouping after them stay
+    in the same task; only what the head of the vocabulary lacks is shuffled to its tail.
+    """
     vocab = vocab.select("id", "token")
-    head = rows.join(F.broadcast(vocab.filter(_is_head())), by, "left")
+    looked = rows.join(F.broadcast(vocab.filter(_is_head())), by, "left")
+    found = looked.groupBy(*key).agg(
+        F.collect_list(F.when(F.col(want).isNotNull(), F.struct(*entry))).alias("_found")
+    )
     rest = (
-        head.filter(F.col(want).isNull())
+        looked.filter(F.col(want).isNull())
         .drop(want)
         .join(vocab.filter(~_is_head()), by, "left")
-        .select(*head.columns)
-    )
-    return head.filter(F.col(want).isNotNull()).unionByName(rest)
-
-
-def _in_order(entry: Column) -> Column:
-    """The entries of one row by position, without the placeholder of an empty row."""
-    return F.filter(
-        F.array_sort(F.collect_list(entry)), lambda e: e.getField("_pos").isNotNull()
+        .groupBy(*key)
+        .agg(F.collect_list(F.struct(*entry)).alias("_rest"))
     )
+    entries = F.when(F.col("_rest").isNull(), F.col("_found")).otherwise(F.concat("_found", "_rest"))
+    # the placeholder of an empty row has no position
+    entries = F.filter(F.array_sort(entries), lambda e: e.getField("_pos").isNotNull())
+    return found.join(rest, key, "left").select(*key, entries.alias("_entries"))
 
 
 def encode(
@@ -74,25 +91,24 @@ def encode(
 ) -> DataFrame:
     """``key, out``: the ids of each row's token array, unknown tokens as ``<unk>``.
 
-    ``tags`` is an optional parallel array that comes back as ``tags``.  Only (key, position, token)
-    is exploded, and a group is put together again from one row's tokens.
+    ``key`` is unique and not null.  ``tags`` is an optional parallel array that comes back as ``tags``.
     """
     key = as_list(key)
-    source = df.select(*key, toks.alias("_toks"), *([tags.alias("_tags")] if tags is not None else []))
+    tagged = tags is not None
+    source = _by_key(df, key).select(
+        *key, toks.alias("_toks"), *([tags.alias("_tags")] if tagged else [])
+    )
     # a row without tokens keeps one padding entry without a position, so that it is not lost
     exploded = source.select("*", F.posexplode_outer("_toks").alias("_pos", "token"))
-    tag = [F.get("_tags", F.col("_pos")).alias("_tag")] if tags is not None else []
     rows = exploded.select(
-        *key, "_pos", F.coalesce("token", F.lit(SPECIALS[PAD])).alias("token"), *tag
-    )
-    entry = F.struct(
-        "_pos", F.coalesce("id", F.lit(UNK)).alias("id"), *(["_tag"] if tags is not None else [])
+        *key, "_pos", F.coalesce("token", F.lit(SPECIALS[PAD])).alias("token"),
+        *([F.get("_tags", F.col("_pos")).alias("_tag")] if tagged else []),
     )
-    ids = _looked_up(rows, vocab, "token", "id").groupBy(*key).agg(_in_order(entry).alias("_ids"))
-    columns = [F.transform("_ids", lambda e: e.id).alias(out)]
-    if tags is not None:
-        columns.append(F.transform("_ids", lambda e: e.getField("_tag")).alias("tags"))
-    return ids.select(*key, *columns)
+    entry = [F.col("_pos"), F.coalesce("id", F.lit(UNK)).alias("id")]
+    entry += [F.col("_tag")] if tagged else []
+    columns = [F.col("_entries.id").alias(out)]
+    columns += [F.col("_entries._tag").alias("tags")] if tagged else []
+    return _looked_up(rows, key, vocab, "token", "id", entry).select(*key, *columns)
 
 
 def decode(
@@ -100,11 +116,13 @@ def decode(
 ) -> DataFrame:
     """``key, out``: the tokens of each id array joined by blanks, special ones left out."""
     key = as_list(key)
-    rows = df.select(*key, F.posexplode_outer(ids).alias("_pos", "id"))
+    rows = _by_key(df, key).select(*key, F.posexplode_outer(ids).alias("_pos", "id"))
     rows = rows.withColumn("id", F.coalesce("id", F.lit(PAD)))
-    entry = F.struct("_pos", "id", "token")
-    texts = _looked_up(rows, vocab, "id", "token").groupBy(*key).agg(_in_order(entry).alias("_toks"))
-    kept = F.filter("_toks", lambda e: e.id >= len(SPECIALS)) if skip_special else F.col("_toks")
+    entry = [F.col("_pos"), F.col("id"), F.col("token")]
+    texts = _looked_up(rows, key, vocab, "id", "token", entry)
+    kept = F.col("_entries")
+    if skip_special:
+        kept = F.filter(kept, lambda e: e.id >= len(SPECIALS))
     return texts.select(*key, F.array_join(F.transform(kept, lambda e: e.token), " ").alias(out))
 
 

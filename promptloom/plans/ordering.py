@@ -54,7 +54,7 @@ def split_grouped(spark: SparkSession, folder: str) -> DataFrame:
     ORDER BY doc_id LIMIT (SELECT count(*) // 6 FROM documents)""")
 def prefix_fraction(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "lang")
-    return order.prefix_share(docs, 6, [F.asc("doc_id")])
+    return order.prefix_share(docs, 6, "doc_id")
 
 
 @query("cap_samples", "SELECT * FROM conversations ORDER BY conv_id, turn LIMIT 100")
