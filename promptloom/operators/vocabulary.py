@@ -46,7 +46,7 @@ def build_vocab(df: DataFrame, toks: Column, max_size: int | None = None) -> Dat
 
 
 def _is_head() -> Column:
-    return (F.col("id") < HEAD) & (F.length("token") <= HEAD_LENGTH)
+    return (F.col("_id") < HEAD) & (F.length("_token") <= HEAD_LENGTH)
 
 
 def _by_key(df: DataFrame, key: list[str]) -> DataFrame:
@@ -68,7 +68,7 @@ def _looked_up(
     ``rows`` come partitioned by ``key``, so the broadcast lookups and the grouping after them stay
     in the same task; only what the head of the vocabulary lacks is shuffled to its tail.
     """
-    vocab = vocab.select("id", "token")
+    vocab = vocab.select(F.col("id").alias("_id"), F.col("token").alias("_token"))
     looked = rows.join(F.broadcast(vocab.filter(_is_head())), by, "left")
     found = looked.groupBy(*key).agg(
         F.collect_list(F.when(F.col(want).isNotNull(), F.struct(*entry))).alias("_found")
@@ -99,16 +99,16 @@ def encode(
         *key, toks.alias("_toks"), *([tags.alias("_tags")] if tagged else [])
     )
     # a row without tokens keeps one padding entry without a position, so that it is not lost
-    exploded = source.select("*", F.posexplode_outer("_toks").alias("_pos", "token"))
+    exploded = source.select("*", F.posexplode_outer("_toks").alias("_pos", "_token"))
     rows = exploded.select(
-        *key, "_pos", F.coalesce("token", F.lit(SPECIALS[PAD])).alias("token"),
+        *key, "_pos", F.coalesce("_token", F.lit(SPECIALS[PAD])).alias("_token"),
         *([F.get("_tags", F.col("_pos")).alias("_tag")] if tagged else []),
     )
-    entry = [F.col("_pos"), F.coalesce("id", F.lit(UNK)).alias("id")]
+    entry = [F.col("_pos"), F.coalesce("_id", F.lit(UNK)).alias("id")]
     entry += [F.col("_tag")] if tagged else []
     columns = [F.col("_entries.id").alias(out)]
     columns += [F.col("_entries._tag").alias("tags")] if tagged else []
-    return _looked_up(rows, key, vocab, "token", "id", entry).select(*key, *columns)
+    return _looked_up(rows, key, vocab, "_token", "_id", entry).select(*key, *columns)
 
 
 def decode(
@@ -116,10 +116,10 @@ def decode(
 ) -> DataFrame:
     """``key, out``: the tokens of each id array joined by blanks, special ones left out."""
     key = as_list(key)
-    rows = _by_key(df, key).select(*key, F.posexplode_outer(ids).alias("_pos", "id"))
-    rows = rows.withColumn("id", F.coalesce("id", F.lit(PAD)))
-    entry = [F.col("_pos"), F.col("id"), F.col("token")]
-    texts = _looked_up(rows, key, vocab, "id", "token", entry)
+    rows = _by_key(df, key).select(*key, F.posexplode_outer(ids).alias("_pos", "_id"))
+    rows = rows.withColumn("_id", F.coalesce("_id", F.lit(PAD)))
+    entry = [F.col("_pos"), F.col("_id").alias("id"), F.col("_token").alias("token")]
+    texts = _looked_up(rows, key, vocab, "_id", "_token", entry)
     kept = F.col("_entries")
     if skip_special:
         kept = F.filter(kept, lambda e: e.id >= len(SPECIALS))

@@ -12,6 +12,8 @@ from promptloom.functions.text import path_folder, path_leaf
 CSV_OPTIONS = {
     "header": True, "multiLine": True, "quote": '"', "escape": '"',
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    # an unquoted empty cell is null, a quoted one the empty text
+    "nullValue": "\u0000", "emptyValue": "",
 }
 
 
@@ -43,8 +45,7 @@ def read_columnar(spark: SparkSession, path: str, schema, multi_line: bool = Fal
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     """CSV with a header.  An empty unquoted cell is null, a quoted one the empty text."""
-    reader = spark.read.schema(_schema(schema)).options(**CSV_OPTIONS)
-    return reader.option("emptyValue", "").csv(path)
+    return spark.read.schema(_schema(schema)).options(**CSV_OPTIONS).csv(path)
 
 
 def read_csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -56,7 +57,7 @@ def read_csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFra
 
 def read_text_tree(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as ``folder, name, value``, where the folder is the one right above."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     location = F.col("_metadata.file_path")
     return files.select(
         path_folder(location).alias("folder"), path_leaf(location).alias("name"), "value"

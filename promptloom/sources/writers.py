@@ -14,9 +14,9 @@ COLUMNAR_ROWS = 4096
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with a header; every cell quoted, so line breaks, quotes and blanks survive."""
+    """CSV with a header; line breaks, quotes, blanks and the empty text survive."""
     df.write.mode(mode).options(
-        header=True, quoteAll=True, quote='"', escape='"', emptyValue="",
+        header=True, quote='"', escape='"', nullValue="", emptyValue='""',
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).csv(path)
 
