@@ -136,23 +136,27 @@ def conversations(spark: SparkSession, folder: str) -> DataFrame:
     return gather_messages(table(spark, folder, "conversations"), "conv_id", "turn")
 
 
+# one row per part of 256 turns; `first` and `last` are the conversation's own
+_PARTS_SQL = """SELECT *, turn // 256 AS part, min(turn) OVER (PARTITION BY conv_id) AS first,
+    max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations"""
 CHATML_SQL = f"""
-    SELECT conv_id, 0 AS part, CASE WHEN arg_min(role, turn) <> 'system'
+    SELECT conv_id, part, string_agg(CASE WHEN turn = first AND role <> 'system'
             THEN {_sql_piece("'system'", "'" + P.DEFAULT_SYSTEM + "'")} ELSE '' END
-        || string_agg({_sql_piece('role', 'text')}, '' ORDER BY turn) AS text
-    FROM conversations GROUP BY conv_id"""
+        || {_sql_piece('role', 'text')}, '' ORDER BY turn) AS text, max(turn) = any_value(last) AS closes
+    FROM ({_PARTS_SQL}) GROUP BY conv_id, part"""
 
 
-@query("chatml", CHATML_SQL)
+@query("chatml", f"SELECT conv_id, part, text FROM ({CHATML_SQL})")
 def chatml(spark: SparkSession, folder: str) -> DataFrame:
     return conversations(spark, folder).select(
         "conv_id", "part", P.chatml("messages", context=F.col("context")).alias("text")
     )
 
 
-@query("role_lines", """
-    SELECT conv_id, 0 AS part, string_agg('<s>' || role || chr(10) || text || '</s>' || chr(10), ''
-        ORDER BY turn) || chr(10) AS text FROM conversations GROUP BY conv_id""")
+@query("role_lines", f"""
+    SELECT conv_id, part, string_agg('<s>' || role || chr(10) || text || '</s>' || chr(10), ''
+        ORDER BY turn) || CASE WHEN max(turn) = any_value(last) THEN chr(10) ELSE '' END AS text
+    FROM ({_PARTS_SQL}) GROUP BY conv_id, part""")
 def role_lines(spark: SparkSession, folder: str) -> DataFrame:
     text = P.role_lines(
         "messages", bos="<s>", eos="</s>", generation_prompt=True, context=F.col("context")
@@ -170,9 +174,10 @@ _REASONING_SQL = """
             AND (turn = last OR reasoning <> '')
         THEN '<think>' || chr(10) || trim(reasoning, chr(10)) || chr(10) || '</think>' || chr(10)
             || chr(10) || ltrim(content, chr(10)) ELSE content END AS body FROM told)
-    SELECT conv_id, 0 AS part, string_agg('<|im_start|>' || role || chr(10) || body || '<|im_end|>'
-        || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS text
-    FROM bodies GROUP BY conv_id"""
+    SELECT conv_id, turn // 256 AS part, string_agg('<|im_start|>' || role || chr(10) || body
+        || '<|im_end|>' || chr(10), '' ORDER BY turn) || CASE WHEN max(turn) = any_value(last)
+        THEN '<|im_start|>assistant' || chr(10) ELSE '' END AS text
+    FROM bodies GROUP BY conv_id, turn // 256"""
 
 
 @query("reasoning_chat", _REASONING_SQL.format(content="text", reasoning="''"))
@@ -197,7 +202,9 @@ def reasoning_history(spark: SparkSession, folder: str) -> DataFrame:
     return gather_messages(turns, "conv_id", "turn").select("conv_id", "part", text.alias("text"))
 
 
-@query("append_eos", f"SELECT conv_id, part, text || '{EOS_TEXT}' AS text FROM ({CHATML_SQL})")
+@query("append_eos", f"""
+    SELECT conv_id, part, text || CASE WHEN closes THEN '{EOS_TEXT}' ELSE '' END AS text
+    FROM ({CHATML_SQL})""")
 def append_eos(spark: SparkSession, folder: str) -> DataFrame:
     text = P.chatml("messages", context=F.col("context"))
     return conversations(spark, folder).select(
