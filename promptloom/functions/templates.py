@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from promptloom.functions.text import lstrip_newlines, rstrip_newlines, strip_newlines
+from promptloom.functions.text import lstrip_newlines, rstrip_newlines, strip_newlines, tokens
 
 # Markup of the chat and instruct formats.
 IM_START = "<|im_start|>"
@@ -156,6 +156,24 @@ def chatml(messages, generation_prompt: bool = False, context: Column | None = N
     return F.concat(*parts)
 
 
+def chatml_tokens(messages) -> Column:
+    """``ARRAY<STRUCT<token, learnt>>`` of the rendering: 1 where an assistant speaks.
+
+    Tokens and tags come from the same messages, so they cannot drift apart.
+    """
+
+    def one(m: Column) -> Column:
+        return F.transform(
+            tokens(chatml_piece(m.role, m.content)),
+            lambda t, i: F.struct(
+                t.alias("token"),
+                F.when((m.role == "assistant") & (i > 0), 1).otherwise(0).alias("learnt"),
+            ),
+        )
+
+    return F.flatten(F.transform(_text(messages), one))
+
+
 def role_lines(
     messages, bos: str = "", eos: str = "", generation_prompt: bool = False,
     context: Column | None = None,

@@ -6,23 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptloom.functions.masks import fit
-from promptloom.operators.order import shuffle_rank
+from promptloom.operators.order import as_list, shuffle_rank
 
 
 def length_groups(
-    df: DataFrame, key, length: str, batch: int, seed: int, most: int = 50
+    df: DataFrame, key, length: str, batch: int, seed: int, most: int = 50, within=()
 ) -> DataFrame:
     """Adds ``megabatch`` and ``pos``: random mega-batches, longest row first in each.
 
-    A mega-batch holds ``min(rows // (4 * batch), most)`` batches, at least one.
+    A mega-batch holds ``min(rows // (4 * batch), most)`` batches, at least one.  With ``within``
+    each split is grouped by itself.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    size = F.greatest(F.least(F.floor(total / (4 * batch)), F.lit(most)), F.lit(1)) * batch
-    ranked = shuffle_rank(df, key, seed, "_rank").withColumn(
+    size = F.least(F.floor(F.col("_total") / (4 * batch)), F.lit(most))
+    size = F.greatest(size, F.lit(1)) * batch
+    ranked = shuffle_rank(df, key, seed, "_rank", within, "_total").withColumn(
         "megabatch", F.floor((F.col("_rank") - 1) / size)
     )
-    inside = Window.partitionBy("megabatch").orderBy(F.desc(length), F.asc("_rank"))
-    return ranked.withColumn("pos", F.row_number().over(inside).cast("bigint")).drop("_rank")
+    inside = Window.partitionBy(*as_list(within), "megabatch").orderBy(
+        F.desc(length), F.asc("_rank")
+    )
+    return ranked.withColumn("pos", F.row_number().over(inside).cast("bigint")).drop(
+        "_rank", "_total"
+    )
 
 
 def grouped_batch(batch: int) -> Column:

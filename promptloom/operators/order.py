@@ -32,34 +32,45 @@ def hash_order(key, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), text))
 
 
-def running_totals(buckets: DataFrame, order: str, count: str) -> DataFrame:
+def running_totals(buckets: DataFrame, order: str, count: str, within=()) -> DataFrame:
     """Adds ``before`` and ``all_rows`` to a bucket table.
 
-    The window has one partition on purpose: a bucket table is bounded by the number of buckets.
+    Without ``within`` the window has one partition on purpose: a bucket table is bounded by the
+    number of buckets.
     """
-    upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*within)
+    upto = every.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return buckets.withColumns(
         {
             "before": F.coalesce(F.sum(count).over(upto), F.lit(0)),
-            "all_rows": F.sum(count).over(Window.partitionBy()),
+            "all_rows": F.sum(count).over(every),
         }
     )
 
 
-def shuffle_rank(df: DataFrame, key, seed: int, rank: str = "rank") -> DataFrame:
-    """Position 1..n of each row in the seeded random order of its unique ``key``."""
+def shuffle_rank(
+    df: DataFrame, key, seed: int, rank: str = "rank", within=(), total: str | None = None
+) -> DataFrame:
+    """Position 1..n of each row in the seeded random order of its unique ``key``.
+
+    ``within`` names columns of a few values, such as the split, that are ranked apart; ``total``
+    also adds the number of rows ranked together.
+    """
+    within = as_list(within)
     keyed = df.withColumn("_hash", hash_order(key, seed)).withColumn(
         "_bucket", F.substring("_hash", 1, BUCKET_DIGITS)
     )
-    sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    totals = running_totals(sizes, "_bucket", "_n").select("_bucket", "before")
-    inside = Window.partitionBy("_bucket").orderBy("_hash", *as_list(key))
-    return (
+    sizes = keyed.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    totals = running_totals(sizes, "_bucket", "_n", within).drop("_n")
+    inside = Window.partitionBy(*within, "_bucket").orderBy("_hash", *as_list(key))
+    ranked = (
         keyed.withColumn("_inside", F.row_number().over(inside))
-        .join(F.broadcast(totals), "_bucket")  # at most 65,536 rows
+        .join(F.broadcast(totals), [*within, "_bucket"])  # at most 65,536 rows for each split
         .withColumn(rank, F.col("before") + F.col("_inside"))
-        .drop("_hash", "_bucket", "_inside", "before")
     )
+    if total:
+        ranked = ranked.withColumn(total, F.col("all_rows"))
+    return ranked.drop("_hash", "_bucket", "_inside", "before", "all_rows")
 
 
 def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:

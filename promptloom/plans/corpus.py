@@ -109,13 +109,13 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(table(spark, folder, "labels"), "doc_id", "left")
 
 
-_NA_SQL = ", ".join(f"'{t}'" for t in X.NA_TOKENS)
+NA_SQL = ", ".join(f"'{t}'" for t in X.NA_TOKENS)
 
 
 @query("drop_null", f"""
     SELECT doc_id, lang, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)
     WHERE quality IS NOT NULL AND toxic IS NOT NULL
-        AND lang NOT IN ({_NA_SQL}) AND source NOT IN ({_NA_SQL})""")
+        AND lang NOT IN ({NA_SQL}) AND source NOT IN ({NA_SQL})""")
 def drop_null(spark: SparkSession, folder: str) -> DataFrame:
     return frames.drop_null(
         labelled(spark, folder).select("doc_id", "lang", "source", "quality", "toxic")
@@ -354,11 +354,13 @@ def unpivot_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("files_map", """
     SELECT conv_id, turn // 256 AS volume, count(*) AS n_files,
-        string_agg(role || '/' || turn || '=' || text, chr(10) ORDER BY turn) AS answer
+        string_agg(role || '/' || turn || '=' || text, chr(10) ORDER BY turn) AS answer,
+        '{' || string_agg(CAST(to_json(role || '/' || turn) AS VARCHAR) || ':'
+            || CAST(to_json(text) AS VARCHAR), ',' ORDER BY turn) || '}' AS answer_json
     FROM conversations GROUP BY 1, 2""")
 def files_map(spark: SparkSession, folder: str) -> DataFrame:
     lines = F.transform(F.map_entries("files"), lambda e: F.concat(e.key, F.lit("="), e.value))
     return case_files(spark, folder).select(
         "conv_id", "volume", F.size("file_tree").cast("bigint").alias("n_files"),
-        F.array_join(lines, "\n").alias("answer"),
+        F.array_join(lines, "\n").alias("answer"), F.to_json("files").alias("answer_json"),
     )

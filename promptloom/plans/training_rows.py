@@ -12,8 +12,10 @@ from promptloom.operators import batches, metrics, order
 from promptloom.operators import vocabulary as V
 from promptloom.operators.chat_rows import chat_rows, chat_token_counts
 from promptloom.operators.messages import chat_pieces
-from promptloom.plans.corpus import PAIRS_SQL, paired
+from promptloom.operators.training_set import Settings, training_set
+from promptloom.plans.corpus import NA_SQL, PAIRS_SQL, paired
 from promptloom.plans.ordering import rank_sql, tokens_sql
+from promptloom.plans.prompts import CHAT_SQL, chat_corpus
 from promptloom.plans.registry import query, table
 
 # The length limits of the published training runs.
@@ -361,3 +363,65 @@ def supervision_report(spark: SparkSession, folder: str) -> DataFrame:
         "assistant": M.mask_flagged("ids", "tags"),
     }
     return metrics.supervision_report(rows, labels)
+
+
+@query("masked_accuracy_arrays", f"""
+    WITH {_CHAT_IDS_SQL},
+    guessed AS (SELECT conv_id, id, learnt, loc > 1 AND learnt AS valid,
+        lag(id) OVER (PARTITION BY conv_id ORDER BY loc) AS guess FROM cut)
+    SELECT conv_id, CAST(sum(CASE WHEN valid AND guess = id THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+        CAST(sum(CASE WHEN valid THEN 1 ELSE 0 END) AS BIGINT) AS valid,
+        round(sum(CASE WHEN valid AND guess = id THEN 1 ELSE 0 END)
+            / nullif(sum(CASE WHEN valid THEN 1 ELSE 0 END), 0), 6) AS accuracy
+    FROM guessed GROUP BY conv_id""")
+def masked_accuracy_arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """A model that always repeats the token before, scored against the next label."""
+    rows = chat_ids(spark, folder).withColumn("labels", M.mask_flagged("ids", "tags"))
+    return metrics.masked_accuracy_arrays(rows, "ids", "labels", ["conv_id"], shift=1)
+
+
+# --- all steps together ---------------------------------------------------------------------------
+
+_TRAINING_SET_SQL = f"""
+    WITH clean AS (SELECT conv_id || ':' || turn AS key, * FROM ({CHAT_SQL})
+        WHERE system NOT IN ({NA_SQL}) AND prompt NOT IN ({NA_SQL}) AND answer NOT IN ({NA_SQL})),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || key)) AS rank,
+        count(*) OVER () AS n FROM clean),
+    parts AS (SELECT *, CASE WHEN rank <= floor(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split
+        FROM ranked),
+    sides AS (SELECT key, split, unnest(['system', 'user', 'assistant']) AS role,
+        unnest([system, prompt, answer]) AS text, unnest([1, 2, 3]) AS side FROM parts),
+    all_toks AS (SELECT key, split, role, side, unnest(t) AS token, generate_subscripts(t, 1) AS p
+        FROM (SELECT *, {tokens_sql("'<|im_start|>' || role || chr(10) || text || '<|im_end|>'")} AS t
+            FROM sides)),
+    toks AS (SELECT token FROM all_toks WHERE split = 'train'), {vocab_sql('toks')},
+    placed AS (SELECT key, coalesce(id, 1) AS id, role = 'assistant' AND p > 1 AS learnt,
+        row_number() OVER (PARTITION BY key ORDER BY side, p) AS loc
+        FROM all_toks LEFT JOIN vocab USING (token)),
+    fitted AS (SELECT key, count(*) AS n_tokens,
+        CAST(sum(CASE WHEN learnt THEN 1 ELSE 0 END) AS BIGINT) AS n_supervised,
+        md5(string_agg(id, ' ' ORDER BY loc)) AS ids_md5,
+        md5(string_agg(CASE WHEN learnt THEN id ELSE -100 END, ' ' ORDER BY loc)) AS labels_md5
+        FROM placed WHERE loc <= {CUTOFF} GROUP BY key),
+    drawn AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5('42:' || key)) AS place,
+        count(*) OVER (PARTITION BY split) AS of_split FROM parts),
+    megas AS (SELECT *, (place - 1) // (greatest(least(of_split // 8, 50), 1) * 2) AS megabatch
+        FROM drawn JOIN fitted USING (key))
+    SELECT conv_id, turn, split, n_tokens, n_supervised, ids_md5, labels_md5, megabatch,
+        row_number() OVER (PARTITION BY split, megabatch ORDER BY n_tokens DESC, place) AS pos
+    FROM megas"""
+
+
+@query("training_set", _TRAINING_SET_SQL)
+def prepared(spark: SparkSession, folder: str) -> DataFrame:
+    corpus = chat_corpus(spark, folder).select(
+        "conv_id", "turn", "system", F.col("prompt").alias("user"),
+        F.col("answer").alias("assistant"),
+    )
+    rows = training_set(corpus, Settings(key=("conv_id", "turn"), cutoff=CUTOFF))
+    return rows.select(
+        "conv_id", "turn", "split", "n_tokens",
+        M.supervised("labels").cast("bigint").alias("n_supervised"),
+        F.md5(M.joined("ids")).alias("ids_md5"), F.md5(M.joined("labels")).alias("labels_md5"),
+        "megabatch", "pos",
+    )
