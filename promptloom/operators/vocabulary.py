@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -129,13 +129,15 @@ def decode(
 def encode_with(make: Callable[[], Callable[[str], Iterable[int]]], text) -> Column:
     """Ids from any other codec, in Arrow batches.
 
-    ``make`` is called once per batch on the executor, so a codec need not be serialisable.
+    ``make`` is called once per task on the executor, so a codec need not be serialisable and may be
+    costly to load.
     """
 
     @pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = make()
-        return texts.map(lambda t: None if t is None else list(codec(t)))
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else list(codec(t)))
 
     return run(text)
 

@@ -16,7 +16,7 @@ from promptloom.operators.training_set import Settings, training_set
 from promptloom.plans.corpus import NA_SQL, PAIRS_SQL, paired
 from promptloom.plans.ordering import rank_sql, tokens_sql
 from promptloom.plans.prompts import CHAT_SQL, chat_corpus
-from promptloom.plans.registry import query, table
+from promptloom.plans.registry import query, spread, table
 
 # The length limits of the published training runs.
 LIMITS = [512, 1024, 1028, 2048, 4096, 8192, 12768, 42768]
@@ -27,7 +27,8 @@ def vocab_sql(tokens_from: str) -> str:
     """CTE ``vocab`` over the rows of a CTE that has a ``token`` column."""
     return f"""counts AS (SELECT token, count(*) AS freq FROM {tokens_from}
         WHERE token NOT IN ('<pad>', '<unk>', '<eos>') GROUP BY token),
-    vocab AS (SELECT row_number() OVER (ORDER BY freq DESC, token) + 2 AS id, token, freq FROM counts
+    vocab AS (SELECT CAST(row_number() OVER (ORDER BY freq DESC, token) + 2 AS INTEGER) AS id, token, freq
+            FROM counts
         UNION ALL VALUES (0, '<pad>', 0), (1, '<unk>', 0), (2, '<eos>', 0))"""
 
 
@@ -48,7 +49,7 @@ def padded_sql(ids: str, n: str, pad: int = 0) -> str:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text")
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
 
 
 def document_vocab(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +97,7 @@ def encode_bytes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("truncation_report", "\nUNION ALL\n".join(f"""
-    SELECT {n} AS max_length, count(*) AS n_rows,
+    SELECT CAST({n} AS BIGINT) AS max_length, count(*) AS n_rows,
         CAST(sum(CASE WHEN len > {n} THEN 1 ELSE 0 END) AS BIGINT) AS rows_cut,
         round(sum(CASE WHEN len > {n} THEN 1 ELSE 0 END) / count(*), 6) AS share_cut,
         CAST(sum(greatest(len - {n}, 0)) AS BIGINT) AS tokens_lost

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptloom.functions.text import path_folder, path_leaf
+from promptloom.operators.order import head
 
 # Text cells may hold line breaks, quotes and surrounding blanks.
 CSV_OPTIONS = {
@@ -73,11 +74,20 @@ def read_dataset(spark: SparkSession, path: str, schema, split: str | None = Non
     return df if split is None else df.filter(F.col("split") == split)
 
 
-def read_declared(spark: SparkSession, config: dict, schema) -> dict[str, DataFrame]:
+def read_declared(
+    spark: SparkSession, config: dict, schema, order: list[Column] | None = None
+) -> dict[str, DataFrame]:
     """The named splits a run's settings ask for.
 
     ``config`` has ``path``, and by purpose the split names ``dataset`` and ``eval_dataset``; a
-    missing purpose is left out of the result.
+    missing purpose is left out of the result.  ``max_samples`` keeps that many rows of each split,
+    the first in ``order``.
     """
-    purposes = [p for p in ("dataset", "eval_dataset") if config.get(p)]
-    return {p: read_dataset(spark, config["path"], schema, config[p]) for p in purposes}
+    named = {}
+    for purpose in ("dataset", "eval_dataset"):
+        if config.get(purpose):
+            rows = read_dataset(spark, config["path"], schema, config[purpose])
+            if config.get("max_samples"):
+                rows = head(rows, config["max_samples"], order or [F.col(rows.columns[0])])
+            named[purpose] = rows
+    return named

@@ -27,6 +27,12 @@ def test_plan(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     python = re.search(r"ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroups", text)
     assert bool(python) == (name in PYTHON_QUERIES)
+    # nothing but counts and sums is ever sent to one task
+    lines = text.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            below = " ".join(lines[i + 1 : i + 4])
+            assert "Aggregate" in below, below
 
 
 def test_filter_is_pushed(spark):
@@ -54,13 +60,3 @@ def test_only_needed_columns_are_read(spark, name, columns):
 def test_row_operators_do_not_shuffle(spark, name):
     text = plan(entry_points.queries()[name](spark, FOLDER))
     assert "Exchange hashpartitioning" not in text and "Exchange rangepartitioning" not in text
-
-
-@pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - WRITERS))
-def test_single_tasks_get_aggregates_only(spark, name):
-    """Nothing but counts and sums is ever sent to one task."""
-    lines = plan(entry_points.queries()[name](spark, FOLDER)).splitlines()
-    for i, line in enumerate(lines):
-        if "Exchange SinglePartition" in line:
-            below = " ".join(lines[i + 1 : i + 4])
-            assert "Aggregate" in below, below

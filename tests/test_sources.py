@@ -97,7 +97,9 @@ def test_dataset_splits(spark, df, tmp_path):
     assert named["dataset"].count() == len(ROWS) - 3 and named["eval_dataset"].count() == 3
     plan = named["eval_dataset"]._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan
-    assert list(readers.read_declared(spark, {"path": path, "dataset": "train"}, DDL)) == ["dataset"]
+    capped = readers.read_declared(spark, {"path": path, "dataset": "train", "max_samples": 2}, DDL)
+    assert list(capped) == ["dataset"]
+    assert sorted(r.id for r in capped["dataset"].collect()) == [4, 5]
 
 
 def test_probe_files(spark, tmp_path):
