@@ -95,22 +95,24 @@ def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataF
 def rank_within(
     df: DataFrame, group, value: Column, tie, rank: str = "rank", row_id=None
 ) -> DataFrame:
-    """SQL ``rank()`` of ``value`` inside ``group``, for groups of any size.
+    """SQL ``rank()`` of ``value``, nulls last, inside ``group``, for groups of any size.
 
     ``tie`` names columns that make the order total.
     """
     group, tie = as_list(group), as_list(tie)
-    valued = df.withColumn("_value", value)
-    ordered = global_rank(
-        valued, [F.asc(c) for c in group] + [F.asc("_value")] + [F.asc(c) for c in tie], "_pos"
+    # structs, since a null group or value is a value like any other here and equals itself
+    valued = df.withColumns(
+        {"_group": F.struct(*group), "_place": F.struct(*group, value.alias("_value"))}
     )
-    group_start = ordered.groupBy(*group).agg(F.min("_pos").alias("_group_start"))
-    value_start = ordered.groupBy(*group, "_value").agg(F.min("_pos").alias("_value_start"))
+    in_order = [F.asc(c) for c in group] + [F.asc_nulls_last("_place._value")]
+    ordered = global_rank(valued, in_order + [F.asc(c) for c in tie], "_pos")
+    place_start = ordered.groupBy("_place").agg(F.min("_pos").alias("_place_start"))
+    group_start = ordered.groupBy("_group").agg(F.min("_pos").alias("_group_start"))
     row_id = as_list(row_id or group + tie)
-    out = skew_join(ordered, value_start, group + ["_value"], row_id)
-    out = skew_join(out, group_start, group, row_id)
-    return out.withColumn(rank, F.col("_value_start") - F.col("_group_start") + 1).drop(
-        "_value", "_pos", "_value_start", "_group_start"
+    out = skew_join(ordered, place_start, ["_place"], row_id)
+    out = skew_join(out, group_start, ["_group"], row_id)
+    return out.withColumn(rank, F.col("_place_start") - F.col("_group_start") + 1).drop(
+        "_group", "_place", "_pos", "_place_start", "_group_start"
     )
 
 
@@ -146,19 +148,20 @@ def keyed_rank(
     ``order`` is an integer, unique inside a key.  Rows are ranked inside stretches of ``span``
     order values; the stretches' running totals are tiny beside the rows.
     """
-    cut_up = df.withColumn("_stretch", F.floor(F.col(order) / span))
-    sizes = cut_up.groupBy(key, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    # a struct, so that a null key is a key like any other
+    cut_up = df.withColumns({"_key": F.struct(key), "_stretch": F.floor(F.col(order) / span)})
+    sizes = cut_up.groupBy("_key", "_stretch").agg(F.count(F.lit(1)).alias("_n"))
     upto = (
-        Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_key").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     )
     starts = sizes.select(
-        key, "_stretch", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before")
+        "_key", "_stretch", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before")
     )
-    inside = Window.partitionBy(key, "_stretch").orderBy(order)
+    inside = Window.partitionBy("_key", "_stretch").orderBy(order)
     return (
-        cut_up.join(starts, [key, "_stretch"])
+        cut_up.join(starts, ["_key", "_stretch"])
         .withColumn(rank, F.col("_before") + F.row_number().over(inside))
-        .drop("_stretch", "_before")
+        .drop("_key", "_stretch", "_before")
     )
 
 

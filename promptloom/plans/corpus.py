@@ -61,6 +61,42 @@ def columnar_unzip(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_columnar(spark, path, docs.schema)
 
 
+@query("line_roundtrip", _MESSAGES)
+def line_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON texts written as raw lines; line breaks inside a text are escaped by the JSON."""
+    path = scratch_path(spark, "lines")
+    turns = table(spark, folder, "conversations")
+    lines = turns.select(F.to_json(F.struct(*turns.columns)).alias("line"))
+    writers.write_lines(lines, "line", path)
+    return readers.read_jsonl(spark, path, _MESSAGE_DDL)
+
+
+@query("rewrite_kept", "SELECT conv_id, turn, role FROM conversations")
+def rewrite_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """A file rewritten in place with fewer columns."""
+    path = scratch_path(spark, "rewritten")
+    columns = ["conv_id", "turn", "role"]
+    writers.write_csv(table(spark, folder, "conversations"), path)
+    writers.rewrite(
+        spark, path, lambda p: readers.read_csv(spark, p, _MESSAGE_DDL),
+        lambda df: frames.keep(df, columns), writers.write_csv,
+    )
+    return readers.read_csv(spark, path, "conv_id bigint, turn bigint, role string")
+
+
+@query("convert_format", _MESSAGES)
+def convert_format(spark: SparkSession, folder: str) -> DataFrame:
+    """CSV to JSON lines, every column as text on the way."""
+    source, target = scratch_path(spark, "csv"), scratch_path(spark, "jsonl")
+    writers.write_csv(table(spark, folder, "conversations"), source)
+    names = ["conv_id", "turn", "role", "text"]
+    writers.convert(
+        lambda: readers.read_csv_text(spark, source, names), writers.write_jsonl, target
+    )
+    text = readers.read_jsonl(spark, target, ", ".join(f"{n} string" for n in names))
+    return text.withColumns({n: F.col(n).cast("bigint") for n in names[:2]})
+
+
 @query("split_dataset", f"""
     SELECT doc_id, lang, split FROM ({split_sql('documents', 'doc_id', 'lang')})
     WHERE split = 'test'""")
@@ -345,6 +381,18 @@ def pivot_files(spark: SparkSession, folder: str) -> DataFrame:
     return wide_files(spark, folder)
 
 
+@query("raw_to_wide", f"""
+    SELECT conv_id, turn // 8 AS volume, {_WIDE_SQL} FROM conversations GROUP BY 1, 2""")
+def raw_to_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw corpus rows (a list of paths, a JSON object of texts) to wide rows."""
+    raw = pivot.files_map(
+        table(spark, folder, "conversations"), "conv_id", "turn",
+        F.concat(F.lit("t"), F.col("turn") % len(_WIDE)), "text", most=len(_WIDE),
+    ).withColumn("files", F.to_json("files"))
+    files = pivot.raw_to_files(raw, ["conv_id", "volume"], "file_tree", "files")
+    return pivot.pivot_files(files, ["conv_id", "volume"], "path", "content", _WIDE)
+
+
 @query("unpivot_files", """
     SELECT conv_id, turn // 8 AS volume, 't' || (turn % 8) AS path, text AS content
     FROM conversations WHERE text <> 'NONE'""")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import text as X
 from promptloom.functions.masks import IGNORE
+from promptloom.functions.templates import chatml, generation_messages
 from promptloom.operators import metrics, order, scoring
 from promptloom.plans.corpus import PAIRS_SQL, labelled, paired
 from promptloom.plans.ordering import tokens_sql
+from promptloom.plans.prompts import CHAT_SQL, chat_corpus
 from promptloom.plans.registry import query, table
 from promptloom.streaming import steplog
 
@@ -131,6 +133,35 @@ def compare_generated(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.compare_generated(paired(spark, folder), "answer", "prompt", ["turn"])
 
 
+_GENERATED_SQL = f"""
+    WITH asked AS (SELECT turn, answer, '<|im_start|>system' || chr(10) || system || '<|im_end|>'
+            || chr(10) || '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10)
+            || '<|im_start|>assistant' || chr(10) AS text FROM ({CHAT_SQL})),
+    told AS (SELECT turn, answer, trim(array_to_string(list_reverse(string_split(text, chr(10))),
+        chr(10)), chr(10)) AS content FROM asked),
+    lines AS (SELECT *, list_distinct(string_split(content, chr(10))) AS a,
+        list_distinct(string_split(answer, chr(10))) AS b FROM told)
+    SELECT turn, count(*) AS n,
+        CAST(sum(CASE WHEN content = answer THEN 1 ELSE 0 END) AS BIGINT) AS exact,
+        round(avg(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))), 6)
+            AS line_overlap,
+        round(avg(length(content) / greatest(length(answer), 1)), 6) AS length_ratio
+    FROM lines GROUP BY turn"""
+
+
+@query("generate_and_compare", _GENERATED_SQL)
+def generate_and_compare(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts rendered, scored, the thinking cut off, the rest compared with the true answers."""
+    corpus = chat_corpus(spark, folder)
+    asked = corpus.select(
+        "conv_id", "turn", "answer",
+        chatml(generation_messages("system", "prompt"), generation_prompt=True).alias("text"),
+    )
+    told = scoring.score(asked, scoring.echo_model, "text", "generated")
+    told = told.withColumn("content", X.split_thinking("generated").content)
+    return metrics.compare_generated(told, "content", "answer", ["turn"])
+
+
 _WINDOWS_SQL = """
     SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
         count(*) AS n, round(sum(value) / count(*), 6) AS mean_value

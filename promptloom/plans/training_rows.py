@@ -232,8 +232,8 @@ def strip_prefix(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- label masks ----------------------------------------------------------------------------------
 
-# shorter than many conversations, so that both cutting and padding take place
-CHAT_LIMIT = 256
+# one of the limits above; part of the conversations are longer, so rows are both cut and padded
+CHAT_LIMIT = 512
 RESPONSE_MARK = "<|im_start|>assistant"
 
 _CHAT_TOKENS_SQL = f"""msgs AS (

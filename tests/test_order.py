@@ -83,7 +83,8 @@ def test_skew_join_equals_join(spark):
 
 @pytest.mark.parametrize("span, block", [(7, 5), (1000, 1000), (1, 30)])
 def test_moving_average_in_blocks(spark, span, block):
-    rows = [(i, 0 if i % 3 == 0 else i % 4, float(i * i % 17)) for i in range(200)]
+    keys = [0, 1, None, 3]
+    rows = [(i, 0 if i % 3 == 0 else keys[i % 4], float(i * i % 17)) for i in range(200)]
     df = spark.createDataFrame(rows, "at bigint, k bigint, v double")
     got = O.moving_average(df, "k", "at", "v", 5, block=block, span=span).collect()
     seen: dict = {}
@@ -105,11 +106,15 @@ def test_keyed_rank(spark):
 
 
 def test_rank_within_ties(spark):
-    rows = [("a", 1, 5.0), ("a", 2, 5.0), ("a", 3, 1.0), ("b", 1, 2.0)]
+    rows = [
+        ("a", 1, 5.0), ("a", 2, 5.0), ("a", 3, 1.0), ("b", 1, 2.0), (None, 1, 4.0), (None, 2, 3.0),
+        ("b", 2, None),
+    ]
     df = spark.createDataFrame(rows, "g string, id int, v double")
     got = O.rank_within(df, "g", -F.col("v"), "id", "place").collect()
     assert {(r.g, r.id): r.place for r in got} == {
-        ("a", 1): 1, ("a", 2): 1, ("a", 3): 3, ("b", 1): 1,
+        ("a", 1): 1, ("a", 2): 1, ("a", 3): 3, ("b", 1): 1, (None, 1): 1,
+        (None, 2): 2, ("b", 2): 2,
     }
 
 

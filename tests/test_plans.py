@@ -9,11 +9,11 @@ import pytest
 import __spark_entry__ as entry_points
 
 FOLDER = "/root/testdata/sf0.001"
-PYTHON_QUERIES = {"score_stub", "encode_bytes"}
+PYTHON_QUERIES = {"score_stub", "generate_and_compare", "encode_bytes"}
 # run jobs of their own while they are built; what they return is only a scan
 WRITERS = {
     "csv_roundtrip", "csv_text_scan", "json_roundtrip", "columnar_unzip", "split_dataset",
-    "step_log_stream",
+    "line_roundtrip", "rewrite_kept", "convert_format", "step_log_stream",
 }
 
 
