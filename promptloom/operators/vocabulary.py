@@ -66,24 +66,30 @@ def _looked_up(
     """``key, _entries``: each row's entries in order, with ``want`` from the vocabulary.
 
     ``rows`` come partitioned by ``key``, so the broadcast lookups and the grouping after them stay
-    in the same task; only what the head of the vocabulary lacks is shuffled to its tail.
+    in the same task; only what the head of the vocabulary lacks is shuffled to its tail.  A
+    vocabulary of a tokenizer's size has no tail and needs that step not at all.
     """
     vocab = vocab.select(F.col("id").alias("_id"), F.col("token").alias("_token"))
+    tail = vocab.filter(~_is_head())
     looked = rows.join(F.broadcast(vocab.filter(_is_head())), by, "left")
+    # the placeholder of an empty row has no position
+    placed = F.filter(F.array_sort("_entries"), lambda e: e.getField("_pos").isNotNull())
+    if tail.isEmpty():
+        gathered = looked.groupBy(*key).agg(F.collect_list(F.struct(*entry)).alias("_entries"))
+        return gathered.select(*key, placed.alias("_entries"))
     found = looked.groupBy(*key).agg(
         F.collect_list(F.when(F.col(want).isNotNull(), F.struct(*entry))).alias("_found")
     )
     rest = (
         looked.filter(F.col(want).isNull())
         .drop(want)
-        .join(vocab.filter(~_is_head()), by, "left")
+        .join(tail, by, "left")
         .groupBy(*key)
         .agg(F.collect_list(F.struct(*entry)).alias("_rest"))
     )
-    entries = F.when(F.col("_rest").isNull(), F.col("_found")).otherwise(F.concat("_found", "_rest"))
-    # the placeholder of an empty row has no position
-    entries = F.filter(F.array_sort(entries), lambda e: e.getField("_pos").isNotNull())
-    return found.join(rest, key, "left").select(*key, entries.alias("_entries"))
+    both = F.when(F.col("_rest").isNull(), F.col("_found")).otherwise(F.concat("_found", "_rest"))
+    gathered = found.join(rest, key, "left").withColumn("_entries", both)
+    return gathered.select(*key, placed.alias("_entries"))
 
 
 def encode(
