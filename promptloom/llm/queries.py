@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from promptloom.llm import bpe_trie, token_counts
+from promptloom.llm import bpe_trie, neighbours, shards, token_counts
 from promptloom.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +32,13 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_trie.round_trip(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op9_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.shard(table(spark, folder, "documents"), 8)
+
+
+@query
+def op2_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, 5)
