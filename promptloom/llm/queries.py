@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm import bpe_trie, neighbours, shards, token_counts
+from promptloom.llm import bpe_trie, minmax, neighbours, shards, token_counts
 from promptloom.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,8 @@ def op9_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
+@query
+def op3_minmax_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, folder, "documents"), width=4, threshold=80)
