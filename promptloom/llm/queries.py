@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm import bpe_trie, minmax, neighbours, shards, token_counts
+from promptloom.llm import bpe_trie, decontaminate, minmax, neighbours, shards, token_counts
 from promptloom.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,37 @@ def op2_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_minmax_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, folder, "documents"), width=4, threshold=80)
+
+
+@query
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_LEAK_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '')"
+#: Windows aligned on a shared shingle; the similarity of their shingles, counted with their weights.
+CHECKS["op6_benchmark_decontamination"] = f"""
+WITH items AS (SELECT item_id, words, len(words) AS n_words, least(5, len(words)) AS width
+               FROM (SELECT DISTINCT item_id, {_LEAK_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
+places AS (SELECT item_id, n_words, width, unnest(range(0, n_words - width + 1)) AS item_at, words FROM items),
+item_grams AS (SELECT item_id, n_words, width, item_at, array_to_string(words[item_at + 1 : item_at + width], ' ') AS g FROM places),
+docs AS (SELECT DISTINCT doc_id, {_LEAK_WORDS} AS words FROM documents),
+doc_grams AS (SELECT doc_id, words, width, p, array_to_string(words[p + 1 : p + width], ' ') AS g
+              FROM (SELECT doc_id, words, width, unnest(range(0, len(words) - width + 1)) AS p
+                    FROM docs CROSS JOIN (SELECT DISTINCT width FROM items))),
+aligned AS (SELECT DISTINCT doc_id, words, item_id, n_words, d.width,
+                   least(greatest(p - item_at, 0), len(words) - n_words) AS begin
+            FROM doc_grams d JOIN item_grams i ON d.g = i.g AND d.width = i.width),
+windows AS (SELECT DISTINCT doc_id, begin, n_words, width, words[begin + 1 : begin + n_words] AS w FROM aligned WHERE begin >= 0),
+window_grams AS (SELECT doc_id, begin, n_words, width, g, count(*) AS weight
+                 FROM (SELECT doc_id, begin, n_words, width, array_to_string(w[p + 1 : p + width], ' ') AS g
+                       FROM (SELECT *, unnest(range(0, n_words - width + 1)) AS p FROM windows)) GROUP BY ALL),
+item_weights AS (SELECT item_id, n_words, width, g, count(*) AS weight FROM item_grams GROUP BY ALL),
+shared AS (SELECT doc_id, begin, w.n_words, w.width, item_id, sum(least(w.weight, i.weight)) AS common
+           FROM window_grams w JOIN item_weights i ON w.g = i.g AND w.n_words = i.n_words GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, begin, n_words, common, 2 * (n_words - width + 1) - common AS whole FROM shared)
+SELECT doc_id, item_id, CAST(begin AS INTEGER) AS first_word, CAST(n_words AS INTEGER) AS n_words,
+       CAST(common AS DOUBLE) / CAST(whole AS DOUBLE) AS similarity
+FROM scored WHERE common * 100 >= whole * 80
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY CAST(common AS DOUBLE) / whole DESC, begin) = 1
+"""
