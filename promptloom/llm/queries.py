@@ -54,7 +54,7 @@ def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-_LEAK_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_LEAK_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 #: Windows aligned on a shared shingle; the similarity of their shingles, counted with their weights.
 CHECKS["op6_benchmark_decontamination"] = f"""
 WITH items AS (SELECT item_id, words, len(words) AS n_words, least(5, len(words)) AS width
