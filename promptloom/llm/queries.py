@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm import bpe_trie, decontaminate, minmax, neighbours, shards, token_counts
+from promptloom.llm import bpe_trie, decontaminate, licences, minmax, neighbours, shards, token_counts
 from promptloom.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,8 @@ SELECT doc_id, item_id, CAST(begin AS INTEGER) AS first_word, CAST(n_words AS IN
 FROM scored WHERE common * 100 >= whole * 80
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY CAST(common AS DOUBLE) / whole DESC, begin) = 1
 """
+
+
+@query
+def op5_licence_notices(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.notices(table(spark, folder, "documents"))
