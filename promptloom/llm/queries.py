@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm import bpe_trie, decontaminate, licences, minmax, neighbours, shards, token_counts
+from promptloom.llm import bpe_trie, decontaminate, licences, minmax, neighbours, quality, shards, token_counts
 from promptloom.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,8 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY CAST(common AS
 @query
 def op5_licence_notices(spark: SparkSession, folder: str) -> DataFrame:
     return licences.notices(table(spark, folder, "documents"))
+
+
+@query
+def op8_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
