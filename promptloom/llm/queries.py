@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm import bpe_trie, decontaminate, licences, minmax, neighbours, quality, shards, token_counts
+from promptloom.llm import bpe_trie, decontaminate, licences, minmax, neighbours, pii, quality, shards, token_counts
 from promptloom.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,8 @@ def op5_licence_notices(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
