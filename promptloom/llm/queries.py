@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm import bpe_trie, decontaminate, licences, minmax, neighbours, pii, quality, shards, token_counts
+from promptloom.llm import bpe_trie, decontaminate, licences, minmax, neighbours, pii, quality, shards, suffixes, token_counts
 from promptloom.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,8 @@ def op8_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents"))
+
+
+@query
+def op1_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents"))
