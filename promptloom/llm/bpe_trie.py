@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from promptloom.llm import byte_bpe
 
@@ -274,6 +274,25 @@ def _both(spec):
     return run
 
 
+def _checked(spec):
+    def run(batches):
+        coder = trie(spec.value)
+        for batch in batches:
+            ids, texts = batch.columns
+            texts = texts.to_pylist()
+            packed, counts, same = [], [], []
+            for one, text in zip(coder.encode_all(texts), texts, strict=True):
+                packed.append(one)
+                counts.append(len(one) // 4)
+                same.append(coder.decode(one) == (text or ""))
+            yield pa.record_batch(
+                [ids, pa.array(counts, pa.int64()), pa.array(packed, pa.binary()), pa.array(same, pa.bool_())],
+                names=["id", "n_tokens", "packed", "round_trip"],
+            )
+
+    return run
+
+
 def _decoding(spec):
     def run(batches):
         coder = trie(spec.value)
@@ -306,3 +325,9 @@ def round_trip(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", t
     """Id, number of tokens, and the digests of the ids and of the text they decode to."""
     fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
     return _run(docs, _both, vocabulary, id_column, text_column, "string", fields)
+
+
+def encode_checked(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Id, number of tokens, ``packed`` ids, and whether they decode to the text."""
+    fields = [StructField("n_tokens", LongType()), StructField("packed", BinaryType()), StructField("round_trip", BooleanType())]
+    return _run(docs, _checked, vocabulary, id_column, text_column, "string", fields)

@@ -68,14 +68,14 @@ def _block_rows(prints: DataFrame) -> DataFrame:
     return prints.withColumn("b", F.explode(F.array(*blocks))).select(*prints.columns, "b.block", "b.value")
 
 
-def contaminated(
-    docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
-    item_column: str = "item_id", item_text_column: str = "text", width: int = WIDTH, threshold: int = THRESHOLD,
-) -> DataFrame:
-    """Id, item, first_word, n_words and similarity of each document and item with a window at the threshold.
+def _text_no(text_column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
 
-    The window is the most similar one, the first of equals.
-    """
+
+def _matches(
+    docs: DataFrame, items: DataFrame, id_column: str, text_column: str, item_column: str, item_text_column: str, width: int, threshold: int
+) -> DataFrame:
+    """(id, text_no, item, best) of each text and item with a window at the threshold."""
     items = items.select(F.col(item_column).alias("item"), words(F.col(item_text_column)).alias("words"))
     items = items.filter(F.size("words") > 0).distinct().withColumn("n_words", F.size("words"))
     items = cut(items.withColumn("width", F.least(F.col("n_words"), F.lit(width))).withColumn("item_no", F.xxhash64("item", "words")))
@@ -84,7 +84,7 @@ def contaminated(
     item_grams = item_places.groupBy("item_no", "n_words", "width", "h").agg(F.count(F.lit(1)).alias("weight"))
     n_places = item_places.count()
 
-    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text_column)).alias("text_no"), words(F.col(text_column)).alias("words"))
+    rows = docs.select(F.col(id_column).alias("id"), _text_no(text_column).alias("text_no"), words(F.col(text_column)).alias("words"))
     item_of = small(item_places.withColumnRenamed("at", "item_at"), n_places)
     found = []
     for w in widths:
@@ -133,8 +133,30 @@ def contaminated(
         .join(small(named, n_places), "item_no")
         .groupBy("id", "text_no", "item")
         .agg(best.alias("best"))
-        .select(
-            F.col("id").alias(id_column), F.col("item").alias(item_column), F.col("best.begin").alias("first_word"),
-            "best.n_words", "best.similarity",
-        )
-    )
+    )
+
+
+def contaminated(
+    docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
+    item_column: str = "item_id", item_text_column: str = "text", width: int = WIDTH, threshold: int = THRESHOLD,
+) -> DataFrame:
+    """Id, item, first_word, n_words and similarity of each document and item with a window at the threshold.
+
+    The window is the most similar one, the first of equals.
+    """
+    found = _matches(docs, items, id_column, text_column, item_column, item_text_column, width, threshold)
+    return found.select(
+        F.col("id").alias(id_column), F.col("item").alias(item_column), F.col("best.begin").alias("first_word"), "best.n_words", "best.similarity"
+    )
+
+
+def decontaminate(
+    docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
+    item_column: str = "item_id", item_text_column: str = "text", width: int = WIDTH, threshold: int = THRESHOLD,
+) -> DataFrame:
+    """The rows and columns of ``docs`` in which no benchmark item is found."""
+    found = _matches(docs, items, id_column, text_column, item_column, item_text_column, width, threshold)
+    found = cut(found.select(F.col("id").alias("__id"), F.col("text_no").alias("__no")).distinct())
+    keyed = docs.withColumn("__own_no", _text_no(text_column))
+    same = keyed[id_column].eqNullSafe(F.col("__id")) & (F.col("__own_no") == F.col("__no"))
+    return keyed.join(small(found, found.count()), same, "left_anti").drop("__own_no")

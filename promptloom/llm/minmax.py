@@ -268,3 +268,15 @@ def near_duplicates(
         (alone | F.coalesce(same, F.lit(False))).alias("kept"),
         "text_key",
     )
+
+
+def deduplicate(
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 4, threshold: int = 80
+) -> DataFrame:
+    """The rows and columns of ``docs`` without near-duplicates: one row of each component stays."""
+    marked = near_duplicates(docs, id_column=id_column, text_column=text_column, width=width, threshold=threshold)
+    kept = marked.filter("kept").select(F.col(id_column).alias("__id"), F.col("text_key").alias("__key")).distinct()
+    key = text_key(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
+    keyed = docs.withColumn("__own_key", key)
+    joined = keyed.join(kept, keyed[id_column].eqNullSafe(kept["__id"]) & (keyed["__own_key"] == kept["__key"]))
+    return joined.dropDuplicates([id_column, "__own_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

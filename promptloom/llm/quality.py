@@ -270,3 +270,20 @@ def score(
     return scored.select(
         F.col("id").alias(id_column), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= good_from).cast("int").alias("predicted")
     )
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality",
+    good_from: float = 0.7, sample: int = SAMPLE,
+) -> DataFrame:
+    """The rows and columns of ``docs`` that score ``good_from`` or more."""
+    model = fit(docs, labels, id_column=id_column, text_column=text_column, label_column=label_column, sample=sample)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_column)
+
+    def run(batches):
+        model = shipped.value
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(batch.column(place).cast(pa.string())) >= good_from))
+
+    return docs.mapInArrow(run, docs.schema)

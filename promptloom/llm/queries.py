@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from promptloom.llm import bpe_trie, decontaminate, licences, minmax, neighbours, pii, quality, shards, suffixes, token_counts
 from promptloom.plans.registry import table
 
@@ -101,3 +102,8 @@ def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, folder, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
