@@ -144,9 +144,10 @@ def pooled(texts: pa.StringArray, vectors: np.ndarray) -> np.ndarray:
         rows, some = owner[starts] + first, last - first
         words[rows] += np.add.reduceat(vectors[_rows(hashes)], starts, axis=0)
         shapes[first:last] += np.bincount(owner * _SHAPES + shaped, minlength=some * _SHAPES).reshape(some, _SHAPES)
-        following = wordhash.mix(hashes * np.uint64(3) + np.roll(hashes, -1))
-        for into, values in ((ones, hashes), (twos, following)):
-            bins = owner * _BINS + (values >> np.uint64(40)).astype(np.int64) % _BINS
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        pairs = wordhash.mix(hashes[inside] * np.uint64(3) + hashes[inside + 1])
+        for into, whose, values in ((ones, owner, hashes), (twos, owner[inside], pairs)):
+            bins = whose * _BINS + (values >> np.uint64(40)).astype(np.int64) % _BINS
             into[first:last] += np.bincount(bins, minlength=some * _BINS).reshape(some, _BINS)
         counts[rows] += np.diff(np.append(starts, owner.size))
     each = np.maximum(counts, 1)[:, None]
