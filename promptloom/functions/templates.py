@@ -127,14 +127,18 @@ def whole_context(messages) -> Column:
     )
 
 
+def _said(value) -> Column:
+    return F.coalesce(_text(value), F.lit(""))
+
+
 def _joined(pieces: Column) -> Column:
     return F.array_join(pieces, "")
 
 
 def chatml_piece(role, content) -> Column:
-    """One message of the ChatML rendering."""
+    """One message of the ChatML rendering; a null role or content is an empty one."""
     return F.concat(
-        F.lit(IM_START), _text(role), F.lit("\n"), _text(content), F.lit(IM_END + "\n")
+        F.lit(IM_START), _said(role), F.lit("\n"), _said(content), F.lit(IM_END + "\n")
     )
 
 
@@ -187,7 +191,7 @@ def role_lines(
     body = _joined(
         F.transform(
             messages,
-            lambda m: F.concat(F.lit(bos), m.role, F.lit("\n"), m.content, F.lit(eos + "\n")),
+            lambda m: F.concat(F.lit(bos), _said(m.role), F.lit("\n"), _said(m.content), F.lit(eos + "\n")),
         )
     )
     if not generation_prompt:

@@ -136,7 +136,7 @@ def balance(text, opening: str, closing: str) -> Column:
 
 # The head block that opens a generated file, and the line that names the file.
 HEADER_BLOCK = "(?s)FoamFile\\s*\\{.*?\\}"
-HEADER_OBJECT = "(?s)FoamFile\\s*\\{.*?object\\s+([^;\\s]+)\\s*;"
+HEADER_OBJECT = "(?s)FoamFile\\s*\\{[^}]*?object\\s+([^;\\s}]+)\\s*;"
 
 
 def file_checks(text, name) -> Column:

@@ -37,17 +37,21 @@ def isolate(df: DataFrame, column: str, value) -> DataFrame:
 def drop_null(
     df: DataFrame, columns: list[str] | None = None, na_tokens: list[str] | None = None
 ) -> DataFrame:
-    """Rows without a null in ``columns``, after strings such as ``NA`` count as null.
+    """Rows without a null in ``columns``, after NaN and strings such as ``NA`` count as null.
 
     ``NONE`` in capitals is not such a string.
     """
     columns = columns or df.columns
     na = NA_TOKENS if na_tokens is None else na_tokens
     textual = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
-    present = [
-        F.col(c).isNotNull() & ~F.col(c).isin(na) if c in textual and na else F.col(c).isNotNull()
-        for c in columns
-    ]
+    floating = {f.name for f in df.schema if isinstance(f.dataType, T.FloatType | T.DoubleType)}
+
+    def there(c: str) -> Column:
+        if c in floating:
+            return F.col(c).isNotNull() & ~F.isnan(c)
+        return F.col(c).isNotNull() & ~F.col(c).isin(na) if c in textual and na else F.col(c).isNotNull()
+
+    present = [there(c) for c in columns]
     for condition in present:
         df = df.filter(condition)
     return df
@@ -61,10 +65,6 @@ def stringify(df: DataFrame, columns: list[str] | None = None, null_as: str = "N
     )
 
 
-def fill_missing(df: DataFrame, columns: list[str], text: str = "NONE") -> DataFrame:
-    return df.na.fill(text, subset=columns)
-
-
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows, nulls and text lengths of each column: one pass, one row per column."""
     columns = columns or df.columns

@@ -16,20 +16,34 @@ def _share(part: Column, whole: Column) -> Column:
     return F.round(part / F.when(whole != 0, whole), DIGITS)
 
 
-def _masked_sums(predicted: Column, label: Column, ignore: int) -> list[Column]:
+def _masked_sums(predicted: Column, label: Column, ignore: int, loss: str | None) -> list[Column]:
     valid = label != ignore
-    return [
+    sums = [
         F.sum(F.when(valid & (predicted == label), 1).otherwise(0)).alias("correct"),
         F.sum(F.when(valid, 1).otherwise(0)).alias("valid"),
     ]
+    if loss is None:
+        return sums
+    # every row with a loss is a step
+    return [*sums, F.coalesce(F.sum(loss), F.lit(0.0)).alias("loss_sum"), F.count(loss).alias("steps")]
+
+
+def _scores(sums: DataFrame, loss: str | None) -> list[Column]:
+    scores = [F.col("correct"), F.col("valid"), _share(F.col("correct"), F.col("valid")).alias("accuracy")]
+    if loss is None:
+        return scores
+    mean = _share(F.col("loss_sum"), F.col("steps")).alias("mean_loss")
+    return [*scores, F.round("loss_sum", DIGITS).alias("loss_sum"), F.col("steps"), mean]
 
 
 def masked_accuracy(
-    df: DataFrame, predicted: str, label: str, by: list[str], ignore: int = IGNORE
+    df: DataFrame, predicted: str, label: str, by: list[str], ignore: int = IGNORE,
+    loss: str | None = None,
 ) -> DataFrame:
-    """Correct and valid labels, one label per row, and their ratio."""
-    sums = df.groupBy(*by).agg(*_masked_sums(F.col(predicted), F.col(label), ignore))
-    return sums.withColumn("accuracy", _share(F.col("correct"), F.col("valid")))
+    """Correct and valid labels, one label per row, and their ratio; with ``loss`` also its sum, the
+    steps that have one, and its mean."""
+    sums = df.groupBy(*by).agg(*_masked_sums(F.col(predicted), F.col(label), ignore, loss))
+    return sums.select(*by, *_scores(sums, loss))
 
 
 def masked_accuracy_arrays(
@@ -44,17 +58,15 @@ def masked_accuracy_arrays(
 
 
 def eval_summary(
-    df: DataFrame, predicted: str, label: str, by: str, total: str = "total", ignore: int = IGNORE
+    df: DataFrame, predicted: str, label: str, by: str, total: str = "total", ignore: int = IGNORE,
+    loss: str | None = None,
 ) -> DataFrame:
-    """Masked accuracy per value of ``by`` and over all rows."""
+    """Masked accuracy, and the loss if there is one, per value of ``by`` and over all rows."""
     sums = df.rollup(by).agg(
-        *_masked_sums(F.col(predicted), F.col(label), ignore), F.grouping(by).alias("_all")
+        *_masked_sums(F.col(predicted), F.col(label), ignore, loss), F.grouping(by).alias("_all")
     )
     named = F.when(F.col("_all") == 1, F.lit(total)).otherwise(F.col(by))
-    return sums.select(
-        named.alias(by), "correct", "valid",
-        _share(F.col("correct"), F.col("valid")).alias("accuracy"),
-    )
+    return sums.select(named.alias(by), *_scores(sums, loss))
 
 
 def reduce_ranks(
@@ -100,7 +112,8 @@ def result_ranks(results: DataFrame, method: str, loss_before: str, loss_after:
 
 
 def compare_runs(a: DataFrame, b: DataFrame, model: str, value: str) -> DataFrame:
-    """Mean value per model under two methods, models of one side only included.
+    """Mean value per model under two methods, their difference and ratio; models of one side only
+    are included.
 
     The same rows as a full outer join of two aggregates, in one shuffle.
     """
@@ -113,6 +126,7 @@ def compare_runs(a: DataFrame, b: DataFrame, model: str, value: str) -> DataFram
         model,
         F.round("_a", DIGITS).alias("mean_a"), F.round("_b", DIGITS).alias("mean_b"),
         F.round(F.col("_b") - F.col("_a"), DIGITS).alias("delta"),
+        _share(F.col("_b"), F.col("_a")).alias("ratio"),
     )
 
 
@@ -137,27 +151,34 @@ def truncation_report(df: DataFrame, length: str, limits: list[int]) -> DataFram
 
 
 def split_report(df: DataFrame, text: str) -> DataFrame:
-    """Rows of each split, of both, and the number of texts found on both sides."""
+    """Rows of each split, of the whole, and of no split; distinct texts, and those on both sides.
+
+    The whole is counted by itself, so a row that reached neither split shows.
+    """
     hashed = df.select("split", F.md5(text).alias("_md5"))
     sides = hashed.groupBy("_md5").agg(
         F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).alias("_train"),
         F.sum(F.when(F.col("split") == "test", 1).otherwise(0)).alias("_test"),
+        F.count(F.lit(1)).alias("_rows"),
     )
     shared = F.when((F.col("_train") > 0) & (F.col("_test") > 0), 1).otherwise(0)
-    sums = sides.agg(
-        F.sum("_train").alias("train"), F.sum("_test").alias("test"), F.sum(shared).alias("shared")
-    )
-    lines = [
-        F.struct(F.lit("train").alias("part"), F.col("train").alias("n")),
-        F.struct(F.lit("test").alias("part"), F.col("test").alias("n")),
-        F.struct(F.lit("total").alias("part"), (F.col("train") + F.col("test")).alias("n")),
-        F.struct(F.lit("shared_texts").alias("part"), F.col("shared").alias("n")),
-    ]
+    zero = F.lit(0).cast("bigint")
+    counts = {
+        "train": F.sum("_train"), "test": F.sum("_test"), "total": F.sum("_rows"),
+        "unassigned": F.sum(F.col("_rows") - F.col("_train") - F.col("_test")),
+        "distinct_texts": F.count("_md5"), "shared_texts": F.sum(shared),
+    }
+    sums = sides.agg(*[F.coalesce(n, zero).alias(part) for part, n in counts.items()])
+    lines = [F.struct(F.lit(part).alias("part"), F.col(part).alias("n")) for part in counts]
     return sums.select(F.inline(F.array(*lines)))
 
 
 def compare_generated(df: DataFrame, generated: str, true: str, by: list[str]) -> DataFrame:
-    """Exact matches, mean line overlap (Jaccard) and mean length ratio per group."""
+    """Exact matches, mean line overlap (Jaccard) and mean length ratio per group.
+
+    A generation that failed and is null counts as an empty text.
+    """
+    df = df.withColumns({c: F.coalesce(c, F.lit("")) for c in (generated, true)})
     lines_a, lines_b = F.split(generated, "\n"), F.split(true, "\n")
     overlap = F.size(F.array_intersect(lines_a, lines_b)) / F.size(F.array_union(lines_a, lines_b))
     ratio = F.length(generated) / F.greatest(F.length(true), F.lit(1))

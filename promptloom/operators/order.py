@@ -20,6 +20,8 @@ _POSITION_BITS = 33
 # A key is hot when it holds more than this share of the rows, so at most 1,000 keys are.
 HOT_SHARE = 1000
 HOT_COPIES = 64
+# Stretches in which the keys of a prefix are counted.
+STRETCHES = 1 << 16
 
 
 def as_list(columns) -> list[str]:
@@ -27,8 +29,17 @@ def as_list(columns) -> list[str]:
 
 
 def hash_order(key, seed: int) -> Column:
-    """The pseudo-random order of a row, from its unique key."""
-    text = F.concat_ws(":", *[F.col(c).cast("string") for c in as_list(key)])
+    """The pseudo-random order of a row, from its unique key.
+
+    The parts of a key of several columns carry their lengths, and a null a mark of its own, so no
+    two keys look alike.
+    """
+    parts = [F.col(c).cast("string") for c in as_list(key)]
+    if len(parts) == 1:
+        text = F.coalesce(parts[0], F.lit("\u0000"))
+    else:
+        marked = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
+        text = F.concat_ws(",", *marked)
     return F.md5(F.concat(F.lit(f"{seed}:"), text))
 
 
@@ -172,14 +183,13 @@ def moving_average(
     """Mean of the last ``width`` values of the same key, the row's own included.
 
     Rows of a key are cut into blocks by rank and each block also gets the ``width - 1`` rows
-    before it, so no task ever holds more than a block.
+    before it, so no task ever holds more than a block and those.
     """
     ranked = keyed_rank(df, key, order, "_pos", span).withColumn(
         "_block", F.floor((F.col("_pos") - 1) / block)
     )
-    late = F.pmod(F.col("_pos") - 1, F.lit(block)) >= block - (width - 1)
-    homes = F.when(late, F.array("_block", F.col("_block") + 1)).otherwise(F.array("_block"))
-    copied = ranked.withColumn("_home", F.explode(homes))
+    last = F.floor((F.col("_pos") + F.lit(width - 2)) / block)  # of the last row whose mean it is in
+    copied = ranked.withColumn("_home", F.explode(F.sequence(F.col("_block"), last)))
     frame = (
         Window.partitionBy(key, "_home").orderBy("_pos").rowsBetween(-(width - 1), Window.currentRow)
     )
@@ -196,14 +206,27 @@ def head(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
 
 
 def prefix_share(df: DataFrame, parts: int, key: str) -> DataFrame:
-    """The first ``int(rows / parts)`` rows by a unique ``key``, at any size.
+    """The first ``int(rows / parts)`` rows by a unique whole-number ``key``, at any size.
 
-    Only the key column is ranked; the rows themselves are then filtered by one bound, which
-    reaches the scan.
+    Keys are counted in even stretches of their range; only the stretch that holds the bound is
+    sorted.  The rows themselves are filtered by that bound, which reaches the scan.
     """
-    ranked = global_rank(df.select(key), [F.asc(key)], "_pos")
-    total = df.agg(F.count(F.lit(1))).scalar()
-    bound = ranked.filter(F.col("_pos") == F.floor(total / parts)).select(key)
+    keys = df.select(F.col(key).cast("long").alias("_k")).filter(F.col("_k").isNotNull())
+    ends = keys.agg(F.min("_k").alias("low"), F.max("_k").alias("high"))
+    span = F.greatest(F.lit(1), F.ceil((ends.select("high").scalar() - ends.select("low").scalar() + 1) / STRETCHES))
+    placed = keys.withColumn("_bucket", F.floor((F.col("_k") - ends.select("low").scalar()) / span))
+    sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    totals = running_totals(sizes, "_bucket", "_n")
+    size = F.floor(F.col("all_rows") / parts)
+    wanted = (size > F.col("before")) & (size <= F.col("before") + F.col("_n"))
+    target = totals.filter(wanted).select("_bucket", (size - F.col("before")).alias("_nth"))
+    inside = Window.partitionBy("_bucket").orderBy("_k")
+    bound = (
+        placed.join(F.broadcast(target), "_bucket")  # one row
+        .withColumn("_at", F.row_number().over(inside))
+        .filter(F.col("_at") == F.col("_nth"))
+        .select("_k")
+    )
     return df.filter(F.col(key) <= bound.scalar())
 
 

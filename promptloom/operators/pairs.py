@@ -84,8 +84,15 @@ def attach_similar(
 
 
 def leakage(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Test rows whose whole text also stands in a train row.  Needs the ``split`` column."""
+    """Test rows whose whole text also stands in a train row.  Needs the ``split`` column.
+
+    Digests are gathered per text first, with the keys of the test rows only where the text is on
+    both sides; partial sums take care of a text that many rows share.
+    """
     hashed = df.select(key, "split", F.md5(text).alias("text_md5"))
-    seen = hashed.filter(F.col("split") == "train").select("text_md5").distinct()
-    tested = hashed.filter(F.col("split") == "test").drop("split")
-    return skew_join(tested, seen, ["text_md5"], [key])
+    sides = hashed.groupBy("text_md5").agg(
+        F.max(F.col("split") == "train").alias("_train"), F.max(F.col("split") == "test").alias("_test")
+    )
+    both = sides.filter(F.col("_train") & F.col("_test")).select("text_md5")
+    tested = hashed.filter(F.col("split") == "test").select(key, "text_md5")
+    return tested.join(both, "text_md5", "left_semi").select("text_md5", key)

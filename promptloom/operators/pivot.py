@@ -14,13 +14,6 @@ FILE_PATHS = [
 ]
 ABSENT = "NONE"
 
-# The files of the probe set, by folder.
-PROBE_FILES = {
-    "0": ["alphat", "epsilon", "k", "nut", "p", "p_rgh", "T", "U"],
-    "constant": ["g", "momentumTransport", "physicalProperties"],
-    "system": ["blockMeshDict", "controlDict", "fvSchemes", "fvSolution"],
-}
-
 
 def _known(df: DataFrame, name: str, names: list[str], on_unknown: str) -> DataFrame:
     known = F.col(name).isin(names)
@@ -58,14 +51,38 @@ def unpivot_files(
     return df.unpivot(keys, names, name, value).filter(F.col(value) != ABSENT)
 
 
-def raw_to_files(df: DataFrame, keys: list[str], paths: str, files: str) -> DataFrame:
-    """Raw corpus rows (path list and JSON object of texts) as long rows; no shuffle."""
-    mapped = df.withColumn("_map", F.from_json(files, "map<string,string>"))
+def _file_map(files) -> Column:
+    return F.from_json(files, "map<string,string>")
+
+
+def raw_to_files(
+    df: DataFrame, keys: list[str], paths: str, files: str, on_missing: str = "error"
+) -> DataFrame:
+    """Raw corpus rows (path list and JSON object of texts) as long rows; no shuffle.
+
+    A broken object, or a listed path that it lacks, is an error; with ``on_missing='null'`` the
+    content is null instead.  ``broken_files`` lists such rows.
+    """
+    if on_missing not in ("error", "null"):
+        raise ValueError("on_missing is 'error' or 'null'")
+    mapped = df.withColumn("_map", _file_map(files))
+    found = F.try_element_at("_map", F.col("path"))
+    if on_missing == "error":
+        there = F.coalesce(F.map_contains_key("_map", F.col("path")), F.lit(False))
+        failure = F.concat(F.lit("no content for file "), F.coalesce("path", F.lit("(null)")))
+        found = F.when(there, found).otherwise(F.raise_error(failure))
     return mapped.select(*keys, "_map", F.explode(paths).alias("path")).select(
-        *keys, "path", F.try_element_at("_map", F.col("path")).alias("content")
+        *keys, "path", found.alias("content")
     )
 
 
+def broken_files(df: DataFrame, keys: list[str], paths: str, files: str) -> DataFrame:
+    """``keys, path`` of the listed files whose object is broken or lacks them."""
+    rows = df.select(*keys, _file_map(files).alias("_map"), F.explode(paths).alias("path"))
+    there = F.coalesce(F.map_contains_key("_map", F.col("path")), F.lit(False))
+    return rows.filter(~there).select(*keys, "path")
+
+
 def files_map(
     df: DataFrame, key: str, order: str, name: Column, value: str, most: int = 256
 ) -> DataFrame:
@@ -91,16 +108,15 @@ def files_map(
 
 def path_vocabulary(df: DataFrame, paths) -> DataFrame:
     """Every path with the number of rows and of places it occurs in."""
-    # counting inside the row first keeps the shuffle to one record per row and path
-    counted = F.transform(
-        F.array_distinct(paths),
-        lambda path: F.struct(
-            path.alias("path"), F.size(F.filter(paths, lambda p: p == path)).alias("_n")
-        ),
-    )
-    counted = df.select(F.inline(counted))
+    # one entry a place and one a distinct path, summed before the shuffle
+    def entries(column, row: int, place: int) -> Column:
+        return F.transform(
+            column, lambda p: F.struct(p.alias("path"), F.lit(row).alias("_r"), F.lit(place).alias("_n"))
+        )
+
+    counted = df.select(F.inline(F.concat(entries(paths, 0, 1), entries(F.array_distinct(paths), 1, 0))))
     return counted.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("_n").alias("occurrences")
+        F.sum("_r").alias("n_rows"), F.sum("_n").alias("occurrences")
     )
 
 

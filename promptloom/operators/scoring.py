@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def score(
@@ -15,16 +16,16 @@ def score(
     """Adds ``out``, the text generated for each prompt.
 
     ``make`` runs once per partition, where a model or a client is costly to set up; what it returns
-    gets the prompts of one Arrow batch at a time.
+    gets the prompts of one Arrow batch at a time.  No other column leaves the JVM.
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         generate = make()
-        for batch in batches:
-            yield batch.assign(**{out: generate(batch[prompt])})
+        for prompts in batches:
+            yield generate(prompts)
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn(out, run(F.col(prompt)))
 
 
 def echo_model() -> Callable[[pd.Series], pd.Series]:

@@ -301,7 +301,9 @@ def leakage(spark: SparkSession, folder: str) -> DataFrame:
     WITH parts AS ({split_sql('documents', 'doc_id', 'md5(text) AS m')})
     SELECT 'train' AS part, count(*) AS n FROM parts WHERE split = 'train'
     UNION ALL SELECT 'test', count(*) FROM parts WHERE split = 'test'
-    UNION ALL SELECT 'total', count(*) FROM parts
+    UNION ALL SELECT 'total', count(*) FROM documents
+    UNION ALL SELECT 'unassigned', count(*) FROM parts WHERE split IS NULL
+    UNION ALL SELECT 'distinct_texts', count(DISTINCT m) FROM parts
     UNION ALL SELECT 'shared_texts', count(*) FROM (
         SELECT m FROM parts GROUP BY m HAVING count(DISTINCT split) = 2)""")
 def split_report(spark: SparkSession, folder: str) -> DataFrame:

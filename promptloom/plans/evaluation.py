@@ -16,32 +16,37 @@ from promptloom.plans.registry import query, table
 from promptloom.streaming import steplog
 
 _SCORED_SQL = """
-    SELECT lang, coalesce(quality, -100) AS label, CAST(n_chars > 1000 AS INTEGER) AS pred
+    SELECT lang, coalesce(quality, -100) AS label, CAST(n_chars > 1000 AS INTEGER) AS pred,
+        (n_chars % 64) / 16 AS loss
     FROM documents LEFT JOIN labels USING (doc_id)"""
 _COUNTS_SQL = """CAST(sum(CASE WHEN label <> -100 AND pred = label THEN 1 ELSE 0 END) AS BIGINT)
         AS correct, CAST(sum(CASE WHEN label <> -100 THEN 1 ELSE 0 END) AS BIGINT) AS valid,
     round(sum(CASE WHEN label <> -100 AND pred = label THEN 1 ELSE 0 END)
-        / nullif(sum(CASE WHEN label <> -100 THEN 1 ELSE 0 END), 0), 6) AS accuracy"""
+        / nullif(sum(CASE WHEN label <> -100 THEN 1 ELSE 0 END), 0), 6) AS accuracy,
+    round(sum(loss), 6) AS loss_sum, count(loss) AS steps, round(sum(loss) / count(loss), 6) AS mean_loss"""
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with a label, ignored where there is none, and a prediction by length."""
+    """Documents with a label, ignored where there is none, a prediction and a loss by length.
+
+    The loss is a sixteenth of a whole number, so that its sum is the same in any order.
+    """
     return labelled(spark, folder).select(
         "lang", F.coalesce("quality", F.lit(IGNORE)).alias("label"),
-        (F.col("n_chars") > 1000).cast("int").alias("pred"),
+        (F.col("n_chars") > 1000).cast("int").alias("pred"), (F.col("n_chars") % 64 / 16).alias("loss"),
     )
 
 
 @query("masked_accuracy", f"SELECT lang, {_COUNTS_SQL} FROM ({_SCORED_SQL}) GROUP BY lang")
 def masked_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.masked_accuracy(scored(spark, folder), "pred", "label", ["lang"])
+    return metrics.masked_accuracy(scored(spark, folder), "pred", "label", ["lang"], loss="loss")
 
 
 @query("eval_summary", f"""
     SELECT lang, {_COUNTS_SQL} FROM ({_SCORED_SQL}) GROUP BY lang
     UNION ALL SELECT 'total', {_COUNTS_SQL} FROM ({_SCORED_SQL})""")
 def eval_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.eval_summary(scored(spark, folder), "pred", "label", "lang")
+    return metrics.eval_summary(scored(spark, folder), "pred", "label", "lang", loss="loss")
 
 
 @query("reduce_ranks", """
@@ -95,7 +100,7 @@ def running_loss(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("compare_runs", """
     SELECT user_id, round(a.mean, 6) AS mean_a, round(b.mean, 6) AS mean_b,
-        round(b.mean - a.mean, 6) AS delta
+        round(b.mean - a.mean, 6) AS delta, round(b.mean / nullif(a.mean, 0), 6) AS ratio
     FROM (SELECT user_id, avg(value) AS mean FROM events WHERE event_type = 'click'
         GROUP BY user_id) a
     FULL OUTER JOIN (SELECT user_id, avg(value) AS mean FROM events WHERE event_type <> 'click'

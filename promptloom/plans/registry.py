@@ -28,13 +28,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """A plain scan for work that costs far more than reading.
-
-    A file with fewer splits than there are cores would leave most of them idle, so its rows are
-    dealt out first; such an input is small.  With enough splits the scan stays as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan

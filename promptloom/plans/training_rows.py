@@ -16,7 +16,7 @@ from promptloom.operators.training_set import Settings, training_set
 from promptloom.plans.corpus import NA_SQL, PAIRS_SQL, paired
 from promptloom.plans.ordering import rank_sql, tokens_sql
 from promptloom.plans.prompts import CHAT_SQL, chat_corpus
-from promptloom.plans.registry import query, spread, table
+from promptloom.plans.registry import query, table
 
 # The length limits of the published training runs.
 LIMITS = [512, 1024, 1028, 2048, 4096, 8192, 12768, 42768]
@@ -49,7 +49,7 @@ def padded_sql(ids: str, n: str, pad: int = 0) -> str:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, folder, "documents").select("doc_id", "text")
 
 
 def document_vocab(spark: SparkSession, folder: str) -> DataFrame:
@@ -384,7 +384,8 @@ def masked_accuracy_arrays(spark: SparkSession, folder: str) -> DataFrame:
 # --- all steps together ---------------------------------------------------------------------------
 
 _TRAINING_SET_SQL = f"""
-    WITH clean AS (SELECT conv_id || ':' || turn AS key, * FROM ({CHAT_SQL})
+    WITH clean AS (SELECT length(CAST(conv_id AS VARCHAR)) || ':' || conv_id || ','
+            || length(CAST(turn AS VARCHAR)) || ':' || turn AS key, * FROM ({CHAT_SQL})
         WHERE system NOT IN ({NA_SQL}) AND prompt NOT IN ({NA_SQL}) AND answer NOT IN ({NA_SQL})),
     ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || key)) AS rank,
         count(*) OVER () AS n FROM clean),
