@@ -36,13 +36,38 @@ CLOSING = (
     "with the user's requirements, maintaining accuracy and coherence."
 )
 
-# The format has no escaping: a text that holds one of these cannot be put into a document.
+# A text that holds one of these is escaped: a backslash goes behind the `<`, and behind those that
+# stand there already, so every text can be put into a document and comes back as it was.
 RESERVED = ["</file_content>", "<file_begin>", "<directory_begin>"]
 VOLUME = 256
+_TAGS = "(" + "|".join(tag[1:] for tag in RESERVED) + ")"
+# Marks of a listing and line breaks, as they are written in names; the backslash comes first.
+_NAME_MARKS = {"\\": "\\b", "\n": "\\n", "\r": "\\r", "<": "\\l", ",": "\\c", "[": "\\o", "]": "\\k"}
+_META_MARKS = {"\\": "\\b", "\n": "\\n", "\r": "\\r", "<": "\\l"}
+
+
+def escape_text(content: Column) -> Column:
+    return F.regexp_replace(content, "<(\\\\*)" + _TAGS, "<$1\\\\$2")
+
+
+def unescape_text(content: Column) -> Column:
+    return F.regexp_replace(content, "<\\\\(\\\\*)" + _TAGS, "<$1$2")
+
+
+def escape_name(name: Column, marks: dict[str, str] = _NAME_MARKS) -> Column:
+    for mark, written in marks.items():
+        name = F.replace(name, F.lit(mark), F.lit(written))
+    return name
+
+
+def unescape_name(name: Column, marks: dict[str, str] = _NAME_MARKS) -> Column:
+    for mark, written in reversed(marks.items()):
+        name = F.replace(name, F.lit(written), F.lit(mark))
+    return name
 
 
 def writable(content) -> Column:
-    """Whether a file's text survives a round trip through a document."""
+    """Whether a file's text can stand in a document without being escaped."""
     content = F.col(content) if isinstance(content, str) else content
     clash = F.lit(False)
     for tag in RESERVED:
@@ -56,15 +81,13 @@ def gather_cases(
     """``key, volume, files`` with at most ``most`` files in a row, in order.
 
     ``order`` is an integer, unique inside a case.  A case with more files comes in several volumes,
-    each a complete document, so a row is bounded whatever the case holds.  Texts that are not
-    ``writable`` are to be filtered, and reported, before; one that is left raises.
+    each a complete document, so a row is bounded whatever the case holds.  Null texts and names
+    become empty ones.
     """
-    safe = F.when(writable(content), F.col(content)).otherwise(
-        F.raise_error(F.concat(F.lit("markup in the text of file "), F.col(file).cast("string")))
-    )
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     entry = F.struct(
-        F.col(order).alias("at"), F.col(folder).alias("folder"),
-        F.col(file).cast("string").alias("file"), safe.alias("content"),
+        F.col(order).alias("at"), said(folder).alias("folder"), said(file).alias("file"),
+        said(content).alias("content"),
     )
     return df.groupBy(key, F.floor(F.col(order) / most).alias("volume")).agg(
         F.array_sort(F.collect_list(entry)).alias("files")
@@ -72,11 +95,23 @@ def gather_cases(
 
 
 def case_document(meta: list[Column], files="files") -> Column:
-    """The document of one row's files; folders in the order they first occur."""
-    files = F.col(files) if isinstance(files, str) else files
+    """The document of one row's files; folders in the order they first occur.
+
+    Markup in texts, and marks of the format in names, are escaped.
+    """
+    files = F.transform(
+        files,
+        lambda f: F.struct(
+            escape_name(f.folder).alias("folder"), escape_name(f.file).alias("file"),
+            escape_text(f.content).alias("content"),
+        ),
+    )
     folders = F.array_distinct(F.transform(files, lambda f: f.folder))
     index = [
-        F.concat(F.lit(name + ": "), value.cast("string"), F.lit("\n"))
+        F.concat(
+            F.lit(name + ": "),
+            F.coalesce(escape_name(value.cast("string"), _META_MARKS), F.lit("")), F.lit("\n"),
+        )
         for name, value in zip(META_NAMES, meta, strict=True)
     ]
 
@@ -121,10 +156,10 @@ def parse_files(document) -> Column:
             name = F.substring_index(text, "\n", 1)
             body = F.substring_index(text, CONTENT_END, 1)
             skipped = F.length(name) + len(CONTENT_BEGIN)
+            content = F.substr(body, skipped + 1, F.greatest(F.length(body) - skipped, F.lit(0)))
             return F.struct(
-                folder.alias("folder"), name.alias("file"),
-                F.substr(body, skipped + 1, F.greatest(F.length(body) - skipped, F.lit(0)))
-                .alias("content"),
+                unescape_name(folder).alias("folder"), unescape_name(name).alias("file"),
+                unescape_text(content).alias("content"),
             )
 
         return F.transform(_tail(F.split(block, FILE_BEGIN)), one)
@@ -142,7 +177,8 @@ def case_parse(df: DataFrame, keys: list[str], document: str) -> DataFrame:
 def parse_index(document) -> list[Column]:
     """The four index lines as columns."""
     return [
-        F.regexp_extract(document, f"(?m)^{name}: ([^\\n]*)$", 1).alias(name.replace(" ", "_"))
+        unescape_name(F.regexp_extract(document, f"(?m)^{name}: ([^\\n]*)$", 1), _META_MARKS)
+        .alias(name.replace(" ", "_"))
         for name in META_NAMES
     ]
 
@@ -157,7 +193,8 @@ def parse_listing(document) -> Column:
             F.substring_index(line, LISTING_FILES, 1), LISTING_DIR, -1
         )
         names = F.substring_index(F.substring_index(line, LISTING_FILES, -1), "]</dir>", 1)
-        return F.struct(folder.alias("folder"), F.split(names, ", ").alias("files"))
+        listed = F.transform(F.split(names, ", "), lambda n: unescape_name(n))
+        return F.struct(unescape_name(folder).alias("folder"), listed.alias("files"))
 
     return F.transform(lines, one)
 

@@ -22,11 +22,13 @@ def part_of(order: str, size: int = PART) -> Column:
 
 def gather_messages(
     df: DataFrame, key: str, order: str, role: str = "role", content: str = "text",
-    part_size: int = PART,
+    part_size: int = 1,
 ) -> DataFrame:
     """``key, part, messages, context`` with at most ``part_size`` messages in a row.
 
-    ``order`` is an integer, unique inside a key.  Most conversations have the single part 0.
+    ``order`` is an integer, unique inside a key.  With one message to a row, ``part`` is its place,
+    and the renderings of a conversation's rows joined in that order are the whole one's, however
+    long it is.
     """
     rows = df.select(
         key, part_of(order, part_size).alias("part"), F.col(order).alias("_at"),

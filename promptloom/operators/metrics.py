@@ -201,7 +201,20 @@ def supervision_report(df: DataFrame, labels: dict[str, Column]) -> DataFrame:
             for mode, column in labels.items()
         ]
     )
-    sums = df.select(F.inline(counted)).groupBy("mode").agg(
+    return _supervision(df.select(F.inline(counted)))
+
+
+def supervision_totals(df: DataFrame, tokens: str, counts: list[str]) -> DataFrame:
+    """The same from rows that hold the number of tokens and the supervised ones of each way."""
+    lines = [
+        F.struct(F.lit(mode).alias("mode"), F.col(tokens).alias("n"), F.col(mode).alias("s"))
+        for mode in counts
+    ]
+    return _supervision(df.select(F.inline(F.array(*lines))))
+
+
+def _supervision(rows: DataFrame) -> DataFrame:
+    sums = rows.groupBy("mode").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(F.when(F.col("s") == 0, 1).otherwise(0)).alias("unsupervised_rows"),
         F.sum("s").alias("supervised_tokens"), F.sum("n").alias("_n"),

@@ -49,7 +49,7 @@ def attach_similar(
 ) -> DataFrame:
     """The most similar case of each requirement: equal in ``same``, nearest in ``size``.
 
-    Ties go to the smaller case key; a requirement without any case is left out.  Cases are first
+    Ties go to the smaller case key; a requirement without any case keeps nulls.  Cases are first
     reduced to one per distinct size, so a group's window never holds more rows than it has sizes,
     and no pair of a requirement with a case that loses is ever built.
     """
@@ -80,7 +80,7 @@ def attach_similar(
     best = best.filter(F.col("_best").isNotNull()).select(
         *same, size, F.col("_best.case").alias(case_key), F.col("_best.gap").alias("gap")
     )
-    return skew_join(requirements, best, same + [size], [key])
+    return skew_join(requirements, best, same + [size], [key], "left")
 
 
 def leakage(df: DataFrame, key: str, text: str) -> DataFrame:

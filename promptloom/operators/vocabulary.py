@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from promptloom.operators.order import as_list, global_rank
@@ -15,7 +19,7 @@ SPECIALS = ["<pad>", "<unk>", "<eos>"]
 PAD, UNK, EOS = 0, 1, 2
 
 # The most frequent tokens are looked up by broadcast: at most 65,536 rows of at most 256
-# characters.  Any other token is rarer than a 65,536th of the text, so its shuffle is not skewed.
+# characters.
 HEAD = 1 << 16
 HEAD_LENGTH = 256
 
@@ -23,11 +27,12 @@ HEAD_LENGTH = 256
 def build_vocab(df: DataFrame, toks: Column, max_size: int | None = None) -> DataFrame:
     """``id, token, freq``: the special tokens, then all others by frequency and token.
 
-    ``max_size`` bounds the vocabulary as a tokenizer's size does; the default keeps every token.
+    Text that reads like a special token gets an id of its own, so that nothing in a text can pass
+    for padding or for its end.  ``max_size`` bounds the vocabulary as a tokenizer's size does; the default keeps every token.
     """
     counts = (
         df.select(F.explode(toks).alias("token"))
-        .filter(~F.col("token").isin(SPECIALS))
+        .filter(F.col("token").isNotNull())
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("freq"))
     )
@@ -46,90 +51,134 @@ def build_vocab(df: DataFrame, toks: Column, max_size: int | None = None) -> Dat
 
 
 def _is_head() -> Column:
-    return (F.col("_id") < HEAD) & (F.length("_token") <= HEAD_LENGTH)
+    return (F.col("id") < HEAD) & (F.length("token") <= HEAD_LENGTH)
 
 
-def _by_key(df: DataFrame, key: list[str]) -> DataFrame:
-    """Partitioned by a key that is never null.
+def _head(vocab: DataFrame) -> list[tuple[int, str]]:
+    """The head's ids and tokens without the special ones: HEAD rows at most."""
+    rows = vocab.filter(_is_head() & (F.col("id") >= len(SPECIALS))).select("id", "token")
+    return [(r.id, r.token) for r in rows.collect()]
 
-    The filter is the one a later join on the key would add to one of its sides; with it both sides
-    are the same and share one shuffle.
-    """
-    for column in key:
-        df = df.filter(F.col(column).isNotNull())
-    return df.repartition(*key)
 
+def _tail(vocab: DataFrame) -> DataFrame:
+    rest = vocab.filter(~_is_head() & (F.col("id") >= len(SPECIALS)))
+    return rest.select(F.col("id").alias("_id"), F.col("token").alias("_token"))
 
-def _looked_up(
-    rows: DataFrame, key: list[str], vocab: DataFrame, by: str, want: str, entry: list[Column]
-) -> DataFrame:
-    """``key, _entries``: each row's entries in order, with ``want`` from the vocabulary.
 
-    ``rows`` come partitioned by ``key``, so the broadcast lookups and the grouping after them stay
-    in the same task; only what the head of the vocabulary lacks is shuffled to its tail.  A
-    vocabulary of a tokenizer's size has no tail and needs that step not at all.
+def _keyed(df: DataFrame, key: list[str], *columns: Column) -> DataFrame:
+    """The key, which must not be null, and some columns."""
+    failure = F.raise_error(F.lit("null key: " + ", ".join(key)))
+    return df.select(*[F.coalesce(F.col(c), failure).alias(c) for c in key], *columns)
+
+
+def _places(lengths: np.ndarray, missing: np.ndarray, values: list) -> tuple[np.ndarray, list[list]]:
+    """For entries the head lacks: which of its row's distinct ones each is, and these by row."""
+    rows = np.repeat(np.arange(lengths.size), lengths)[missing]
+    distinct: list[dict] = [{} for _ in range(lengths.size)]
+    at = [distinct[r].setdefault(v, len(distinct[r])) for r, v in zip(rows.tolist(), values, strict=True)]
+    return np.asarray(at, np.int32), [list(d) for d in distinct]
+
+
+def _found(coded: DataFrame, key: list[str], tail: DataFrame, by: str, want: str, unknown) -> DataFrame:
+    """``key, _found``: what the tail of the vocabulary has for each row's distinct entries, in order.
+
+    Only these entries are shuffled, once for each row; a join Spark may split where one is in very
+    many rows.
     """
-    vocab = vocab.select(F.col("id").alias("_id"), F.col("token").alias("_token"))
-    tail = vocab.filter(~_is_head())
-    looked = rows.join(F.broadcast(vocab.filter(_is_head())), by, "left")
-    # the placeholder of an empty row has no position
-    placed = F.filter(F.array_sort("_entries"), lambda e: e.getField("_pos").isNotNull())
-    if tail.isEmpty():
-        gathered = looked.groupBy(*key).agg(F.collect_list(F.struct(*entry)).alias("_entries"))
-        return gathered.select(*key, placed.alias("_entries"))
-    found = looked.groupBy(*key).agg(
-        F.collect_list(F.when(F.col(want).isNotNull(), F.struct(*entry))).alias("_found")
-    )
-    rest = (
-        looked.filter(F.col(want).isNull())
-        .drop(want)
-        .join(tail, by, "left")
-        .groupBy(*key)
-        .agg(F.collect_list(F.struct(*entry)).alias("_rest"))
-    )
-    both = F.when(F.col("_rest").isNull(), F.col("_found")).otherwise(F.concat("_found", "_rest"))
-    gathered = found.join(rest, key, "left").withColumn("_entries", both)
-    return gathered.select(*key, placed.alias("_entries"))
+    asked = coded.select(*key, F.posexplode("_tail").alias("_k", by)).join(tail, by, "left")
+    entry = F.struct("_k", F.coalesce(F.col(want), F.lit(unknown)).alias("v"))
+    gathered = asked.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    return gathered.select(*key, F.col("_e.v").alias("_found"))
+
+
+def _schema(df: DataFrame, *added: T.StructField) -> T.StructType:
+    return T.StructType([*(f for f in df.schema if f.name != "_in"), *added])
 
 
 def encode(
-    df: DataFrame, key, toks: Column, vocab: DataFrame, out: str = "ids", tags: Column | None = None
+    df: DataFrame, key, toks: Column, vocab: DataFrame, out: str = "ids", tags: Column | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """``key, out``: the ids of each row's token array, unknown tokens as ``<unk>``.
 
-    ``key`` is unique and not null.  ``tags`` is an optional parallel array that comes back as ``tags``.
+    ``key`` is unique; a null in it is an error.  ``tags`` is an optional parallel array that comes
+    back as ``tags``, ``carry`` names columns that come back as they are.  A token that reads like a
+    special one is a token like any other.  The head of the vocabulary is looked up inside the row,
+    in Arrow batches; only each row's distinct other tokens are shuffled.
     """
-    key = as_list(key)
-    tagged = tags is not None
-    source = _by_key(df, key).select(
-        *key, toks.alias("_toks"), *([tags.alias("_tags")] if tagged else [])
-    )
-    # a row without tokens keeps one padding entry without a position, so that it is not lost
-    exploded = source.select("*", F.posexplode_outer("_toks").alias("_pos", "_token"))
-    rows = exploded.select(
-        *key, "_pos", F.coalesce("_token", F.lit(SPECIALS[PAD])).alias("_token"),
-        *([F.get("_tags", F.col("_pos")).alias("_tag")] if tagged else []),
-    )
-    entry = [F.col("_pos"), F.coalesce("_id", F.lit(UNK)).alias("id")]
-    entry += [F.col("_tag")] if tagged else []
-    columns = [F.col("_entries.id").alias(out)]
-    columns += [F.col("_entries._tag").alias("tags")] if tagged else []
-    return _looked_up(rows, key, vocab, "_token", "_id", entry).select(*key, *columns)
+    key, carry = as_list(key), carry or []
+    extra = [F.col(c) for c in carry] + ([tags.alias("tags")] if tags is not None else [])
+    rows = _keyed(df, key, *extra, F.coalesce(toks, F.array().cast("array<string>")).alias("_in"))
+    head = _head(vocab)
+    shipped = df.sparkSession.sparkContext.broadcast(([i for i, _ in head], [t for _, t in head]))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.asarray(shipped.value[0], np.int32)
+        known = pa.array(shipped.value[1], pa.string())
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            values, lengths = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            at = pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy()
+            coded = np.where(at >= 0, ids[at] if ids.size else 0, 0).astype(np.int32)
+            missing = np.flatnonzero(at < 0)
+            place, tail = _places(lengths, missing, values.take(pa.array(missing)).to_pylist())
+            coded[missing] = -1 - place
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            columns = [*batch.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(coded)), pa.array(tail, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_ids", "_tail"])
+
+    numbers, texts = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
+    coded = rows.mapInArrow(look_up, _schema(rows, T.StructField("_ids", numbers), T.StructField("_tail", texts)))
+    both = coded.drop("_tail").join(_found(coded, key, _tail(vocab), "_token", "_id", UNK), key, "left")
+    filled = F.transform("_ids", lambda x: F.when(x >= 0, x).otherwise(F.get("_found", -1 - x)))
+    names = key + carry + (["tags"] if tags is not None else [])
+    return both.select(*names, filled.alias(out))
 
 
 def decode(
     df: DataFrame, key, ids: str, vocab: DataFrame, out: str = "text", skip_special: bool = True
 ) -> DataFrame:
-    """``key, out``: the tokens of each id array joined by blanks, special ones left out."""
+    """``key, out``: the tokens of each id array joined by blanks, special ones left out.
+
+    An id the vocabulary lacks, or a null one, reads ``<unk>``.
+    """
     key = as_list(key)
-    rows = _by_key(df, key).select(*key, F.posexplode_outer(ids).alias("_pos", "_id"))
-    rows = rows.withColumn("_id", F.coalesce("_id", F.lit(PAD)))
-    entry = [F.col("_pos"), F.col("_id").alias("id"), F.col("_token").alias("token")]
-    texts = _looked_up(rows, key, vocab, "_id", "_token", entry)
-    kept = F.col("_entries")
-    if skip_special:
-        kept = F.filter(kept, lambda e: e.id >= len(SPECIALS))
-    return texts.select(*key, F.array_join(F.transform(kept, lambda e: e.token), " ").alias(out))
+    empty = F.array().cast("array<int>")
+    rows = _keyed(df, key, F.coalesce(F.col(ids).cast("array<int>"), empty).alias("_in"))
+    shipped = df.sparkSession.sparkContext.broadcast(_head(vocab))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = dict(enumerate(SPECIALS)) | dict(shipped.value)
+        names = pa.array(known.values(), pa.string())
+        numbers = pa.array(known.keys(), pa.int32())
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            values, lengths = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            if skip_special:
+                special = pc.fill_null(pc.is_in(values, value_set=pa.array(range(len(SPECIALS)), pa.int32())), False)
+                kept = ~special.to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(lengths.size), lengths)[kept]
+                values, lengths = values.filter(pa.array(kept)), np.bincount(row, minlength=lengths.size)
+            values = pc.fill_null(values, -1)
+            at = pc.index_in(values, value_set=numbers)
+            missing = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+            place, tail = _places(lengths, missing, values.take(pa.array(missing)).to_pylist())
+            where = np.full(len(values), -1, np.int32)
+            where[missing] = place
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            columns = [
+                *batch.columns[:-1], pa.ListArray.from_arrays(offsets, names.take(at)),
+                pa.ListArray.from_arrays(offsets, pa.array(where)), pa.array(tail, pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_toks", "_at", "_tail"])
+
+    numbers, texts = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
+    read = rows.mapInArrow(
+        look_up, _schema(rows, T.StructField("_toks", texts), T.StructField("_at", numbers), T.StructField("_tail", numbers))
+    )
+    both = read.drop("_tail").join(_found(read, key, _tail(vocab), "_id", "_token", SPECIALS[UNK]), key, "left")
+    filled = F.zip_with("_toks", "_at", lambda t, k: F.coalesce(t, F.get("_found", k)))
+    return both.select(*key, F.array_join(filled, " ").alias(out))
 
 
 def encode_with(make: Callable[[], Callable[[str], Iterable[int]]], text) -> Column:

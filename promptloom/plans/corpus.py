@@ -277,7 +277,7 @@ def map_lookup(spark: SparkSession, folder: str) -> DataFrame:
             abs(r.n_chars - c.n_chars) AS gap,
             row_number() OVER (PARTITION BY r.doc_id
                 ORDER BY abs(r.n_chars - c.n_chars), c.doc_id) AS rn
-        FROM reqs r JOIN cases c ON r.lang = c.lang AND r.source = c.source)
+        FROM reqs r LEFT JOIN cases c ON r.lang = c.lang AND r.source = c.source)
     WHERE rn = 1""")
 def attach_similar(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")

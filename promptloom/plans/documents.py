@@ -14,7 +14,7 @@ _KEYS = ["conv_id", "volume"]
 
 def case_rows(spark: SparkSession, folder: str) -> DataFrame:
     """``conv_id, volume, files, document`` of every conversation."""
-    turns = table(spark, folder, "conversations").filter(C.writable("text"))
+    turns = table(spark, folder, "conversations")
     rows = C.gather_cases(turns, "conv_id", "role", "turn", "turn", "text")
     meta = [
         F.concat(F.lit("case "), F.col("conv_id").cast("string")), F.lit("dialogue"),
@@ -25,9 +25,7 @@ def case_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _CASES_SQL = """
-    kept AS (SELECT *, turn // 256 AS volume FROM conversations
-        WHERE NOT contains(text, '</file_content>') AND NOT contains(text, '<file_begin>')
-            AND NOT contains(text, '<directory_begin>')),
+    kept AS (SELECT *, turn // 256 AS volume FROM conversations),
     dirs AS (SELECT conv_id, volume, role, min(turn) AS loc,
         '<dir>directory name: ' || role || '. File names in this directory: ['
             || string_agg(CAST(turn AS VARCHAR), ', ' ORDER BY turn) || ']</dir>' || chr(10)
@@ -107,33 +105,67 @@ def _text_sql(text: str) -> str:
 
 @query("ablation_pair", f"""
     WITH {_CASES_SQL},
-    asked AS (SELECT conv_id, volume, arg_min(text, turn) AS requirement
-        FROM kept WHERE role = 'user' GROUP BY conv_id, volume)
+    asked AS (SELECT conv_id, arg_min(text, turn) AS requirement
+        FROM kept WHERE role = 'user' GROUP BY conv_id)
     SELECT conv_id, volume, 'with_reference' AS variant, {_text_sql(C.REQUIREMENT)} || requirement
         || {_text_sql(C.REFER)} || document || {_text_sql(C.TRUST_REFERENCE + C.CLOSING)} AS prompt
-    FROM docs JOIN asked USING (conv_id, volume)
+    FROM docs JOIN asked USING (conv_id)
     UNION ALL
     SELECT conv_id, volume, 'without_reference', {_text_sql(C.REQUIREMENT)} || requirement
         || {_text_sql(chr(10) + C.CLOSING)}
-    FROM asked""")
+    FROM docs JOIN asked USING (conv_id)""")
 def ablation_pair(spark: SparkSession, folder: str) -> DataFrame:
-    asked = F.filter("files", lambda f: f.folder == "user")
-    rows = case_rows(spark, folder).withColumn(
-        "requirement", F.get(asked, F.lit(0)).getField("content")
-    )
-    return C.ablation_pair(
-        rows.filter(F.col("requirement").isNotNull()), _KEYS, F.col("requirement"),
-        F.col("document"),
+    """The requirement is the conversation's first user turn, in whichever volume it stands."""
+    said = table(spark, folder, "conversations").filter(F.col("role") == "user")
+    asked = said.groupBy("conv_id").agg(F.min_by("text", "turn").alias("requirement"))
+    rows = case_rows(spark, folder).join(asked.filter(F.col("requirement").isNotNull()), "conv_id")
+    return C.ablation_pair(rows, _KEYS, F.col("requirement"), F.col("document"))
+
+
+_MARKED_SQL = """SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0
+        THEN text || ' <file_begin> </file_content>' ELSE text END AS text FROM conversations"""
+
+
+def marked_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversations with the format's own markup in every third turn."""
+    markup = F.concat("text", F.lit(" <file_begin> </file_content>"))
+    return table(spark, folder, "conversations").withColumn(
+        "text", F.when(F.col("turn") % 3 == 0, markup).otherwise(F.col("text"))
     )
 
 
-@query("unwritable_files", """
-    SELECT conv_id, turn FROM conversations WHERE contains(text, '</file_content>')
+@query("unwritable_files", f"""
+    SELECT conv_id, turn FROM ({_MARKED_SQL}) WHERE contains(text, '</file_content>')
         OR contains(text, '<file_begin>') OR contains(text, '<directory_begin>')""")
 def unwritable_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows ``case_document`` has to leave out, since the format cannot escape them."""
-    turns = table(spark, folder, "conversations")
-    return turns.filter(~C.writable("text")).select("conv_id", "turn")
+    """The rows whose text ``case_document`` has to escape."""
+    return marked_turns(spark, folder).filter(~C.writable("text")).select("conv_id", "turn")
+
+
+@query("escaped_round_trip", f"""
+    SELECT conv_id, role || ', [' || turn || ']' AS file, text AS content FROM ({_MARKED_SQL})""")
+def escaped_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with markup, and names with the marks of a listing, come back from a document."""
+    turns = marked_turns(spark, folder).withColumn(
+        "name", F.concat("role", F.lit(", ["), "turn", F.lit("]"))
+    )
+    rows = C.gather_cases(turns, "conv_id", "role", "name", "turn", "text")
+    rows = rows.withColumn("document", C.case_document([F.lit("m\n, n")] * 4))
+    return C.case_parse(rows, _KEYS, "document").select("conv_id", "file", "content")
+
+
+@query("broken_consistency", """
+    SELECT conv_id, turn // 256 AS volume, count(*) AS listed,
+        count(*) - CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) > 0 AS INTEGER) AS parsed,
+        coalesce('user/' || min(CASE WHEN role = 'user' THEN turn END), '') AS missing
+    FROM conversations GROUP BY 1, 2""")
+def broken_consistency(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose first user file has lost its body: the check has to name it."""
+    lost = F.regexp_replace(
+        "document", "(?s)(<directory_begin>directory name: user\n)<file_begin>.*?</file_end>\n\n", "$1"
+    )
+    broken = case_rows(spark, folder).select(*_KEYS, C.consistency(lost).alias("_c"))
+    return broken.select(*_KEYS, "_c.listed", "_c.parsed", F.array_join("_c.missing", " ").alias("missing"))
 
 
 def _count_sql(needle: str) -> str:

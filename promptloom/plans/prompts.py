@@ -136,8 +136,8 @@ def conversations(spark: SparkSession, folder: str) -> DataFrame:
     return gather_messages(table(spark, folder, "conversations"), "conv_id", "turn")
 
 
-# one row per part of 256 turns; `first` and `last` are the conversation's own
-_PARTS_SQL = """SELECT *, turn // 256 AS part, min(turn) OVER (PARTITION BY conv_id) AS first,
+# one row per message; `first` and `last` are the conversation's own
+_PARTS_SQL = """SELECT *, turn AS part, min(turn) OVER (PARTITION BY conv_id) AS first,
     max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations"""
 CHATML_SQL = f"""
     SELECT conv_id, part, string_agg(CASE WHEN turn = first AND role <> 'system'
@@ -174,10 +174,10 @@ _REASONING_SQL = """
             AND (turn = last OR reasoning <> '')
         THEN '<think>' || chr(10) || trim(reasoning, chr(10)) || chr(10) || '</think>' || chr(10)
             || chr(10) || ltrim(content, chr(10)) ELSE content END AS body FROM told)
-    SELECT conv_id, turn // 256 AS part, string_agg('<|im_start|>' || role || chr(10) || body
+    SELECT conv_id, turn AS part, string_agg('<|im_start|>' || role || chr(10) || body
         || '<|im_end|>' || chr(10), '' ORDER BY turn) || CASE WHEN max(turn) = any_value(last)
         THEN '<|im_start|>assistant' || chr(10) ELSE '' END AS text
-    FROM bodies GROUP BY conv_id, turn // 256"""
+    FROM bodies GROUP BY conv_id, turn"""
 
 
 @query("reasoning_chat", _REASONING_SQL.format(content="text", reasoning="''"))

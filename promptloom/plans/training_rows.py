@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.functions import masks as M
@@ -26,7 +26,7 @@ CUTOFF = 1028
 def vocab_sql(tokens_from: str) -> str:
     """CTE ``vocab`` over the rows of a CTE that has a ``token`` column."""
     return f"""counts AS (SELECT token, count(*) AS freq FROM {tokens_from}
-        WHERE token NOT IN ('<pad>', '<unk>', '<eos>') GROUP BY token),
+        GROUP BY token),
     vocab AS (SELECT CAST(row_number() OVER (ORDER BY freq DESC, token) + 2 AS INTEGER) AS id, token, freq
             FROM counts
         UNION ALL VALUES (0, '<pad>', 0), (1, '<unk>', 0), (2, '<eos>', 0))"""
@@ -232,42 +232,59 @@ def strip_prefix(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- label masks ----------------------------------------------------------------------------------
 
-# one of the limits above; part of the conversations are longer, so rows are both cut and padded
+# one of the limits above; part of the conversations are longer, so ``mask_pad`` both cuts and pads
 CHAT_LIMIT = 512
 RESPONSE_MARK = "<|im_start|>assistant"
 
 _CHAT_TOKENS_SQL = f"""msgs AS (
-        SELECT conv_id, turn, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>'
-            || chr(10) AS piece FROM conversations
+        SELECT conv_id, turn, turn AS home, role, '<|im_start|>' || role || chr(10) || text
+            || '<|im_end|>' || chr(10) AS piece FROM conversations
         UNION ALL
-        SELECT conv_id, -1, 'system', '<|im_start|>system' || chr(10) || '{DEFAULT_SYSTEM}'
+        SELECT conv_id, -1, first, 'system', '<|im_start|>system' || chr(10) || '{DEFAULT_SYSTEM}'
             || '<|im_end|>' || chr(10)
-        FROM (SELECT conv_id, arg_min(role, turn) AS r FROM conversations GROUP BY 1)
+        FROM (SELECT conv_id, arg_min(role, turn) AS r, min(turn) AS first FROM conversations GROUP BY 1)
         WHERE r <> 'system'),
-    toks AS (SELECT conv_id, turn, role, unnest(t) AS token, generate_subscripts(t, 1) AS p
-        FROM (SELECT conv_id, turn, role, {tokens_sql('piece')} AS t FROM msgs)),
+    toks AS (SELECT conv_id, turn, home, role, unnest(t) AS token, generate_subscripts(t, 1) AS p
+        FROM (SELECT conv_id, turn, home, role, {tokens_sql('piece')} AS t FROM msgs)),
     placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, p) AS loc,
         role = 'assistant' AND p > 1 AS learnt FROM toks)"""
+# `home` is the message whose piece a token is in; a default system turn is in the first one's
 _CHAT_IDS_SQL = f"""{_CHAT_TOKENS_SQL}, {vocab_sql('toks')},
-    mark AS (SELECT id FROM vocab WHERE token = '{RESPONSE_MARK}'),
-    cut AS (SELECT conv_id, loc, id, learnt FROM placed JOIN vocab USING (token)
-        WHERE loc <= {CHAT_LIMIT}),
-    marks AS (SELECT conv_id, coalesce(max(CASE WHEN id = (SELECT id FROM mark) THEN loc END),
-            {CHAT_LIMIT}) AS last_mark,
-        coalesce(min(CASE WHEN id = (SELECT id FROM mark) THEN loc END), {CHAT_LIMIT}) AS first_mark
-        FROM cut GROUP BY conv_id)"""
+    coded AS (SELECT conv_id, home, loc, token, id, learnt FROM placed JOIN vocab USING (token)
+        WHERE id > 2),
+    marks AS (SELECT conv_id, max(CASE WHEN token = '{RESPONSE_MARK}' THEN loc END) AS last_mark,
+            min(CASE WHEN token = '{RESPONSE_MARK}' THEN loc END) AS first_mark
+        FROM coded GROUP BY conv_id)"""
 
 
 def pieces(spark: SparkSession, folder: str) -> DataFrame:
     return chat_pieces(table(spark, folder, "conversations"), "conv_id", "turn")
 
 
-def chat_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """``conv_id, ids, tags, mark``: cut conversations and the id of the response marker."""
+def message_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """``conv_id, turn, start, ids, tags``: the ids of every message, tag 1 where an assistant speaks.
+
+    A row is a message, so a conversation of any length needs no row of its own.
+    """
     rows = pieces(spark, folder)
     vocab = V.build_vocab(rows, tokens("piece"))
-    mark = vocab.filter(F.col("token") == RESPONSE_MARK).select("id").scalar()
-    return chat_rows(rows, "conv_id", "turn", vocab, CHAT_LIMIT).withColumn("mark", mark)
+    toks = tokens("piece")
+    tags = F.transform(toks, lambda t, i: F.when((F.col("role") == "assistant") & (i >= F.col("lead")), 1).otherwise(0))
+    return V.encode(rows, ["conv_id", "turn"], toks, vocab, tags=tags, carry=["start"])
+
+
+def response_marks(rows: DataFrame) -> DataFrame:
+    """``conv_id, first_mark, last_mark``: where the response marker stands, null without one."""
+    places = F.transform(tokens("piece"), lambda t, i: F.when(t == RESPONSE_MARK, F.col("start") + i))
+    return rows.groupBy("conv_id").agg(
+        F.min(F.array_min(places)).alias("first_mark"), F.max(F.array_max(places)).alias("last_mark")
+    )
+
+
+def cut_chat_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """``conv_id, ids, tags``: conversations cut to ``CHAT_LIMIT`` tokens."""
+    rows = pieces(spark, folder)
+    return chat_rows(rows, "conv_id", "turn", V.build_vocab(rows, tokens("piece")), CHAT_LIMIT)
 
 
 @query("training_lengths", f"""
@@ -281,7 +298,8 @@ def training_lengths(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("mask_pad", f"""
     WITH {_CHAT_IDS_SQL},
-    rows AS (SELECT conv_id, list(id ORDER BY loc) AS l FROM cut GROUP BY conv_id),
+    rows AS (SELECT conv_id, list(id ORDER BY loc) AS l FROM coded WHERE loc <= {CHAT_LIMIT}
+        GROUP BY conv_id),
     ended AS (SELECT conv_id, list_append(l, 2)[1:{CHAT_LIMIT}] AS l FROM rows),
     labels AS (SELECT conv_id, l, {padded_sql('l', str(CHAT_LIMIT), -100)} AS kept FROM ended)
     SELECT conv_id, len(list_filter(l, lambda x: x <> 2)) AS by_token, len(l) AS by_attention,
@@ -290,7 +308,7 @@ def training_lengths(spark: SparkSession, folder: str) -> DataFrame:
         md5({joined_sql('kept')}) AS attention_md5 FROM labels""")
 def mask_pad(spark: SparkSession, folder: str) -> DataFrame:
     """The end token is also the padding, as where a tokenizer has no padding token of its own."""
-    ended = chat_ids(spark, folder).withColumn(
+    ended = cut_chat_ids(spark, folder).withColumn(
         "ids", F.concat("ids", F.array(F.lit(V.EOS)))
     )
     fitted = ended.select(
@@ -310,21 +328,27 @@ def mask_pad(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("mask_completion", f"""
     WITH {_CHAT_IDS_SQL}
-    SELECT conv_id, CAST(sum(CASE WHEN loc > last_mark THEN 1 ELSE 0 END) AS BIGINT) AS after_last,
+    SELECT conv_id, home AS turn,
+        CAST(sum(CASE WHEN loc > last_mark THEN 1 ELSE 0 END) AS BIGINT) AS after_last,
         CAST(sum(CASE WHEN loc > first_mark THEN 1 ELSE 0 END) AS BIGINT) AS after_first,
         md5(string_agg(CASE WHEN loc > last_mark THEN id ELSE -100 END, ' ' ORDER BY loc))
             AS last_md5,
         md5(string_agg(CASE WHEN loc > first_mark THEN id ELSE -100 END, ' ' ORDER BY loc))
             AS first_md5
-    FROM cut JOIN marks USING (conv_id) GROUP BY conv_id""")
+    FROM coded JOIN marks USING (conv_id) GROUP BY conv_id, home""")
 def mask_completion(spark: SparkSession, folder: str) -> DataFrame:
-    mark = [F.col("mark")]
-    labels = chat_ids(spark, folder).select(
-        "conv_id", M.mask_completion("ids", mark).alias("_l"),
-        M.mask_completion("ids", mark, "first").alias("_f"),
+    """Labels behind the conversation's last, or first, response marker, message by message."""
+    marked = message_ids(spark, folder).join(response_marks(pieces(spark, folder)), "conv_id")
+
+    def behind(mark: str) -> Column:
+        there = lambda i: F.coalesce(F.col("start") + i > F.col(mark), F.lit(False))
+        return F.transform("ids", lambda x, i: F.when(there(i), x).otherwise(M.IGNORE))
+
+    labels = marked.select(
+        "conv_id", "turn", behind("last_mark").alias("_l"), behind("first_mark").alias("_f")
     )
     return labels.select(
-        "conv_id", M.supervised("_l").cast("bigint").alias("after_last"),
+        "conv_id", "turn", M.supervised("_l").cast("bigint").alias("after_last"),
         M.supervised("_f").cast("bigint").alias("after_first"),
         F.md5(M.joined("_l")).alias("last_md5"), F.md5(M.joined("_f")).alias("first_md5"),
     )
@@ -332,16 +356,16 @@ def mask_completion(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("mask_assistant", f"""
     WITH {_CHAT_IDS_SQL}
-    SELECT conv_id, CAST(sum(CASE WHEN learnt THEN 1 ELSE 0 END) AS BIGINT) AS supervised,
+    SELECT conv_id, home AS turn, CAST(sum(CASE WHEN learnt THEN 1 ELSE 0 END) AS BIGINT) AS supervised,
         count(*) AS n_tokens,
         md5(string_agg(CASE WHEN learnt THEN id ELSE -100 END, ' ' ORDER BY loc)) AS labels_md5
-    FROM cut GROUP BY conv_id""")
+    FROM coded GROUP BY conv_id, home""")
 def mask_assistant(spark: SparkSession, folder: str) -> DataFrame:
-    labels = chat_ids(spark, folder).select(
-        "conv_id", "ids", M.mask_flagged("ids", "tags").alias("_l")
+    labels = message_ids(spark, folder).select(
+        "conv_id", "turn", "ids", M.mask_flagged("ids", "tags").alias("_l")
     )
     return labels.select(
-        "conv_id", M.supervised("_l").cast("bigint").alias("supervised"),
+        "conv_id", "turn", M.supervised("_l").cast("bigint").alias("supervised"),
         F.size("ids").cast("bigint").alias("n_tokens"), F.md5(M.joined("_l")).alias("labels_md5"),
     )
 
@@ -351,33 +375,43 @@ def mask_assistant(spark: SparkSession, folder: str) -> DataFrame:
     rows AS (SELECT conv_id, count(*) AS n, count(*) AS pad,
         sum(CASE WHEN loc > last_mark THEN 1 ELSE 0 END) AS completion,
         sum(CASE WHEN learnt THEN 1 ELSE 0 END) AS assistant
-        FROM cut JOIN marks USING (conv_id) GROUP BY conv_id),
+        FROM coded JOIN marks USING (conv_id) GROUP BY conv_id),
     modes AS (SELECT unnest(['pad', 'completion', 'assistant']) AS mode,
         unnest([pad, completion, assistant]) AS s, n FROM rows)
     SELECT mode, count(*) AS n_rows, CAST(sum(CASE WHEN s = 0 THEN 1 ELSE 0 END) AS BIGINT)
             AS unsupervised_rows, CAST(sum(s) AS BIGINT) AS supervised_tokens,
         round(sum(s) / sum(n), 6) AS supervised_share FROM modes GROUP BY mode""")
 def supervision_report(spark: SparkSession, folder: str) -> DataFrame:
-    rows = chat_ids(spark, folder)
-    labels = {
-        "pad": M.mask_pad("ids", V.PAD), "completion": M.mask_completion("ids", [F.col("mark")]),
-        "assistant": M.mask_flagged("ids", "tags"),
-    }
-    return metrics.supervision_report(rows, labels)
+    """Whole conversations, from where their pieces and markers stand: no ids are needed for it."""
+    rows = pieces(spark, folder)
+    last = F.max(F.array_max(F.transform(
+        tokens("piece"), lambda t, i: F.when(t == RESPONSE_MARK, F.col("start") + i)
+    )))
+    learnt = F.when(F.col("role") == "assistant", F.greatest(F.col("n_tokens") - F.col("lead"), F.lit(0)))
+    counted = rows.groupBy("conv_id").agg(
+        F.sum("n_tokens").alias("n"), last.alias("_last"),
+        F.coalesce(F.sum(learnt), F.lit(0)).alias("assistant"),
+    )
+    behind = F.coalesce(F.col("n") - F.col("_last") - 1, F.lit(0))
+    counted = counted.withColumn("completion", behind).withColumn("pad", F.col("n"))
+    return metrics.supervision_totals(counted, "n", ["pad", "completion", "assistant"])
 
 
 @query("masked_accuracy_arrays", f"""
     WITH {_CHAT_IDS_SQL},
     guessed AS (SELECT conv_id, id, learnt, loc > 1 AND learnt AS valid,
-        lag(id) OVER (PARTITION BY conv_id ORDER BY loc) AS guess FROM cut)
+        lag(id) OVER (PARTITION BY conv_id ORDER BY loc) AS guess FROM coded)
     SELECT conv_id, CAST(sum(CASE WHEN valid AND guess = id THEN 1 ELSE 0 END) AS BIGINT) AS correct,
         CAST(sum(CASE WHEN valid THEN 1 ELSE 0 END) AS BIGINT) AS valid,
         round(sum(CASE WHEN valid AND guess = id THEN 1 ELSE 0 END)
             / nullif(sum(CASE WHEN valid THEN 1 ELSE 0 END), 0), 6) AS accuracy
     FROM guessed GROUP BY conv_id""")
 def masked_accuracy_arrays(spark: SparkSession, folder: str) -> DataFrame:
-    """A model that always repeats the token before, scored against the next label."""
-    rows = chat_ids(spark, folder).withColumn("labels", M.mask_flagged("ids", "tags"))
+    """A model that always repeats the token before, scored against the next label.
+
+    A message's first token is markup and never supervised, so its messages can be scored apart.
+    """
+    rows = message_ids(spark, folder).withColumn("labels", M.mask_flagged("ids", "tags"))
     return metrics.masked_accuracy_arrays(rows, "ids", "labels", ["conv_id"], shift=1)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptloom.functions.text import path_folder, path_leaf
 from promptloom.operators.order import head
 
 # Text cells may hold line breaks, quotes and surrounding blanks.
@@ -22,14 +21,33 @@ def _schema(schema: T.StructType | str) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def read_records(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Files that hold one JSON array of records each."""
-    return spark.read.schema(_schema(schema)).option("multiLine", True).json(path)
+# the column that holds a record Spark could not read
+BROKEN = "_broken"
 
 
-def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
-    """One JSON record per line; splits at any size."""
-    return spark.read.schema(_schema(schema)).json(path)
+def _json(spark: SparkSession, path: str, schema, multi_line: bool, on_broken: str) -> DataFrame:
+    schema = _schema(schema)
+    reader = spark.read.option("multiLine", multi_line)
+    if on_broken == "error":
+        return reader.schema(schema).option("mode", "FAILFAST").json(path)
+    if on_broken != "keep":
+        raise ValueError("on_broken is 'error' or 'keep'")
+    kept = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
+    return reader.schema(kept).option("columnNameOfCorruptRecord", BROKEN).json(path)
+
+
+def read_records(spark: SparkSession, path: str, schema, on_broken: str = "error") -> DataFrame:
+    """Files that hold one JSON array of records each; a file is read by one task.
+
+    A broken record is an error; with ``on_broken='keep'`` it is a row of nulls with its text in
+    ``BROKEN``.
+    """
+    return _json(spark, path, schema, True, on_broken)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema, on_broken: str = "error") -> DataFrame:
+    """One JSON record per line; splits at any size.  Broken lines as in ``read_records``."""
+    return _json(spark, path, schema, False, on_broken)
 
 
 def read_columnar(spark: SparkSession, path: str, schema, multi_line: bool = False) -> DataFrame:
@@ -45,7 +63,10 @@ def read_columnar(spark: SparkSession, path: str, schema, multi_line: bool = Fal
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """CSV with a header.  An empty unquoted cell is null, a quoted one the empty text."""
+    """CSV with a header; a file is read by one task, since quoted cells may hold line breaks.
+
+    An empty unquoted cell is null, a quoted one the empty text.
+    """
     return spark.read.schema(_schema(schema)).options(**CSV_OPTIONS).csv(path)
 
 
@@ -56,13 +77,26 @@ def read_csv_text(spark: SparkSession, path: str, columns: list[str]) -> DataFra
     )
 
 
-def read_text_tree(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as ``folder, name, value``, where the folder is the one right above."""
+def read_text_tree(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
+    """Whole files as ``folder, name, value``, where the folder is the one right above.
+
+    A file is read by one task.  Names are as on disk, blanks and ``#`` included.  With an
+    ``extension`` only files that end in it are read, and their names come without it: so prompts
+    ``k.txt`` pair with answers ``k``, read by ``extension=''``, which takes files without a dot.
+    """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    location = F.col("_metadata.file_path")
-    return files.select(
-        path_folder(location).alias("folder"), path_leaf(location).alias("name"), "value"
+    # a plus stands for itself in a path; url_decode would make it a blank
+    location = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    rows = files.select(
+        F.regexp_extract(location, "([^/]+)/[^/]*$", 1).alias("folder"),
+        F.regexp_extract(location, "([^/]*)$", 1).alias("name"), "value",
     )
+    if extension is None:
+        return rows
+    if not extension:
+        return rows.filter(~F.contains("name", F.lit(".")))
+    stem = F.substr("name", F.lit(1), F.length("name") - len(extension))
+    return rows.filter(F.endswith("name", F.lit(extension))).withColumn("name", stem)
 
 
 def read_dataset(spark: SparkSession, path: str, schema, split: str | None = None) -> DataFrame:

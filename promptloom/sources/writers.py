@@ -73,7 +73,9 @@ def rewrite(
     """Replaces the data at ``path`` by a changed version; returns where the old version is.
 
     The new version is written beside the old one and takes its place by two renames once it is
-    complete, so a reader or a lost executor never sees half of it.
+    complete, so nobody ever sees half of it.  Between the renames the path is absent for a moment,
+    and on an object store a rename copies: readers that run meanwhile should retry.  The old version
+    stays until the caller deletes it.
     """
     path = path.rstrip("/")
     mark = uuid.uuid4().hex

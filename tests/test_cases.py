@@ -75,10 +75,15 @@ def test_index_and_consistency(spark):
     assert (found.missing, found.extra) == (["0/U"], ["0/T"])
 
 
-def test_markup_in_a_text_is_refused(spark):
-    bad = [("0", "k", "x </file_content> y")]
-    with pytest.raises(Exception, match="markup in the text of file k"):
-        documents(spark, bad).collect()
+def test_markup_is_escaped(spark):
+    odd = [
+        ("0", "k", "x </file_content> y"), ("a, b", "c, d", "<\\file_begin> <\\\\/file_content>"), ("0", "l\nm", "\\"),
+        ("[0]", "]</dir>", "<directory_begin>directory name: z\n"), ("\\n", "<dir>", "</file_content>\n</file_end>\n\n"), ("0", "n\r", None),
+    ]
+    df = documents(spark, odd)
+    assert parsed(df) == sorted((d, f, c or "") for d, f, c in odd)
+    found = df.select(C.consistency("document").alias("c")).first().c
+    assert (found.listed, found.parsed, found.missing, found.extra) == (6, 6, [], [])
     df = spark.createDataFrame([("ok",), ("<file_begin>",)], "content string")
     assert [r.content for r in df.filter(~C.writable("content")).collect()] == ["<file_begin>"]
 

@@ -115,13 +115,13 @@ def test_zip_stops_at_the_shorter(spark):
 
 
 def test_attach_similar_against_all_pairs(spark):
-    rows = [(i, "g" if i % 3 else "h", (i * 37) % 23) for i in range(80)]
+    rows = [(i, "g" if i % 3 else "h", (i * 37) % 23) for i in range(80)] + [(80, "alone", 5)]
     df = spark.createDataFrame(rows, "id int, g string, size bigint")
     reqs, cases = df.filter("id % 2 = 0"), df.filter("id % 2 = 1")
     got = {r.id: (r.gap, r.case_id) for r in pairs.attach_similar(
         reqs, cases, ["g"], "size", "id").collect()}
     expected = {
-        i: min((abs(s - s2), i2) for i2, g2, s2 in rows if i2 % 2 and g2 == g)
+        i: min(((abs(s - s2), i2) for i2, g2, s2 in rows if i2 % 2 and g2 == g), default=(None, None))
         for i, g, s in rows if i % 2 == 0
     }
     assert got == expected
@@ -131,3 +131,18 @@ def test_leakage(spark):
     rows = [(1, "train", "x"), (2, "test", "x"), (3, "test", "y"), (4, "test", "x")]
     df = spark.createDataFrame(rows, "id int, split string, text string")
     assert {r.id for r in pairs.leakage(df, "id", "text").collect()} == {2, 4}
+
+
+def test_nan_is_dropped(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None)], "id int, v double")
+    assert [r.id for r in frames.drop_null(df, ["v"]).collect()] == [1]
+
+
+def test_missing_content_is_an_error(spark):
+    raw = spark.createDataFrame([(1, ["a"], '{"b": "x"}'), (2, ["c"], "{broken"), (3, ["d"], '{"d": "y"}')], "id int, p array<string>, f string")
+    for bad in (1, 2):
+        with pytest.raises(Exception, match="no content for file"):
+            pivot.raw_to_files(raw.filter(F.col("id") == bad), ["id"], "p", "f").collect()
+    lenient = pivot.raw_to_files(raw, ["id"], "p", "f", on_missing="null").collect()
+    assert {tuple(r) for r in lenient} == {(1, "a", None), (2, "c", None), (3, "d", "y")}
+    assert {tuple(r) for r in pivot.broken_files(raw, ["id"], "p", "f").collect()} == {(1, "a"), (2, "c")}

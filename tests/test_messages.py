@@ -99,3 +99,20 @@ def test_token_counts_and_rows(spark, rows, size, limit):
         assert counts[key].truncated == (len(whole) > limit)
         assert [names[i] for i in coded[key].ids] == [w for w, _ in kept]
         assert coded[key].tags == [int(learnt) for _, learnt in kept]
+
+
+def test_a_long_conversation_is_rendered_message_by_message(spark):
+    """300 turns, one without a text: the rows joined in order are the whole rendering."""
+    from promptloom.functions import templates as T
+
+    said = [(1, k, "user" if k % 2 == 0 else "assistant", None if k == 7 else f"t{k}") for k in range(300)]
+    rows = spark.createDataFrame(said, "conv_id int, turn int, role string, text string")
+    gathered = gather_messages(rows, "conv_id", "turn")
+    text = T.chatml("messages", generation_prompt=True, context=F.col("context"))
+    lines = T.role_lines("messages", context=F.col("context"))
+    parts = gathered.select("part", text.alias("t"), lines.alias("l")).orderBy("part").collect()
+    body = "".join(f"<|im_start|>{r}\n{t or ''}<|im_end|>\n" for _, _, r, t in said)
+    default = f"<|im_start|>system\n{T.DEFAULT_SYSTEM}<|im_end|>\n"
+    assert len(parts) == 300
+    assert "".join(p.t for p in parts) == default + body + "<|im_start|>assistant\n"
+    assert "".join(p.l for p in parts) == "".join(f"{r}\n{t or ''}\n" for _, _, r, t in said)

@@ -101,3 +101,21 @@ def test_score_sets_up_once_per_partition(spark):
     rows = scoring.score(df, make, "p", "g").collect()
     assert len(rows) == 100 and all(r.g.split(" ")[0] == r.p for r in rows)
     assert len({r.g.split(" ")[1] for r in rows}) == 2
+
+
+def test_failed_generations_lower_the_means(spark):
+    df = spark.createDataFrame([("f", "a", "a"), ("f", None, "b")], "file string, gen string, true string")
+    assert tuple(metrics.compare_generated(df, "gen", "true", ["file"]).first()) == ("f", 2, 1, 0.5, 0.5)
+
+
+def test_rows_of_no_split_show(spark):
+    df = spark.createDataFrame([("train", "a"), ("test", "a"), (None, "b")], "split string, text string")
+    got = {r.part: r.n for r in metrics.split_report(df, "text").collect()}
+    assert got == {"train": 1, "test": 1, "total": 3, "unassigned": 1, "distinct_texts": 2, "shared_texts": 1}
+
+
+def test_loss_is_summed_over_steps(spark):
+    rows = [("a", 1, 1, 2.0), ("a", 0, 1, 1.0), ("b", 1, -100, None)]
+    df = spark.createDataFrame(rows, "run string, pred int, label int, loss double")
+    got = {r.run: (r.loss_sum, r.steps, r.mean_loss) for r in metrics.eval_summary(df, "pred", "label", "run", loss="loss").collect()}
+    assert got == {"a": (3.0, 2, 1.5), "b": (0.0, 0, None), "total": (3.0, 2, 1.5)}

@@ -142,3 +142,23 @@ def test_collate_pads_to_the_longest(spark):
     df = spark.createDataFrame(rows, "id int, batch int, ids array<int>")
     out = B.collate(B.pad_batch(df, "batch", "ids", 0), "batch", "id", ["padded"]).collect()
     assert {r.batch: r.padded for r in out} == {0: [[1, 0, 0], [1, 2, 3]], 1: [[9]]}
+
+
+@pytest.mark.parametrize("width", [4, 10, 25])
+def test_moving_average_wider_than_a_block(spark, width):
+    df = spark.range(40).select(F.col("id").alias("at"), F.lit(1).alias("k"), F.col("id").cast("double").alias("v"))
+    got = {r["at"]: r.moving for r in O.moving_average(df, "k", "at", "v", width, block=4).collect()}
+    assert got == {i: sum(range(max(0, i - width + 1), i + 1)) / min(width, i + 1) for i in range(40)}
+
+
+def test_composite_and_null_keys_split_exactly(spark):
+    rows = [("a", "b:c"), ("a:b", "c"), (None, "a"), ("a", None), (None, None), ("", "a"), ("a", ""), ("1", "2"), ("12", ""), ("", "12")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(O.hash_order(["x", "y"], 1).alias("h")).distinct().count() == 10
+    assert O.split_exact(df, ["x", "y"], 0.2, 1).filter("split = 'test'").count() == 2
+
+
+def test_prefix_share_of_uneven_keys(spark):
+    keys = [*range(0, 50), *range(10**12, 10**12 + 50), 5 * 10**17]
+    df = spark.createDataFrame([(k,) for k in keys], "id bigint")
+    assert sorted(r.id for r in O.prefix_share(df, 2, "id").collect()) == keys[:50]

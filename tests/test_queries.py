@@ -10,7 +10,7 @@ from promptloom.plans import CHECKS, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 # reports of trouble, empty where the data has none
-MAY_BE_EMPTY = {"unwritable_files", "leakage", "new_paths"}
+MAY_BE_EMPTY = {"leakage", "new_paths"}
 
 
 @pytest.fixture(scope="module")

@@ -103,18 +103,30 @@ def test_dataset_splits(spark, df, tmp_path):
 
 
 def test_probe_files(spark, tmp_path):
-    for folder, name in [("0", "k"), ("0", "U"), ("system", "controlDict")]:
-        (tmp_path / "prompts" / folder).mkdir(parents=True, exist_ok=True)
-        (tmp_path / "prompts" / folder / name).write_text(
+    for folder, name in [("0", "k"), ("0", "U"), ("system", "controlDict"), ("0 a+b", "U#1 x")]:
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / f"{name}.txt").write_text(
             f"code system prompt:\nS {name}\ncode user prompt:\nU {name}\n"
         )
-    (tmp_path / "answers" / "0").mkdir(parents=True)
-    (tmp_path / "answers" / "0" / "k").write_text("answer k\n")
-    prompts = readers.read_text_tree(spark, str(tmp_path / "prompts"))
-    answers = readers.read_text_tree(spark, str(tmp_path / "answers"))
+    (tmp_path / "0" / "k").write_text("answer k\n")
+    (tmp_path / "0 a+b" / "U#1 x").write_text("answer U\n")
+    prompts = readers.read_text_tree(spark, str(tmp_path), extension=".txt")
+    answers = readers.read_text_tree(spark, str(tmp_path), extension="")
+    assert readers.read_text_tree(spark, str(tmp_path)).count() == 6
     keys = ["folder", "name"]
     split = prompts.select(*keys, marker_split("value").alias("s")).select(*keys, "s.*")
     paired = pair_files(split, answers.withColumnRenamed("value", "file_content"), keys)
-    assert [tuple(r) for r in paired.collect()] == [("0", "k", "S k\n", "U k\n", "answer k\n")]
+    assert sorted(tuple(r) for r in paired.collect()) == [
+        ("0", "k", "S k\n", "U k\n", "answer k\n"), ("0 a+b", "U#1 x", "S U#1 x\n", "U U#1 x\n", "answer U\n"),
+    ]
     left = unpaired_files(split, answers, keys)
     assert {(r.folder, r.name) for r in left.collect()} == {("0", "U"), ("system", "controlDict")}
+
+
+def test_broken_json(spark, tmp_path):
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.json").write_text('{"id": 1}\n{"id": broken\n{"id": 3}\n')
+    with pytest.raises(Exception, match="(?i)malformed|failfast"):
+        readers.read_jsonl(spark, str(tmp_path / "lines"), "id int").collect()
+    kept = readers.read_jsonl(spark, str(tmp_path / "lines"), "id int", on_broken="keep").collect()
+    assert sorted((r.id or 0, r[readers.BROKEN] or "") for r in kept) == [(0, '{"id": broken'), (1, ""), (3, "")]

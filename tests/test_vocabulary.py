@@ -17,14 +17,17 @@ def docs(spark):
 
 
 def expected_ids():
-    counts = Counter(w for t in TEXTS.values() for w in t.split() if w not in V.SPECIALS)
+    """Text that reads like a special token has an id of its own."""
+    counts = Counter(w for t in TEXTS.values() for w in t.split())
     order = sorted(counts, key=lambda w: (-counts[w], w))
-    return {w: i for i, w in enumerate([*V.SPECIALS, *order])}
+    return {w: i + len(V.SPECIALS) for i, w in enumerate(order)}
 
 
 def test_vocab(spark, docs):
     vocab = V.build_vocab(docs, tokens("text"))
-    assert {r.token: r.id for r in vocab.collect()} == expected_ids()
+    rows = vocab.collect()
+    assert {r.token: r.id for r in rows if r.id >= len(V.SPECIALS)} == expected_ids()
+    assert [r.token for r in sorted(rows)[: len(V.SPECIALS)]] == V.SPECIALS
 
 
 @pytest.mark.parametrize("head", [V.HEAD, 4, 0])
@@ -41,7 +44,7 @@ def test_encode_and_back(spark, docs, monkeypatch, head):
     }
     back = V.decode(coded, "id", "ids", vocab)
     assert {r.id: r.text for r in back.collect()} == {
-        k: " ".join(w for w in t.split() if w not in V.SPECIALS) for k, t in TEXTS.items()
+        k: " ".join(t.split()) for k, t in TEXTS.items()
     }
 
 
@@ -54,6 +57,32 @@ def test_bounded_vocab_has_unknown_tokens(spark, docs):
     assert V.UNK in got[3]
 
 
+def test_null_keys_are_an_error(spark, docs):
+    vocab = V.build_vocab(docs, tokens("text"))
+    bad = docs.union(spark.createDataFrame([(None, "a")], docs.schema))
+    with pytest.raises(Exception, match="null key"):
+        V.encode(bad, "id", tokens("text"), vocab).collect()
+
+
+def test_carried_columns_and_null_token_arrays(spark, docs):
+    vocab = V.build_vocab(docs, tokens("text"))
+    rows = spark.createDataFrame([(1, None, "x"), (2, ["a", None], "y")], "id int, t array<string>, extra string")
+    got = {r.id: (r.extra, r.ids) for r in V.encode(rows, "id", F.col("t"), vocab, carry=["extra"]).collect()}
+    assert got == {1: ("x", []), 2: ("y", [expected_ids()["a"], V.UNK])}
+
+
+@pytest.mark.parametrize("head", [V.HEAD, 0])
+def test_ids_outside_the_vocabulary_read_as_unknown(spark, docs, monkeypatch, head):
+    monkeypatch.setattr(V, "HEAD", head)
+    vocab = V.build_vocab(docs, tokens("text"))
+    a = expected_ids()["a"]
+    rows = spark.createDataFrame([(1, [a, 999, a, None, V.EOS]), (2, []), (3, None)], "id int, ids array<int>")
+    got = {r.id: r.text for r in V.decode(rows, "id", "ids", vocab).collect()}
+    assert got == {1: "a <unk> a <unk>", 2: "", 3: ""}
+    whole = {r.id: r.text for r in V.decode(rows, "id", "ids", vocab, skip_special=False).collect()}
+    assert whole[1] == "a <unk> a <unk> <eos>"
+
+
 def test_plug_in_codec(spark, docs):
     coded = docs.select("id", V.encode_with(V.utf8_bytes, F.col("text")).alias("ids")).collect()
     assert {r.id: r.ids for r in coded} == {k: list(t.encode()) for k, t in TEXTS.items()}
