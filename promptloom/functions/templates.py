@@ -204,23 +204,30 @@ def append_eos(text, eos: str, closes: Column | None = None) -> Column:
     return F.concat(_text(text), tail)
 
 
-def _tool_calls(m: Column, content: Column) -> Column:
-    """The calls of an assistant message that has a ``tool_calls`` array of (name, arguments)."""
+def _tool_calls(m: Column, content: Column, nested: bool) -> Column:
+    """The calls of an assistant message: ``tool_calls``, an array of (name, arguments), or of
+    structs that hold these two as ``function``."""
     calls = F.coalesce(m.getField("tool_calls"), F.array())
-    rendered = F.transform(
-        calls,
-        lambda call, i: F.concat(
+
+    def one(call: Column, i: Column) -> Column:
+        said = call.getField("function") if nested else call
+        return F.concat(
             F.when((i > 0) | (content != ""), F.lit("\n")).otherwise(F.lit("")),
-            F.lit('<tool_call>\n{"name": "'), call.getField("name"),
-            F.lit('", "arguments": '), call.getField("arguments"), F.lit("}\n</tool_call>"),
-        ),
-    )
-    return _joined(rendered)
+            F.lit('<tool_call>\n{"name": "'), said.getField("name"),
+            F.lit('", "arguments": '), said.getField("arguments"), F.lit("}\n</tool_call>"),
+        )
 
+    return _joined(F.transform(calls, one))
 
-def _assistant_body(m: Column, after_query: Column, last: Column, tool_calls: bool) -> Column:
+
+def _assistant_body(
+    m: Column, after_query: Column, last: Column, tool_calls: bool, nested_calls: bool,
+    reasoning_content: bool,
+) -> Column:
     raw = F.coalesce(m.content, F.lit(""))
     marked = F.contains(raw, F.lit(THINK_STOP))
+    if reasoning_content:  # a reasoning of its own leaves the content alone
+        marked = marked & m.getField("reasoning_content").isNull()
     before = rstrip_newlines(F.substring_index(raw, THINK_STOP, 1))
     reasoning = F.when(
         marked, lstrip_newlines(F.substring_index(before, THINK_START, -1))
@@ -228,22 +235,27 @@ def _assistant_body(m: Column, after_query: Column, last: Column, tool_calls: bo
     content = F.when(
         marked, lstrip_newlines(F.substring_index(raw, THINK_STOP, -1))
     ).otherwise(raw)
+    if reasoning_content:
+        reasoning = F.coalesce(m.getField("reasoning_content"), reasoning)
     thought = F.concat(
         F.lit(THINK_START + "\n"), strip_newlines(reasoning),
         F.lit("\n" + THINK_STOP + "\n\n"), lstrip_newlines(content),
     )
     body = F.when(after_query & (last | (reasoning != "")), thought).otherwise(content)
-    return F.concat(body, _tool_calls(m, content)) if tool_calls else body
+    return F.concat(body, _tool_calls(m, content, nested_calls)) if tool_calls else body
 
 
 def reasoning_chat(
     messages, generation_prompt: bool = False, enable_thinking: bool = True,
     tools: Column | None = None, tool_calls: bool = False, context: Column | None = None,
+    nested_calls: bool = False, reasoning_content: bool = False,
 ) -> Column:
     """ChatML that keeps an assistant's reasoning only after the last real user turn.
 
     ``tools`` is an array of JSON texts and adds the tool list to the opening system turn;
-    ``tool_calls`` says that the message structs carry calls.
+    ``tool_calls`` says that the message structs carry calls, ``nested_calls`` that a call is a
+    struct in the field ``function``, ``reasoning_content`` that the reasoning may stand in a field
+    of that name instead of the content.
     """
     messages = _text(messages)
     context = whole_context(messages) if context is None else context
@@ -261,7 +273,9 @@ def reasoning_chat(
         )
         opening = (m.role == "system") & context.opens & (i == 0)
         leading = F.lit("") if tools is not None else chatml_piece(m.role, content)
-        assistant = _assistant_body(m, i > context.last_query_at, last, tool_calls)
+        assistant = _assistant_body(
+            m, i > context.last_query_at, last, tool_calls, nested_calls, reasoning_content
+        )
         tool = F.concat(
             F.when(F.coalesce(before, F.lit("")) != "tool", F.lit(IM_START + "user"))
             .otherwise(F.lit("")),

@@ -13,6 +13,7 @@ from promptloom.operators import vocabulary as V
 from promptloom.operators.batches import length_groups
 from promptloom.operators.frames import drop_null
 from promptloom.operators.order import split_exact
+from promptloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -32,21 +33,21 @@ def training_set(corpus: DataFrame, settings: Settings) -> DataFrame:
 
     Rows with a missing text go first, so the split is exact over what remains.  The vocabulary is
     fitted on the train part only, and each part is grouped into batches by itself.
+    The split corpus is stored once, since the vocabulary, the lengths and the ids all need it.
+    Batches are formed from keys and lengths alone; ids are looked up for the tokens that stay, and
+    joined to them in the end.
     """
     key = list(settings.key)
-    clean = drop_null(corpus, ["system", "user", "assistant"])
-    parts = split_exact(clean, key, settings.test_share, settings.seed)
-    messages = P.messages3("system", "user", "assistant")
-    rows = parts.select(*key, "split", P.chatml_tokens(messages).alias("_t"))
-    train = rows.filter(F.col("split") == "train")
+    clean = drop_null(corpus, ["system", "user", "assistant"]).select(*key, "system", "user", "assistant")
+    parts = cut(split_exact(clean, key, settings.test_share, settings.seed))
+    toks = P.chatml_tokens(P.messages3("system", "user", "assistant"))
+    train = parts.filter(F.col("split") == "train").select(toks.alias("_t"))
     vocab = V.build_vocab(train, F.col("_t.token"), settings.vocabulary)
-    coded = V.encode(rows, key + ["split"], F.col("_t.token"), vocab, tags=F.col("_t.learnt"))
-    labelled = coded.select(
-        *key, "split",
-        F.slice("ids", 1, settings.cutoff).alias("ids"),
-        F.slice(M.mask_flagged("ids", "tags"), 1, settings.cutoff).alias("labels"),
-    )
-    sized = labelled.withColumn("n_tokens", F.size("ids").cast("bigint"))
-    return length_groups(
-        sized, key, "n_tokens", settings.batch, settings.seed, within="split"
+    sized = parts.select(
+        *key, "split", F.least(F.size(toks), F.lit(settings.cutoff)).cast("bigint").alias("n_tokens")
     )
+    grouped = length_groups(sized, key, "n_tokens", settings.batch, settings.seed, within="split")
+    rows = parts.select(*key, F.slice(toks, 1, settings.cutoff).alias("_t"))
+    coded = V.encode(rows, key, F.col("_t.token"), vocab, tags=F.col("_t.learnt"))
+    labelled = coded.select(*key, "ids", M.mask_flagged("ids", "tags").alias("labels"))
+    return labelled.join(grouped, key)

@@ -185,3 +185,36 @@ def file_sanity(spark: SparkSession, folder: str) -> DataFrame:
         X.occurrences("html", "<p>").alias("paragraphs"),
         (X.occurrences("html", '"') % 2 == 0).alias("quotes_paired"),
     )
+
+
+_HEADED_SQL = """SELECT conv_id, turn, role, text, CASE WHEN turn % 2 = 0 THEN 'FoamFile' || chr(10)
+        || '{ version 2; object ' || role || '; }' || chr(10) || text
+    ELSE 'FoamFile' || chr(10) || '{ version 2; }' || chr(10) || '( object ' || role || ';' || text END AS file
+    FROM conversations"""
+
+
+@query("file_checks", f"""
+    SELECT conv_id, turn, true AS has_header, turn % 2 = 0 AND role = 'user' AS object_matches,
+        length(file) - length(replace(file, '{{', '')) = length(file) - length(replace(file, '}}', ''))
+            AND length(file) - length(replace(file, '(', ''))
+                = length(file) - length(replace(file, ')', '')) AS balanced
+    FROM ({_HEADED_SQL})""")
+def file_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns as generated files; in every other one the object stands outside the head block."""
+    headed = F.concat(F.lit("FoamFile\n{ version 2; object "), "role", F.lit("; }\n"), "text")
+    bare = F.concat(F.lit("FoamFile\n{ version 2; }\n( object "), "role", F.lit(";"), "text")
+    checks = X.file_checks(F.when(F.col("turn") % 2 == 0, headed).otherwise(bare), F.lit("user"))
+    return table(spark, folder, "conversations").select("conv_id", "turn", checks.alias("_c")).select(
+        "conv_id", "turn", "_c.*"
+    )
+
+
+@query("quoted_values", """
+    SELECT doc_id, array_to_string(regexp_extract_all('use ''ok'' or ''' || lang || ' ''', '''([A-Za-z]+)''', 1), ' ')
+        || array_to_string(regexp_extract_all(', ''' || lang || '''', '''([A-Za-z]+)''', 1), ' ') AS allowed
+    FROM documents""")
+def quoted_values(spark: SparkSession, folder: str) -> DataFrame:
+    first = F.concat(F.lit("use 'ok' or '"), "lang", F.lit(" '"))
+    second = F.concat(F.lit(", '"), "lang", F.lit("'"))
+    lists = [F.array_join(X.quoted_values(prompt), " ") for prompt in (first, second)]
+    return table(spark, folder, "documents").select("doc_id", F.concat(*lists).alias("allowed"))

@@ -116,11 +116,14 @@ def truncation_report(spark: SparkSession, folder: str) -> DataFrame:
         n > {CUTOFF} AS truncated, md5({joined_sql(padded_sql('k', str(CUTOFF)))}) AS ids_md5
     FROM cut""")
 def truncate_pad(spark: SparkSession, folder: str) -> DataFrame:
+    """Only the tokens that stay are looked up; the vocabulary is that of the whole texts."""
+    docs, vocab = documents(spark, folder), document_vocab(spark, folder)
+    toks = tokens("text")
+    cut = docs.select("doc_id", F.slice(toks, 1, CUTOFF).alias("_t"), (F.size(toks) > CUTOFF).alias("truncated"))
     mask = M.attention("ids", CUTOFF)
-    return document_ids(spark, folder).select(
+    return V.encode(cut, "doc_id", F.col("_t"), vocab, carry=["truncated"]).select(
         "doc_id", M.kept_length("ids", CUTOFF).cast("bigint").alias("n_kept"),
-        F.size(F.filter(mask, lambda m: m == 0)).cast("bigint").alias("n_pad"),
-        (F.size("ids") > CUTOFF).alias("truncated"),
+        F.size(F.filter(mask, lambda m: m == 0)).cast("bigint").alias("n_pad"), "truncated",
         F.md5(M.joined(M.fit("ids", CUTOFF, V.PAD))).alias("ids_md5"),
     )
 

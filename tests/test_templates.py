@@ -124,6 +124,27 @@ def test_reasoning_tool_calls(spark):
     )
 
 
+def test_reasoning_in_a_field_of_its_own_and_nested_calls(spark):
+    schema = (
+        "m array<struct<role:string,content:string,reasoning_content:string,"
+        "tool_calls:array<struct<function:struct<name:string,arguments:string>>>>>"
+    )
+    calls = [(("f", '{"x": 1}'),)]
+    rows = [([("user", "q", None, None), ("assistant", "a</think>b", "\nwhy\n", calls), ("tool", "r", None, None),
+              ("assistant", "<think>z</think>c", None, None)],)]
+    df = spark.createDataFrame(rows, schema)
+    text = df.select(
+        P.reasoning_chat("m", tool_calls=True, nested_calls=True, reasoning_content=True).alias("t")
+    ).first().t
+    assert text == (
+        im("user", "q")
+        + "<|im_start|>assistant\n<think>\nwhy\n</think>\n\na</think>b\n<tool_call>\n"
+        '{"name": "f", "arguments": {"x": 1}}\n</tool_call><|im_end|>\n'
+        "<|im_start|>user\n<tool_response>\nr\n</tool_response><|im_end|>\n"
+        + im("assistant", "<think>\nz\n</think>\n\nc")
+    )
+
+
 def test_instruct(spark):
     df = spark.createDataFrame([("U", "A", "R")], "d string, f string, r string")
     row = df.select(
