@@ -11,7 +11,7 @@ its strings cover.
 1. Keys that occur twice anywhere are found from the keys alone (each sent once or twice a slice of
    text, however often it occurs there) and kept as bits of a map of bounded size.
 2. Records of such keys are sent with a hash of all bytes their strings cover.  Where several agree
-   in it, all but the earliest go.
+   in it, all but the earliest go; within a slice of text that is settled before anything is sent.
 3. Where one key has records that differ, the earliest of each kind sends its bytes.  Their suffixes
    are sorted: a merge sort compares two by the hashes of their prefixes, doubling steps and binary
    search giving the length of what they share.  The order is then verified byte by byte (a run the
@@ -285,15 +285,19 @@ def _hashed(shipped, bits: int):
                 use = np.flatnonzero(_in_map(repeated, bits, records.key))
                 if not use.size:
                     continue
-                row = records.row[use]
+                row, strong, key = records.row[use], records.strong()[use], records.key[use].copy()
+                begin = (records.begin + records.shift)[use]
+                # of equal records in a slice only the earliest has to meet the others
+                order = np.lexsort((begin, numbers[row], ids[row], strong, key))
+                again = np.zeros(use.size, bool)
+                again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (strong[order[1:]] == strong[order[:-1]])
+                key[again] = mix(key[again] + begin[again].astype(np.uint64) * np.uint64(3) + numbers[row][again].view(np.uint64))
                 yield pa.record_batch(
                     [
-                        pa.array(records.key[use].view(np.int64)), pa.array(records.strong()[use].view(np.int64)),
-                        pa.array(ids[row]), pa.array(numbers[row]),
-                        pa.array((records.begin + records.shift)[use]),
-                        pa.array((records.width[use] << 8 | records.offset[use]).astype(np.int32)),
+                        pa.array(key.view(np.int64)), pa.array(strong.view(np.int64)), pa.array(ids[row]), pa.array(numbers[row]),
+                        pa.array(begin), pa.array((records.width[use] << 8 | records.offset[use]).astype(np.int32)), pa.array(again),
                     ],
-                    names=["key", "strong", "id", "text_no", "begin", "shape"],
+                    names=["key", "strong", "id", "text_no", "begin", "shape", "again"],
                 )
 
     return run
@@ -541,14 +545,14 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
 
     repeated = _bit_map(narrow.mapInArrow(_keys, "bucket long, keys binary"), bits, twice=True)
     repeated_shipped = spark.sparkContext.broadcast(repeated)
-    records = narrow.mapInArrow(_hashed(repeated_shipped, bits), "key long, strong long, id long, text_no long, begin long, shape int")
+    records = narrow.mapInArrow(_hashed(repeated_shipped, bits), "key long, strong long, id long, text_no long, begin long, shape int, again boolean")
     of_key, of_kind = Window.partitionBy("key"), Window.partitionBy("key", "strong")
     place = F.row_number().over(of_kind.orderBy("id", "text_no", "begin"))
     kinds = records.withColumn("least", F.min("strong").over(of_key)).withColumn("most", F.max("strong").over(of_key))
-    kinds = kinds.withColumn("place", place).filter((F.col("place") > 1) | (F.col("least") != F.col("most")))
+    later = F.col("again") | (F.col("place") > 1)
+    kinds = kinds.withColumn("place", place).filter(later | (F.col("least") != F.col("most")))
     path = scratch_path(spark, "suffixes")
     end = F.col("begin") + F.shiftright("shape", 8) + F.lit(LENGTH)
-    later = F.col("place") > 1
     kinds.select("id", "text_no", "begin", end.alias("end"), later.alias("later"), F.when(~later, F.col("key")).alias("key")).write.parquet(path)
     kinds = spark.read.schema("id long, text_no long, begin long, end long, later boolean, key long").parquet(path)
 
