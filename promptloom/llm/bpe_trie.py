@@ -31,7 +31,7 @@ from promptloom.llm import byte_bpe
 WINDOW = 2_000_000
 #: Words a Python worker remembers between tries, in two generations: when the younger is full, the
 #: older one goes, with the words not met since.  A forgotten word is encoded again when it comes back.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Longer words are not worth sharing; each is a path of its own.
 LONGEST = 256
 
