@@ -13,6 +13,7 @@ from promptloom.plans.corpus import PAIRS_SQL, labelled, paired
 from promptloom.plans.ordering import tokens_sql
 from promptloom.plans.prompts import CHAT_SQL, chat_corpus
 from promptloom.plans.registry import query, table
+from promptloom.session import scratch_path
 from promptloom.streaming import steplog
 
 _SCORED_SQL = """
@@ -184,3 +185,20 @@ def step_log_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "events").schema
     stream = steplog.read_log_stream(spark, folder, "events.parquet", schema)
     return steplog.step_log_stream(stream, "ts", "event_type", "value")
+
+
+@query("step_log_late", _WINDOWS_SQL)
+def step_log_late(spark: SparkSession, folder: str) -> DataFrame:
+    """The log arrives in halves, each picked up by a run that goes on where the last one stopped;
+    a third run meets the first hour's rows once more, too late to count."""
+    events = table(spark, folder, "events")
+    ends = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    low, high = ends.select("low").scalar(), ends.select("high").scalar()
+    middle = F.timestamp_seconds((F.unix_timestamp(low) + F.unix_timestamp(high)) / 2)
+    arrivals = [F.col("ts") < middle, F.col("ts") >= middle, F.col("ts") < low + F.expr("INTERVAL 1 HOUR")]
+    source, target = scratch_path(spark, "arrivals"), scratch_path(spark, "windows")
+    for arrived in arrivals:
+        events.filter(arrived).write.mode("append").parquet(source)
+        stream = steplog.read_log_stream(spark, source, "*.parquet", events.schema)
+        windows = steplog.step_log_stream(stream, "ts", "event_type", "value", target=target)
+    return windows
