@@ -156,6 +156,7 @@ def _slice_records(raw: np.ndarray, rows: np.ndarray, begins: np.ndarray, ends:
 
 def scan(texts: pa.StringArray, rows: np.ndarray) -> Iterator[Records]:
     """Records of the given rows of a batch, a slice at a time."""
+    texts = texts.cast(pa.string())  # where Spark was told to use large Arrow types
     offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.empty(0, np.uint8)
     parts: list[tuple[int, int, int, int]] = []
