@@ -84,15 +84,23 @@ def shuffle_rank(
     return ranked.drop("_hash", "_bucket", "_inside", "before", "all_rows")
 
 
+def stamped_order(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The sorted rows with ``_at``, which grows with the order, and ``_task``, the stretch they are in.
+
+    They are checkpointed, so that whatever is computed from them sees the same stretches, also when
+    a task is run again.
+    """
+    stamped = cut(df.sort(*order).withColumn("_at", F.monotonically_increasing_id()))
+    return stamped.withColumn("_task", F.shiftright("_at", _POSITION_BITS))
+
+
 def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
     """Position 1..n of each row in a total order.
 
     The sorted rows are range-partitioned, so a value that fills a third of the table is spread by
-    the later order columns.  They are checkpointed before being counted: both uses of the sort
-    then see the same partitions, also when a task is run again.
+    the later order columns.
     """
-    stamped = cut(df.sort(*order).withColumn("_at", F.monotonically_increasing_id()))
-    stamped = stamped.withColumn("_task", F.shiftright("_at", _POSITION_BITS))
+    stamped = stamped_order(df, order)
     sizes = stamped.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
     totals = running_totals(sizes, "_task", "_n").select("_task", "before")
     position = F.col("_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))

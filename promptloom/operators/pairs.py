@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.operators.order import global_rank, skew_join
+from promptloom.operators.order import global_rank, skew_join, stamped_order
 
 
 def zip_by_position(
@@ -50,8 +50,9 @@ def attach_similar(
     """The most similar case of each requirement: equal in ``same``, nearest in ``size``.
 
     Ties go to the smaller case key; a requirement without any case keeps nulls.  Cases are first
-    reduced to one per distinct size, so a group's window never holds more rows than it has sizes,
-    and no pair of a requirement with a case that loses is ever built.
+    reduced to one per distinct size, and no pair of a requirement with a case that loses is ever
+    built.  The sizes are sorted over all tasks, so that a group of any size is spread over several;
+    what a task needs of its neighbours is the nearest case beyond its border.
     """
     spots = cases.groupBy(*same, size).agg(F.min(key).alias("_case")).unionByName(
         requirements.select(*same, size).distinct(), allowMissingColumns=True
@@ -60,12 +61,28 @@ def attach_similar(
     here = F.when(
         F.col("_case").isNotNull(), F.struct(F.col(size).alias("s"), F.col("_case").alias("c"))
     )
+    # a struct, since a null in the metadata is a value like any other here and equals itself
+    spots = stamped_order(spots.withColumn("_group", F.struct(*same)), [F.asc(c) for c in [*same, size]])
     rows = (Window.unboundedPreceding, Window.currentRow)
-    below = Window.partitionBy(*same).orderBy(F.asc(size)).rowsBetween(*rows)
-    above = Window.partitionBy(*same).orderBy(F.desc(size)).rowsBetween(*rows)
+    stretch = Window.partitionBy("_task", "_group")
+    below, above = (stretch.orderBy(o).rowsBetween(*rows) for o in (F.asc("_at"), F.desc("_at")))
     near = spots.withColumn("_low", F.last(here, ignorenulls=True).over(below)).withColumn(
         "_high", F.last(here, ignorenulls=True).over(above)
     )
+    # one row for each task and group: a group has no more of them than there are tasks
+    rims = spots.groupBy("_task", "_group").agg(
+        F.max(F.when(here.isNotNull(), F.struct("_at", here.alias("h")))).alias("_last"),
+        F.min(F.when(here.isNotNull(), F.struct("_at", here.alias("h")))).alias("_first"),
+    )
+    beyond = Window.partitionBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    rims = rims.select(
+        "_task", "_group",
+        F.last("_last.h", ignorenulls=True).over(beyond.orderBy(F.asc("_task"))).alias("_before"),
+        F.last("_first.h", ignorenulls=True).over(beyond.orderBy(F.desc("_task"))).alias("_after"),
+    )
+    near = near.join(rims, ["_task", "_group"]).withColumns(
+        {"_low": F.coalesce("_low", "_before"), "_high": F.coalesce("_high", "_after")}
+    )
 
     def candidate(side: str) -> Column:
         return F.when(

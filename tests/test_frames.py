@@ -114,7 +114,17 @@ def test_zip_stops_at_the_shorter(spark):
     assert {tuple(r) for r in out.collect()} == {(1, 1, "x"), (2, 5, "y")}
 
 
-def test_attach_similar_against_all_pairs(spark):
+@pytest.fixture(params=["true", "false"])
+def coalesced(spark, request):
+    """Whether small shuffle partitions are put together, or groups are spread over several tasks."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, request.param)
+    yield
+    spark.conf.set(setting, before)
+
+
+def test_attach_similar_against_all_pairs(spark, coalesced):
     rows = [(i, "g" if i % 3 else "h", (i * 37) % 23) for i in range(80)] + [(80, "alone", 5)]
     df = spark.createDataFrame(rows, "id int, g string, size bigint")
     reqs, cases = df.filter("id % 2 = 0"), df.filter("id % 2 = 1")
