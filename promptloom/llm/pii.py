@@ -414,8 +414,9 @@ def personal_data(docs: DataFrame, field: Field | None = None, *, id_column: str
 def redact(docs: DataFrame, field: Field | None = None, *, text_column: str = "text") -> DataFrame:
     """All rows and columns, with personal data in the text replaced by its kind; null stays null."""
     shipped = docs.sparkSession.sparkContext.broadcast(field or fit())
-    columns = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("id"), F.col(text_column).cast("string").alias("text"))
+    others = [c for c in docs.columns if c != text_column]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)
+    packed = docs.select(rest.alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     schema = StructType([StructField("id", packed.schema["id"].dataType), StructField("text", StringType())])
     done = packed.mapInArrow(_rows(shipped, redact=True), schema)
-    return done.select(*[F.col("text").alias(c) if c == text_column else F.col(f"id.`{c}`").alias(c) for c in columns])
+    return done.select(*[F.col("text").alias(c) if c == text_column else F.col(f"id.`{c}`").alias(c) for c in docs.columns])
