@@ -28,10 +28,12 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, Str
 from promptloom.llm import byte_bpe
 
 #: Characters of text whose words go into one trie.
-WINDOW = 2_000_000
+WINDOW = 1_000_000
 #: Words a Python worker remembers between tries, in two generations: when the younger is full, the
 #: older one goes, with the words not met since.  A forgotten word is encoded again when it comes back.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
+#: Pairs of tokens a worker remembers whether BPE leaves them side by side.
+FITS = 400_000
 #: Longer words are not worth sharing; each is a path of its own.
 LONGEST = 256
 
@@ -96,7 +98,7 @@ class Trie:
                     made = merges.get(x << 32 | y)
                     if made is not None and made < x_ended and made <= y_ended:
                         fits = False
-            if len(self.fits) > 4_000_000:
+            if len(self.fits) > FITS:
                 self.fits.clear()
             self.fits[key] = fits
         return fits

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once.
-SLICE = 2_000_000
+SLICE = 500_000
 
 _RNG = np.random.default_rng(20_240_229)
 _BLANK = np.zeros(256, bool)
