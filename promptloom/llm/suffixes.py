@@ -16,7 +16,8 @@ its strings cover.
    are sorted: a merge sort compares two by the hashes of their prefixes, doubling steps and binary
    search giving the length of what they share.  The order is then verified byte by byte (a run the
    hashes got wrong is sorted by its bytes), neighbours that share ``LENGTH`` bytes are equal, and
-   all but the earliest go.  A key of very many kinds is split further, by each string's own hash.
+   all but the earliest go.  The strings of a key of very many kinds are compared as such: the
+   earliest of each is an aggregate by its bytes, which tasks begin on their own, and is joined back.
 4. The spans go to their documents, which are cut and hashed.
 
 Exact copies of a text are known by id alone: a task sends a text again only under a smaller id.
@@ -55,8 +56,10 @@ BUCKETS = 256
 LEAST_BITS, MOST_BITS = 20, 30
 #: Kinds of one key from which on it is split by string.
 MANY = 2_000
-#: Strings sorted together.
-TOGETHER = 60_000
+#: Strings, and bytes, sorted together.
+TOGETHER, TOGETHER_BYTES = 60_000, 1 << 20
+#: Strings sent at once.
+AT_ONCE = 20_000
 
 _SPAN = LENGTH - GRAM + 1
 _RNG = np.random.default_rng(5)
@@ -69,7 +72,11 @@ class Hashes:
 
     def __init__(self, base: int, size: int):
         self.letter = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.powers, self.inverse = self._run(base, size), self._run(pow(base, -1, 1 << 64), size)
+        self.base = base
+        self.reach(size)
+
+    def reach(self, size: int) -> None:
+        self.powers, self.inverse = self._run(self.base, size), self._run(pow(self.base, -1, 1 << 64), size)
 
     @staticmethod
     def _run(base: int, size: int) -> np.ndarray:
@@ -78,6 +85,8 @@ class Hashes:
         return np.multiply.accumulate(out)
 
     def prefix(self, raw: np.ndarray) -> np.ndarray:
+        if raw.size > self.powers.size:
+            self.reach(raw.size)
         out = np.zeros(raw.size + 1, np.uint64)
         np.cumsum(self.letter[raw] * self.powers[: raw.size], out=out[1:])
         return out
@@ -315,39 +324,54 @@ def _asked_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _dealt(_asked(key.view(np.uint64), number, begin))
 
 
-def _bytes(shipped, bits: int, asked_bits: int):
-    """Sends the bytes of the records asked for; those of very frequent keys string by string."""
+def _asked_records(shipped, bits: int, batches: Iterator[pa.RecordBatch], frequent: bool):
+    """(ids, numbers, records, which of them are asked for) of each slice; those of very frequent keys, or the others."""
+    repeated, asked, many = (np.frombuffer(b, np.uint8) for b in shipped.value)
+    for ids, numbers, slices in _batches(batches):
+        for r in slices:
+            use = np.flatnonzero(_in_map(repeated, bits, r.key))
+            named = _asked(r.key[use], numbers[r.row[use]], (r.begin + r.shift)[use])
+            use = use[_in_map(asked, bits, named) & (_in_map(many, bits, named) == frequent)]
+            if use.size:
+                yield ids, numbers, r, use
+
+
+def _bytes(shipped, bits: int):
+    """Sends the bytes of the records asked for."""
 
     def run(batches):
-        repeated, asked, many = (np.frombuffer(b, np.uint8) for b in shipped.value)
-        for ids, numbers, slices in _batches(batches):
-            for r in slices:
-                use = np.flatnonzero(_in_map(repeated, bits, r.key))
-                if not use.size:
-                    continue
-                named = _asked(r.key[use], numbers[r.row[use]], (r.begin + r.shift)[use])
-                split = _in_map(many, asked_bits, named)
-                whole = use[_in_map(asked, asked_bits, named) & ~split]
-                row, begin, width, key, offset, shift = (a[whole] for a in (r.row, r.begin, r.width, r.key, r.offset, r.shift))
-                split = use[split]
-                if split.size:  # one record a string
-                    sizes = r.width[split] + 1
-                    at = np.repeat(r.begin[split], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    place = np.repeat(split, sizes)
-                    own = mix(_FIRST.of(r.prefix, at, at + LENGTH))
-                    row, begin = np.concatenate([row, r.row[place]]), np.concatenate([begin, at])
-                    width, key = np.concatenate([width, np.zeros(at.size, width.dtype)]), np.concatenate([key, own])
-                    offset, shift = np.concatenate([offset, np.zeros(at.size, offset.dtype)]), np.concatenate([shift, r.shift[place]])
-                if not begin.size:
-                    continue
-                text = r.raw.tobytes()
+        for ids, numbers, r, use in _asked_records(shipped, bits, batches, False):
+            row, begin, width, key, offset, shift = (a[use] for a in (r.row, r.begin, r.width, r.key, r.offset, r.shift))
+            text = r.raw.tobytes()
+            yield pa.record_batch(
+                [
+                    pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(numbers[row]), pa.array(begin + shift),
+                    pa.array(offset.astype(np.int32)), pa.array([text[a : a + w + LENGTH] for a, w in zip(begin.tolist(), width.tolist(), strict=True)], pa.binary()),
+                ],
+                names=["key", "id", "text_no", "begin", "offset", "bytes"],
+            )
+
+    return run
+
+
+def _strings(shipped, bits: int):
+    """Sends each string of the records asked for whose keys are very frequent."""
+
+    def run(batches):
+        for ids, numbers, r, use in _asked_records(shipped, bits, batches, True):
+            sizes = r.width[use] + 1
+            every = np.repeat(r.begin[use], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            records = np.repeat(use, sizes)
+            view = np.lib.stride_tricks.sliding_window_view(r.raw, LENGTH)
+            for k in range(0, every.size, AT_ONCE):
+                at, record = every[k : k + AT_ONCE], records[k : k + AT_ONCE]
+                row = r.row[record]
+                borders = np.arange(at.size + 1, dtype=np.int32) * np.int32(LENGTH)
+                buffers = [None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(view[at]))]
                 yield pa.record_batch(
-                    [
-                        pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(numbers[row]), pa.array(begin + shift),
-                        pa.array(offset.astype(np.int32)), pa.array([text[a : a + w + LENGTH] for a, w in zip(begin.tolist(), width.tolist(), strict=True)], pa.binary()),
-                    ],
-                    names=["key", "id", "text_no", "begin", "offset", "bytes"],
-                )
+                    [pa.array(ids[row]), pa.array(numbers[row]), pa.array(at + r.shift[record]), pa.Array.from_buffers(pa.binary(), at.size, buffers)],
+                    names=["id", "text_no", "begin", "bytes"],
+                )
 
     return run
 
@@ -484,10 +508,12 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         keys = table.column("key").to_numpy()
         sizes = pa.compute.binary_length(table.column("bytes")).to_numpy() - LENGTH + 1
         borders = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-        before = np.concatenate([[0], np.cumsum(sizes)])
+        before = np.concatenate([[0], np.cumsum(sizes)])[borders]
+        bytes_before = np.concatenate([[0], np.cumsum(sizes + LENGTH - 1)])[borders]
         k = 0
         while k < borders.size - 1:  # some keys at a time
-            j = max(int(np.searchsorted(before[borders], before[borders[k]] + TOGETHER, side="right")) - 1, k + 1)
+            j = int(np.searchsorted(before, before[k] + TOGETHER, side="right")) - 1
+            j = max(min(j, int(np.searchsorted(bytes_before, bytes_before[k] + TOGETHER_BYTES, side="right")) - 1), k + 1)
             part = table.slice(borders[k], borders[j] - borders[k])
             k = j
             ids, numbers, begins = (part.column(c).to_numpy() for c in ("id", "text_no", "begin"))
@@ -562,10 +588,18 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     asked = _bit_map(heads.mapInArrow(_asked_keys, "bucket long, keys binary"), bits, twice=False)
     many = _bit_map(heads.join(frequent, "key").select("key", "text_no", "begin").mapInArrow(_asked_keys, "bucket long, keys binary"), bits, twice=False)
     shipped = spark.sparkContext.broadcast((repeated, asked, many))
-    sent = narrow.mapInArrow(_bytes(shipped, bits, bits), "key long, id long, text_no long, begin long, offset int, bytes binary")
+    sent = narrow.mapInArrow(_bytes(shipped, bits), "key long, id long, text_no long, begin long, offset int, bytes binary")
     sorted_ = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_spans, "id long, text_no long, begin long, end long")
 
     spans = kinds.filter("later").select("id", "text_no", "begin", "end").union(sorted_)
+    if any(many):
+        path = scratch_path(spark, "strings")
+        fields = "id long, text_no long, begin long, bytes binary"
+        narrow.mapInArrow(_strings(shipped, bits), fields).write.parquet(path)
+        strings, own = spark.read.schema(fields).parquet(path), F.struct("id", "text_no", "begin")
+        earliest = strings.groupBy("bytes").agg(F.min(own).alias("earliest"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+        again = strings.join(earliest, "bytes").filter(own > F.col("earliest"))
+        spans = spans.union(again.select("id", "text_no", "begin", (F.col("begin") + LENGTH).alias("end")))
     spans = spans.groupBy("id", "text_no").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     first = narrow.groupBy("text_no", "n_bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     own = narrow.select("id", "text_no", "n_bytes").join(first, ["text_no", "n_bytes"]).filter(F.col("id") > F.col("first"))

@@ -71,6 +71,20 @@ def test_repeats_on_the_tables(spark):
     assert suffixes.remove_repeats(docs.limit(0)).collect() == []
 
 
+def test_a_string_of_very_many_kinds(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(110))
+    rows = [(k, f"{k * 7919:012d}{passage}{k * 104729:012d}") for k in range(21_000)]
+    assert run_repeats(spark, rows) == brute_repeats(rows)
+
+
+def test_more_bytes_than_powers_are_hashed():
+    hashes = suffixes.Hashes(0x9E3779B97F4A7C15, 8)
+    raw = np.arange(300).astype(np.uint8)
+    prefix = hashes.prefix(raw)
+    assert hashes.of(prefix, np.array([0]), np.array([40])) == hashes.of(prefix, np.array([256]), np.array([296]))
+
+
 def test_wrong_hashes_are_found_out(monkeypatch):
     """Hashes that always agree leave the order to the bytes."""
     raw = np.frombuffer(b"".join(bytes([c]) * 3 + b"-" * 120 for c in b"cabcab"), np.uint8)
