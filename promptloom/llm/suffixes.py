@@ -324,14 +324,23 @@ def _asked_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _dealt(_asked(key.view(np.uint64), number, begin))
 
 
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield _dealt(batch.column("key").to_numpy().view(np.uint64))
+
+
 def _asked_records(shipped, bits: int, batches: Iterator[pa.RecordBatch], frequent: bool):
-    """(ids, numbers, records, which of them are asked for) of each slice; those of very frequent keys, or the others."""
+    """(ids, numbers, records, which of them are asked for) of each slice; those of very frequent keys, or the others.
+
+    All records of a key are on the same side, so that no match is lost to a false positive of a map.
+    """
     repeated, asked, many = (np.frombuffer(b, np.uint8) for b in shipped.value)
     for ids, numbers, slices in _batches(batches):
         for r in slices:
             use = np.flatnonzero(_in_map(repeated, bits, r.key))
-            named = _asked(r.key[use], numbers[r.row[use]], (r.begin + r.shift)[use])
-            use = use[_in_map(asked, bits, named) & (_in_map(many, bits, named) == frequent)]
+            use = use[_in_map(asked, bits, _asked(r.key[use], numbers[r.row[use]], (r.begin + r.shift)[use]))]
+            use = use[_in_map(many, bits, r.key[use]) == frequent]
             if use.size:
                 yield ids, numbers, r, use
 
@@ -586,7 +595,7 @@ def remove_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     heads = kinds.filter(~F.col("later")).select("key", "text_no", "begin")
     frequent = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MANY).select("key")
     asked = _bit_map(heads.mapInArrow(_asked_keys, "bucket long, keys binary"), bits, twice=False)
-    many = _bit_map(heads.join(frequent, "key").select("key", "text_no", "begin").mapInArrow(_asked_keys, "bucket long, keys binary"), bits, twice=False)
+    many = _bit_map(frequent.mapInArrow(_key_rows, "bucket long, keys binary"), bits, twice=False)
     shipped = spark.sparkContext.broadcast((repeated, asked, many))
     sent = narrow.mapInArrow(_bytes(shipped, bits), "key long, id long, text_no long, begin long, offset int, bytes binary")
     sorted_ = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_spans, "id long, text_no long, begin long, end long")

@@ -85,6 +85,15 @@ def test_more_bytes_than_powers_are_hashed():
     assert hashes.of(prefix, np.array([0]), np.array([40])) == hashes.of(prefix, np.array([256]), np.array([296]))
 
 
+@pytest.mark.parametrize("bits", [11, 13])
+def test_full_maps_lose_no_repeats(spark, monkeypatch, bits):
+    monkeypatch.setattr(suffixes, "MANY", 3)
+    monkeypatch.setattr(suffixes, "LEAST_BITS", 8)
+    monkeypatch.setattr(suffixes, "MOST_BITS", bits)
+    rows = mixed_rows()
+    assert run_repeats(spark, rows) == brute_repeats(rows)
+
+
 def test_wrong_hashes_are_found_out(monkeypatch):
     """Hashes that always agree leave the order to the bytes."""
     raw = np.frombuffer(b"".join(bytes([c]) * 3 + b"-" * 120 for c in b"cabcab"), np.uint8)
