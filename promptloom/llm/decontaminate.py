@@ -1,9 +1,10 @@
 """Benchmark passages in documents, by SimHash over item-sized windows.
 
-A document is compared with an item of ``L`` words through windows of ``L`` words.  A window that
-is similar shares shingles with the item, so only windows aligned on a shared shingle are looked
-at, and only where a document holds enough of the item's shingles at all; both lose nothing that
-can reach the threshold.  Windows of equal words count once, however many documents hold them.
+A document is compared with an item of ``L`` words through all its windows of ``L`` words; a shorter
+document is one window of its own.  A window at the threshold has a certain number of places whose
+shingles are the item's, so every window that holds so many is looked at, and no other; this loses
+nothing that can reach the threshold.  Windows of equal words count once, however many documents
+hold them.
 
 Every window and every item has a 64-bit SimHash of its weighted shingles (weight: how often the
 shingle occurs).  Fingerprints are cut into ``RADIUS + 1`` blocks; two that differ in at most
@@ -85,25 +86,34 @@ def _matches(
     n_places = item_places.count()
 
     rows = docs.select(F.col(id_column).alias("id"), _text_no(text_column).alias("text_no"), words(F.col(text_column)).alias("words"))
-    item_of = small(item_places.withColumnRenamed("at", "item_at"), n_places)
+    item_of = small(item_grams.drop("weight"), n_places)
+    size = F.least(F.col("n_text"), F.col("n_words"))
+    start = F.greatest(F.col("at") - size + F.col("width"), F.lit(0))  # of the first window with this place
     found = []
     for w in widths:
         placed = rows.withColumn("at", each_place(F.size("words") - (w - 1))).withColumn("h", gram("words", "at", w))
-        hit = placed.join(item_of.filter(F.col("width") == w).drop("width"), "h")
-        begin = F.least(F.greatest(F.col("at") - F.col("item_at"), F.lit(0)), F.size("words") - F.col("n_words"))
-        hit = hit.withColumn("begin", begin).filter(F.col("begin") >= 0)
-        window = F.concat_ws(" ", F.slice("words", F.col("begin") + 1, F.col("n_words")))
-        found.append(hit.select("id", "text_no", "item_no", "n_words", F.lit(w).alias("width"), "begin", window.alias("window")))
+        hit = placed.join(item_of.filter(F.col("width") == w), "h").withColumn("n_text", F.size("words"))
+        around = F.concat_ws(" ", F.slice("words", start + 1, F.col("at") + size - start))
+        found.append(hit.select("id", "text_no", "item_no", "n_words", "width", "n_text", "at", around.alias("around")))
     hits = found[0]
     for part in found[1:]:
         hits = hits.union(part)
-    aligned = hits.groupBy("id", "text_no", "item_no", "n_words", "width", "begin").agg(
-        F.count(F.lit(1)).alias("n"), F.first("window").alias("window")
+    hits = hits.groupBy("id", "text_no", "item_no", "n_words", "width", "n_text", "at").agg(F.first("around").alias("around"))
+    pair = Window.partitionBy("id", "text_no", "item_no")
+    needed = F.ceil((F.col("n_words") - F.col("width") + 1) * threshold / 100)
+    hits = hits.withColumn("held", F.count(F.lit(1)).over(pair)).withColumn("before", F.lag("at", 1, -1).over(pair.orderBy("at")))
+    hits = cut(hits.withColumn("nth", F.row_number().over(pair.orderBy("at"))).filter(F.col("held") >= needed).drop("held"))
+    ends = hits.select(
+        F.col("id").alias("id_"), F.col("text_no").alias("text_no_"), F.col("item_no").alias("item_no_"), (F.col("nth") - needed + 1).alias("nth_"), F.col("at").alias("last")
     )
-    held = F.sum("n").over(Window.partitionBy("id", "text_no", "item_no"))
-    enough = F.col("held") * 100 >= (F.col("n_words") - F.col("width") + 1) * threshold
-    windows = aligned.withColumn("held", held).filter(enough)
-    windows = cut(windows.select("id", "text_no", "n_words", "width", "begin", "window").distinct())
+    together = F.col("id").eqNullSafe(F.col("id_")) & (F.col("text_no") == F.col("text_no_")) & (F.col("item_no") == F.col("item_no_"))
+    runs = hits.join(ends, together & (F.col("nth") == F.col("nth_")))
+    # windows whose first such place is this one, and which reach to the last one needed
+    low = F.greatest(F.col("last") - size + F.col("width"), F.col("before") + 1, F.lit(0))
+    high = F.least(F.col("at"), F.col("n_text") - size)
+    runs = runs.withColumn("begin", F.explode(F.when(low <= high, F.sequence(low, high))))
+    window = F.concat_ws(" ", F.slice(F.split("around", " "), F.col("begin") - start + 1, size))
+    windows = cut(runs.select("id", "text_no", "n_words", "width", "begin", window.alias("window")).distinct())
 
     texts = windows.select("n_words", "width", "window").distinct().withColumn("words", F.split("window", " "))
     grams = _grams(texts, ["n_words", "width", "window"], widths).groupBy("n_words", "width", "window", "h")
@@ -122,12 +132,12 @@ def _matches(
         .groupBy("n_words", "width", "window", "item_no")
         .agg(F.sum(F.least("weight", "item_weight")).alias("common"))
     )
-    whole = 2 * (F.col("n_words") - F.col("width") + 1) - F.col("common")
+    whole = F.size(F.split("window", " ")) + F.col("n_words") - 2 * F.col("width") + 2 - F.col("common")
     similar = shared.filter(F.col("common") * 100 >= whole * threshold).select(
         "n_words", "window", "item_no", (F.col("common") / whole).alias("similarity")
     )
     named = items.select("item_no", "item")
-    best = F.max_by(F.struct("begin", "n_words", "similarity"), F.struct("similarity", -F.col("begin")))
+    best = F.max_by(F.struct("begin", F.size(F.split("window", " ")).alias("n_words"), "similarity"), F.struct("similarity", -F.col("begin")))
     return (
         windows.join(similar, ["n_words", "window"])
         .join(small(named, n_places), "item_no")
@@ -142,7 +152,7 @@ def contaminated(
 ) -> DataFrame:
     """Id, item, first_word, n_words and similarity of each document and item with a window at the threshold.
 
-    The window is the most similar one, the first of equals.
+    The window is the most similar one, the first of equals; ``n_words`` are its own.
     """
     found = _matches(docs, items, id_column, text_column, item_column, item_text_column, width, threshold)
     return found.select(

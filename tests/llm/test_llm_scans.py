@@ -79,6 +79,28 @@ def test_leaks_equal_brute_force(spark):
     assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted((i, t or "") for i, t in docs if i not in bad)
 
 
+def test_leaks_in_any_window(spark):
+    """Passages reordered, cut and inserted into; a document shorter than the item is a window of its own."""
+    rng = random.Random(12)
+    some = lambda n: [f"w{rng.randrange(10_000)}" for _ in range(n)]
+    items = [(k, some(50)) for k in range(6)]
+    docs = []
+    for k, item in items:
+        docs.append((10 * k, some(60) + item[25:] + item[:25] + some(40)))
+        docs.append((10 * k + 1, some(20) + item[:22] + some(1) + item[22:] + some(20)))
+        docs.append((10 * k + 2, some(3) + item[5:] + some(30)))
+        docs.append((10 * k + 3, some(9) + item[30:] + item[:30]))
+    whole = brute_leaks([(i, " ".join(d)) for i, d in docs], [(i, " ".join(t)) for i, t in items])
+    assert sum(doc % 10 == 0 for doc, _ in whole) == 6
+    short = [(100, items[0][1][:47]), (None, items[0][1][2:]), (102, items[0][1][:30])]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    table = spark.createDataFrame([(i, " ".join(d)) for i, d in [*docs, *short]], "doc_id long, text string")
+    found = decontaminate.contaminated(table, bench).collect()
+    wanted = {**whole, (100, 0): 43 / 46, (None, 0): 44 / 46}
+    assert {(r.doc_id, r.item_id): r.similarity for r in found} == pytest.approx(wanted)
+    assert {r.doc_id: (r.first_word, r.n_words) for r in found if r.doc_id in (0, 100, None)} == {0: (60, 50), 100: (0, 47), None: (0, 48)}
+
+
 def test_leaks_of_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
