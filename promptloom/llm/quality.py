@@ -1,15 +1,16 @@
 """Document quality from random-indexing word vectors and a two-layer network.
 
 Words are runs of letters, of digits or of other marks.  Every word has a sparse random index
-vector, a function of its hash.  A word's vector is the sum of the index vectors it was seen next
-to; words share ``ROWS`` rows by hash, and a row for the word's shape stands beside the word's own.
-Contexts are counted by the neighbours' shapes, which stay few however many words there are.  A
-document is pooled: the mean of its words' vectors, and how often two of its places hold the same
+vector, a function of its hash.  A word's vector is the sum of the index vectors of the words it was
+seen next to, in all documents; words share ``ROWS`` rows by hash.  Beside them a row for each shape
+sums the index vectors of the words and of the shapes next to words of that shape.  A document is
+pooled: the means of its words' and shapes' vectors, and how often two of its places hold the same
 word or word pair, by hash.  A network with one hidden layer gives a logit; a temperature fitted on labelled rows that the network
 did not see turns it into a probability.
 
-The model is fitted on at most ``SAMPLE`` labelled documents of at most ``SAMPLE_BYTES`` bytes,
-picked by a hash of their ids, which is all that reaches the driver.  Scoring reads whole texts, a
+The vectors are summed by tasks, in whole numbers, so that the order does not matter; the driver
+receives the one table of fixed size.  The network is fitted on at most ``SAMPLE`` labelled documents
+of at most ``SAMPLE_BYTES`` bytes, picked by a hash of their ids, which reach the driver too.  Scoring reads whole texts, a
 slice at a time; the model (about 4 MB) is broadcast.
 
 Defined results: null and empty texts are scored as documents without words; ids pass through, null
@@ -47,13 +48,13 @@ _SHAPES = 128
 
 
 def _index_vectors() -> np.ndarray:
-    """A few +1 and -1 in each row, scaled to length 1."""
+    """A few +1 and -1 in each row."""
     rng = np.random.default_rng(21)
-    out = np.zeros((ROWS + _SHAPES, SIZE), np.float32)
+    out = np.zeros((ROWS + _SHAPES, SIZE), np.int8)
     places = rng.integers(0, SIZE, (out.shape[0], NONZERO))
-    signs = rng.choice(np.array([-1.0, 1.0], np.float32), places.shape)
+    signs = rng.choice(np.array([-1, 1], np.int8), places.shape)
     np.add.at(out, (np.arange(out.shape[0])[:, None], places), signs)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
+    return out
 
 
 def _words(raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,24 +112,74 @@ def _rows(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(20)).astype(np.int64) % ROWS
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)
+
+
+class Contexts:
+    """Sums, for each row, of the index vectors around it."""
+
+    def __init__(self):
+        self.index = _index_vectors()
+        self.sums = np.zeros(self.index.shape, np.int64)
+
+    def add(self, texts: pa.StringArray) -> None:
+        before, tail = -1, 0
+        for first, _, owner, hashes, shapes in _texts(texts):
+            word = _rows(hashes)
+            # a part of a long text has the last words of the part before in front of it
+            tail = min(tail, WINDOW) if first == before else 0
+            if tail:
+                word, shapes = np.concatenate([last_words[-tail:], word]), np.concatenate([last_shapes[-tail:], shapes])
+                owner = np.zeros(word.size, np.int64)
+            near_words = np.zeros((word.size, SIZE), np.int8)
+            near_shapes = np.zeros(_SHAPES * _SHAPES, np.int64)
+            for step in range(1, WINDOW + 1):
+                left = np.flatnonzero(owner[step:] == owner[:-step])
+                left = left[left + step >= tail]
+                for target, source in ((left, left + step), (left + step, left)):
+                    near_words[target] += self.index[word[source]]
+                    near_shapes += np.bincount(shapes[target] * _SHAPES + shapes[source], minlength=near_shapes.size)
+            for row in (word, shapes + ROWS):
+                order = np.argsort(row, kind="stable")
+                heads = np.flatnonzero(np.diff(row[order], prepend=-1))
+                if heads.size:
+                    self.sums[row[order[heads]]] += np.add.reduceat(near_words[order], heads, axis=0, dtype=np.int64)
+            self.sums[ROWS:] += near_shapes.reshape(_SHAPES, _SHAPES) @ self.index[ROWS:].astype(np.int64)
+            before, tail, last_words, last_shapes = first, word.size, word, shapes
+
+    def vectors(self) -> np.ndarray:
+        """The context vector of each row, scaled to length 1."""
+        # a word keeps a share of its own index vector, so that rows never met still differ
+        return _unit(self.sums / np.sqrt(NONZERO) + _unit(self.index)).astype(np.float32)
+
+
 def word_vectors(texts: pa.StringArray) -> np.ndarray:
-    """The context vector of each row: the sum of the index vectors around it, scaled to length 1."""
-    index = _index_vectors()
-    out = np.zeros(index.shape)
-    near_words = np.zeros((ROWS, _SHAPES))
-    near_shapes = np.zeros((_SHAPES, _SHAPES))
-    for _, _, owner, hashes, shapes in _texts(texts):
-        word = _rows(hashes)
-        for step in range(1, WINDOW + 1):
-            near = np.flatnonzero(owner[step:] == owner[:-step])
-            for target, source in ((near, near + step), (near + step, near)):
-                np.add.at(near_words, (word[target], shapes[source]), 1)
-                np.add.at(near_shapes, (shapes[target], shapes[source]), 1)
-    out[:ROWS] = near_words @ index[ROWS:]
-    out[ROWS:] = near_words.T @ index[:ROWS] + near_shapes @ index[ROWS:]
-    # a word keeps a share of its own index vector, so that rows never met still differ
-    out += index
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)).astype(np.float32)
+    """The context vectors of some texts."""
+    contexts = Contexts()
+    contexts.add(texts)
+    return contexts.vectors()
+
+
+_FIELDS = [f"v{k}" for k in range(SIZE)]
+
+
+def _partial_sums(batches):
+    contexts = Contexts()
+    for batch in batches:
+        contexts.add(batch.column(0))
+    met = np.flatnonzero(contexts.sums.any(axis=1))
+    yield pa.record_batch([pa.array(met), *[pa.array(contexts.sums[met, k]) for k in range(SIZE)]], names=["row", *_FIELDS])
+
+
+def all_vectors(docs: DataFrame, text_column: str) -> np.ndarray:
+    """The context vectors of all documents; each task sends the rows it met of one table."""
+    texts = docs.select(F.col(text_column).cast("string").alias("text"))
+    partial = texts.mapInArrow(_partial_sums, ", ".join(["row long", *[f"{v} long" for v in _FIELDS]]))
+    summed = partial.groupBy("row").agg(*[F.sum(v).alias(v) for v in _FIELDS]).toArrow()  # ROWS + _SHAPES rows at most
+    contexts = Contexts()
+    contexts.sums[summed.column("row").to_numpy()] = np.stack([summed.column(v).to_numpy() for v in _FIELDS], axis=1)
+    return contexts.vectors()
 
 
 def pooled(texts: pa.StringArray, vectors: np.ndarray) -> np.ndarray:
@@ -208,13 +259,9 @@ def _network(x: np.ndarray, y: np.ndarray) -> tuple:
     return tuple(p)
 
 
-def train(texts: list[str], labels: np.ndarray) -> Model:
+def train(texts: list[str], labels: np.ndarray, vectors: np.ndarray) -> Model:
     """Every fifth row fits the temperature, the others the network."""
-    if labels.size < 10 or np.unique(labels).size < 2:
-        return Model(None, prior=float(labels.mean()) if labels.size else 0.5)
-    column = pa.array(texts, pa.string())
-    vectors = word_vectors(column)
-    x = features(column, vectors)
+    x = features(pa.array(texts, pa.string()), vectors)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     scaled = np.clip((x - mean) / spread, -8, 8)
     aside = np.arange(labels.size) % 5 == 4
@@ -246,7 +293,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_column: str, text_column: str,
     text = F.col(text_column).cast("string")
     known = docs.select(F.col(id_column).alias("id"), text.alias("text")).filter(F.octet_length(text) <= SAMPLE_BYTES)
     rows = known.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "label", F.xxhash64("text")).limit(sample).collect()
-    return train([r.text for r in rows], np.array([r.label for r in rows]))
+    truth = np.array([r.label for r in rows])
+    if truth.size < 10 or np.unique(truth).size < 2:
+        return Model(None, prior=float(truth.mean()) if truth.size else 0.5)
+    return train([r.text for r in rows], truth, all_vectors(docs, text_column))
 
 
 def _scoring(shipped):

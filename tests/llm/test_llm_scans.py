@@ -278,6 +278,29 @@ def test_quality_rows(spark):
     assert {r.score for r in quality.score(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_vectors_are_of_all_documents(spark):
+    rows = [(k, f"some words {k} of text", k % 2) for k in range(40)] + [(100, "unseen besides elsewhere", None), (101, "long one " * 9_000, None), (102, None, None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([r[::2] for r in rows], "doc_id long, quality int")
+    model = quality.fit(docs, labels, id_column="doc_id", text_column="text", label_column="quality")
+    np.testing.assert_array_equal(model.vectors, quality.word_vectors(pa.array([r[1] for r in rows])))
+
+
+def test_words_of_equal_shape_are_told_apart():
+    words = ["aaa", "bbb", "ccc", "ddd"]
+    place = [int(quality._rows(quality._words(np.frombuffer(w.encode(), np.uint8), np.zeros(1, np.int64))[0])[0]) for w in words]
+    index, vectors = quality._index_vectors().astype(float), quality.word_vectors(pa.array(["aaa bbb", "ccc ddd"] * 20))
+    own = lambda k: vectors[place[k]] @ index[place[k ^ 1]] / np.linalg.norm(index[place[k ^ 1]])
+    assert min(own(k) for k in range(4)) > 0.9
+
+
+def test_parts_of_a_text_change_no_vector(monkeypatch):
+    texts = pa.array(["some words here, and there. " * 60, "other \n" * 300, "", "x"])
+    whole = quality.word_vectors(texts)
+    monkeypatch.setattr(quality, "_SLICE", 400)
+    np.testing.assert_array_equal(quality.word_vectors(texts), whole)
+
+
 def test_neighbours_do_not_change_the_features():
     texts = pa.array(["some words here", "other words", "", "x y x y"])
     vectors = quality.word_vectors(texts)
