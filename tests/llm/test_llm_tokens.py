@@ -38,6 +38,16 @@ def test_encoding_equals_the_library(library):
     assert [coder.decode(p) for p in packed] == [library.decode(w, skip_special_tokens=False) for w in wanted]
 
 
+def test_control_characters_are_no_white_space(library):
+    rng = random.Random(5)
+    letters = "ab1.'  \n\n\t\x0b\x0c\x1c\x1d\x1e\x1f\x00\x7f\x85\xa0é"
+    given = ["a\n\n\x1fb", *("".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3_000))]
+    given += [t + "Ω" for t in given[:500]]
+    coder = bpe_trie.Trie(byte_bpe.parse(byte_bpe.content(PATH)))
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in given]
+    assert [np.frombuffer(p, "<u4").tolist() for p in coder.encode_all(given)] == wanted
+
+
 def test_every_token_is_its_own_encoding():
     coder = bpe_trie.Trie(byte_bpe.parse(byte_bpe.content(PATH)))
     ids = coder.vocabulary.ids
