@@ -80,7 +80,7 @@ def base_spans(text: str) -> list[Span]:
     """The patterns' spans, by kind and start."""
     found = _emails(text)
     if _DIGIT.search(text):
-        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m[0].split(".")))]
         for m in _CARD.finditer(text):
             digits = _digits(m[0])
             if 16 <= len(digits) <= 19 and luhn(digits):

@@ -186,6 +186,13 @@ def test_patterns_are_the_stated_ones(letters):
         assert pii.base_spans(text) == plain_spans(text), text
 
 
+def test_an_address_may_begin_with_many_zeros():
+    zeros = "0" * 5_000
+    assert pii.base_spans(f"x {zeros}.0.0.0") == [("ip", 2, 5_008)]
+    assert pii.base_spans(f"x {zeros}255.0.0.{zeros}7")[0] == ("ip", 2, 10_011)
+    assert not any(kind == "ip" for kind, _, _ in pii.base_spans(f"x {zeros}256.0.0.1"))
+
+
 def test_patterns_are_linear():
     for text in ("1" * 300_000, "1." * 150_000, "a" * 300_000 + "@", "@" * 300_000, "a@" * 150_000, "+" * 300_000, "1 " * 150_000):
         pii.base_spans(text)
