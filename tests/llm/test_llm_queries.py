@@ -28,6 +28,9 @@ COLUMNS = {
     8: ["doc_id", "held_out", "score", "predicted"],
     9: ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     10: ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    11: ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+    12: ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    13: ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
 }
 
 
