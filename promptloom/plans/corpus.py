@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.functions import text as X
-from promptloom.operators import frames, metrics, order, pairs, pivot
+from promptloom.operators import frames, metrics, order, pairs, pivot, similar
 from promptloom.plans.registry import query, table
 from promptloom.session import scratch_path
-from promptloom.sources import readers, writers
+from promptloom.sources import csv_split, json_split, readers, writers
 
 SPLIT_SQL = """
     SELECT {key}, {more} CASE WHEN row_number() OVER (ORDER BY md5('{seed}:' || {key}), {key})
@@ -28,6 +28,7 @@ def split_sql(table_name: str, key: str, more: str = "", seed: int = 42,
 
 _MESSAGES = "SELECT conv_id, turn, role, text FROM conversations"
 _MESSAGE_DDL = "conv_id bigint, turn bigint, role string, text string"
+_DOCUMENT_DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
 @query("csv_roundtrip", _MESSAGES)
@@ -37,6 +38,29 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_csv(spark, path, _MESSAGE_DDL)
 
 
+@query("csv_split_scan", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_split_scan(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "csv")
+    writers.write_csv(table(spark, folder, "documents"), path)
+    return csv_split.read_csv_split(spark, path, _DOCUMENT_DDL)
+
+
+@query("json_array_scan", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def json_array_scan(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "json")
+    writers.write_records(table(spark, folder, "documents"), path)
+    return json_split.read_records_split(spark, path, _DOCUMENT_DDL)
+
+
+@query("json_columns_scan", _MESSAGES)
+def json_columns_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a single object each, as other programs write them."""
+    path = scratch_path(spark, "json")
+    objects = writers.to_columnar(table(spark, folder, "conversations"), [F.asc("conv_id"), F.asc("turn")]).drop("chunk")
+    objects.write.option("ignoreNullFields", False).option("maxRecordsPerFile", 1).json(path)
+    return json_split.read_columnar_split(spark, path, _MESSAGE_DDL)
+
+
 @query("csv_text_scan", """
     SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, text
     FROM conversations""")
@@ -288,6 +312,25 @@ def attach_similar(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
+
+
+@query("attach_similar_text", f"""
+    WITH sets AS (SELECT doc_id, lang, source, {_WORDS} AS words, doc_id IN (SELECT doc_id FROM labels) AS asks FROM documents),
+    pairs AS (SELECT r.doc_id, c.doc_id AS case_id, len(list_intersect(r.words, c.words)) AS common, len(r.words) + len(c.words) AS both
+              FROM sets r JOIN sets c ON r.asks AND NOT c.asks AND r.lang = c.lang AND r.source = c.source),
+    best AS (SELECT doc_id, case_id, CAST(common AS DOUBLE) / (both - common) AS similarity FROM pairs WHERE common * 10 >= both - common
+             QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(common AS DOUBLE) / (both - common) DESC, case_id) = 1)
+    SELECT s.doc_id, s.lang, s.source, b.case_id, b.similarity FROM sets s LEFT JOIN best b ON s.doc_id = b.doc_id WHERE s.asks""")
+def attach_similar_text(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    known = table(spark, folder, "labels").select("doc_id")
+    return similar.attach_similar_text(
+        docs.join(known, "doc_id", "left_semi"), docs.join(known, "doc_id", "left_anti"), ["lang", "source"], "text", "doc_id",
+        at_least=0.1,
+    ).drop("text")
+
+
 @query("leakage", f"""
     WITH parts AS ({split_sql('documents', 'doc_id', 'md5(text) AS text_md5')})
     SELECT doc_id, text_md5 FROM parts WHERE split = 'test'

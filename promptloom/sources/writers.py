@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,25 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's records with brackets around them and commas between."""
+    yield pa.record_batch([pa.array(["["])], names=["value"])
+    lead = ""
+    for batch in batches:
+        if batch.num_rows:
+            first, rest = batch.column(0)[0].as_py(), batch.column(0).slice(1)
+            yield pa.record_batch([pa.array([lead + first])], names=["value"])
+            yield pa.record_batch([pc.binary_join_element_wise("", rest, ",")], names=["value"])
+            lead = ","
+    yield pa.record_batch([pa.array(["]"])], names=["value"])
+
+
+def write_records(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Files that hold one JSON array of records each, a record a line."""
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    df.select(record.alias("value")).mapInArrow(_as_array, "value string").write.mode(mode).text(path)
+
+
 def write_lines(df: DataFrame, column: str, path: str, mode: str = "errorifexists") -> None:
     """One text column as raw lines."""
     df.select(F.col(column).alias("value")).write.mode(mode).text(path)
