@@ -113,12 +113,15 @@ def compare_runs(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.compare_runs(a, b, "user_id", "value")
 
 
-@query("score_stub", f"""
+_ANSWERED_SQL = f"""
     SELECT conv_id, turn, '<think>' || chr(10) || string_split(prompt, chr(10))[1] || chr(10)
             || '</think>' AS thinking,
         trim(array_to_string(list_reverse(string_split(prompt, chr(10))), chr(10)), chr(10))
             AS content
-    FROM ({PAIRS_SQL})""")
+    FROM ({PAIRS_SQL})"""
+
+
+@query("score_stub", _ANSWERED_SQL)
 def score_stub(spark: SparkSession, folder: str) -> DataFrame:
     prompts = paired(spark, folder).select("conv_id", "turn", "prompt")
     answered = scoring.score(prompts, scoring.echo_model, "prompt", "generated")
@@ -126,6 +129,18 @@ def score_stub(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("conv_id", "turn", "_s.thinking", "_s.content")
 
 
+@query("score_resumed", _ANSWERED_SQL)
+def score_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """A run over the first turns, then one over all of them that goes on with the log of the first."""
+    prompts = paired(spark, folder).select("conv_id", "turn", "prompt")
+    log = scratch_path(spark, "generated")
+    key = ["conv_id", "turn"]
+    scoring.score_resumable(prompts.filter("turn <= 1"), scoring.echo_model, "prompt", "generated", log, key)
+    answered = scoring.score_resumable(prompts, scoring.echo_model, "prompt", "generated", log, key)
+    cut = answered.withColumn("_s", X.split_thinking("generated"))
+    return cut.select("conv_id", "turn", "_s.thinking", "_s.content")
+
+
 @query("compare_generated", f"""
     WITH lines AS (SELECT turn, prompt, answer, list_distinct(string_split(answer, chr(10))) AS a,
         list_distinct(string_split(prompt, chr(10))) AS b FROM ({PAIRS_SQL}))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from promptloom.operators import metrics, scoring
@@ -119,3 +120,40 @@ def test_loss_is_summed_over_steps(spark):
     df = spark.createDataFrame(rows, "run string, pred int, label int, loss double")
     got = {r.run: (r.loss_sum, r.steps, r.mean_loss) for r in metrics.eval_summary(df, "pred", "label", "run", loss="loss").collect()}
     assert got == {"a": (3.0, 2, 1.5), "b": (0.0, 0, None), "total": (3.0, 2, 1.5)}
+
+
+def test_a_broken_run_goes_on(spark, tmp_path):
+    """A task fails in the middle; the next run generates only what the log lacks, each distinct prompt once."""
+    calls, trap = tmp_path / "calls", tmp_path / "trap"
+    rows = [(k, f"prompt {k % 40}" if k % 7 else None) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, p string").repartition(4)
+
+    def make():
+        def run(prompts):
+            if trap.exists() and prompts.str.endswith("17").any():
+                raise ValueError("the model is gone")
+            with open(calls, "a") as f:
+                f.writelines(f"{p}\n" for p in prompts)
+            return prompts.str.upper()
+
+        return run
+
+    log = f"file://{tmp_path}/log"
+    again = lambda data: scoring.score_resumable(data, make, "p", "g", log, "id", per_slice=4)
+    trap.touch()
+    with pytest.raises(Exception, match="the model is gone"):
+        again(df)
+    kept = {r.digest for r in scoring.read_log(spark, log).collect()}
+    trap.unlink()
+    before = calls.read_text().count("\n")
+    got = {r.id: r.g for r in again(df).collect()}
+    assert got == {k: (p or "").upper() for k, p in rows}
+    prompts = {p or "" for _, p in rows}
+    assert 0 < len(kept) < len(prompts)
+    assert calls.read_text().count("\n") - before == len(prompts) - len(kept)
+    # all is there: no further call, new prompts only
+    seen = calls.read_text().count("\n")
+    more = df.unionByName(spark.createDataFrame([(1000, "new one"), (1001, "prompt 3")], df.schema))
+    assert {r.id: r.g for r in again(more).collect()} == got | {1000: "NEW ONE", 1001: "PROMPT 3"}
+    assert calls.read_text().count("\n") == seen + 1
+    assert again(df.limit(0)).collect() == []
