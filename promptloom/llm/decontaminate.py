@@ -83,7 +83,7 @@ def _matches(
     widths = sorted(r[0] for r in items.select("width").distinct().collect()) or [width]  # at most `width` numbers
     item_places = cut(_grams(items, ["item_no", "n_words", "width"], widths))
     item_grams = item_places.groupBy("item_no", "n_words", "width", "h").agg(F.count(F.lit(1)).alias("weight"))
-    n_places = item_places.count()
+    n_places, n_items = item_places.count(), items.count()
 
     rows = docs.select(F.col(id_column).alias("id"), _text_no(text_column).alias("text_no"), words(F.col(text_column)).alias("words"))
     item_of = small(item_grams.drop("weight"), n_places)
@@ -121,7 +121,7 @@ def _matches(
     prints = _block_rows(simhash(grams, ["n_words", "window"]))
     item_prints = _block_rows(simhash(item_grams, ["n_words", "item_no"])).withColumnRenamed("print", "item_print")
     candidates = (
-        prints.join(small(item_prints, n_places), ["n_words", "block", "value"])
+        prints.join(small(item_prints, n_items * _BLOCKS), ["n_words", "block", "value"])
         .filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
         .select("n_words", "window", "item_no")
         .distinct()

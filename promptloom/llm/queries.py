@@ -59,28 +59,32 @@ def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 
 _LEAK_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
-#: Windows aligned on a shared shingle; the similarity of their shingles, counted with their weights.
+#: All windows that hold a place with a shingle of the item, in documents with enough of them; the similarity of their
+#: shingles, counted with their weights.  A document shorter than the item is one window.
 CHECKS["op6_benchmark_decontamination"] = f"""
-WITH items AS (SELECT item_id, words, len(words) AS n_words, least(5, len(words)) AS width
+WITH items AS (SELECT item_id, words, len(words) AS n_item, least(5, len(words)) AS width
                FROM (SELECT DISTINCT item_id, {_LEAK_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
-places AS (SELECT item_id, n_words, width, unnest(range(0, n_words - width + 1)) AS item_at, words FROM items),
-item_grams AS (SELECT item_id, n_words, width, item_at, array_to_string(words[item_at + 1 : item_at + width], ' ') AS g FROM places),
+places AS (SELECT item_id, n_item, width, unnest(range(0, n_item - width + 1)) AS item_at, words FROM items),
+item_grams AS (SELECT item_id, n_item, width, array_to_string(words[item_at + 1 : item_at + width], ' ') AS g FROM places),
+item_weights AS (SELECT item_id, n_item, width, g, count(*) AS weight FROM item_grams GROUP BY ALL),
 docs AS (SELECT DISTINCT doc_id, {_LEAK_WORDS} AS words FROM documents),
 doc_grams AS (SELECT doc_id, words, width, p, array_to_string(words[p + 1 : p + width], ' ') AS g
               FROM (SELECT doc_id, words, width, unnest(range(0, len(words) - width + 1)) AS p
                     FROM docs CROSS JOIN (SELECT DISTINCT width FROM items))),
-aligned AS (SELECT DISTINCT doc_id, words, item_id, n_words, d.width,
-                   least(greatest(p - item_at, 0), len(words) - n_words) AS begin
-            FROM doc_grams d JOIN item_grams i ON d.g = i.g AND d.width = i.width),
-windows AS (SELECT DISTINCT doc_id, begin, n_words, width, words[begin + 1 : begin + n_words] AS w FROM aligned WHERE begin >= 0),
-window_grams AS (SELECT doc_id, begin, n_words, width, g, count(*) AS weight
-                 FROM (SELECT doc_id, begin, n_words, width, array_to_string(w[p + 1 : p + width], ' ') AS g
-                       FROM (SELECT *, unnest(range(0, n_words - width + 1)) AS p FROM windows)) GROUP BY ALL),
-item_weights AS (SELECT item_id, n_words, width, g, count(*) AS weight FROM item_grams GROUP BY ALL),
-shared AS (SELECT doc_id, begin, w.n_words, w.width, item_id, sum(least(w.weight, i.weight)) AS common
-           FROM window_grams w JOIN item_weights i ON w.g = i.g AND w.n_words = i.n_words GROUP BY ALL),
-scored AS (SELECT doc_id, item_id, begin, n_words, common, 2 * (n_words - width + 1) - common AS whole FROM shared)
-SELECT doc_id, item_id, CAST(begin AS INTEGER) AS first_word, CAST(n_words AS INTEGER) AS n_words,
+hits AS (SELECT doc_id, words, item_id, n_item, d.width, p, least(n_item, len(words)) AS size
+         FROM doc_grams d JOIN item_weights i ON d.g = i.g AND d.width = i.width),
+enough AS (SELECT doc_id, words, item_id FROM hits GROUP BY doc_id, words, item_id, n_item, width HAVING count(*) * 100 >= (n_item - width + 1) * 80),
+begins AS (SELECT h.doc_id, h.words, h.item_id, n_item, width, size,
+                  unnest(range(greatest(p - size + width, 0), least(p, len(h.words) - size) + 1)) AS begin
+           FROM hits h JOIN enough e ON h.doc_id IS NOT DISTINCT FROM e.doc_id AND h.words = e.words AND h.item_id = e.item_id),
+windows AS (SELECT DISTINCT doc_id, item_id, n_item, width, size, begin, words[begin + 1 : begin + size] AS w FROM begins),
+window_grams AS (SELECT doc_id, item_id, n_item, width, size, begin, g, count(*) AS weight
+                 FROM (SELECT doc_id, item_id, n_item, width, size, begin, array_to_string(w[p + 1 : p + width], ' ') AS g
+                       FROM (SELECT *, unnest(range(0, size - width + 1)) AS p FROM windows)) GROUP BY ALL),
+shared AS (SELECT w.doc_id, w.item_id, w.n_item, w.width, size, begin, sum(least(w.weight, i.weight)) AS common
+           FROM window_grams w JOIN item_weights i ON w.g = i.g AND w.item_id = i.item_id AND w.n_item = i.n_item GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, begin, size, common, size + n_item - 2 * width + 2 - common AS whole FROM shared)
+SELECT doc_id, item_id, CAST(begin AS INTEGER) AS first_word, CAST(size AS INTEGER) AS n_words,
        CAST(common AS DOUBLE) / CAST(whole AS DOUBLE) AS similarity
 FROM scored WHERE common * 100 >= whole * 80
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY CAST(common AS DOUBLE) / whole DESC, begin) = 1

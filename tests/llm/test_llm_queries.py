@@ -52,6 +52,33 @@ def test_query(spark, name):
         assert difference(df, connect(FOLDER), CHECKS[name]) is None
 
 
+@pytest.mark.parametrize("name", sorted(CHECKS))
+def test_sql(spark, name):
+    """On the table that the SQL is judged on."""
+    folder = "/root/testdata/sf0.01"
+    assert difference(QUERIES[name](spark, folder), connect(folder), CHECKS[name]) is None
+
+
+def test_leaks_sql(spark, tmp_path):
+    """Reordered, cut and short passages, and equal windows one after the other."""
+    word = lambda k: f"w{k}"
+    item = [word(k) for k in range(50)]
+    other = [word(1000 + k) for k in range(400)]
+    docs = [
+        (1, other[:60] + item[25:] + item[:25] + other[60:100]), (2, other[:20] + item[:22] + other[20:21] + item[22:] + other[30:50]),
+        (3, other[:3] + item[5:] + other[3:30]), (4, item[:47]), (5, item[:30]), (6, ["same"] * 70), (7, item), (7, item), (8, []),
+    ]
+    items = [(1, item), (2, ["same"] * 50), (3, other[300:304]), (4, [])]
+    for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        spark.createDataFrame([(i, " ".join(t)) for i, t in rows], f"{key} long, text string").coalesce(1).write.parquet(f"{tmp_path}/all/{name}")
+        (part,) = (tmp_path / "all" / name).glob("*.parquet")
+        part.rename(tmp_path / f"{name}.parquet")
+    name = "op6_benchmark_decontamination"
+    found = QUERIES[name](spark, str(tmp_path))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (6, 2), (7, 1)}
+    assert difference(found, connect(str(tmp_path)), CHECKS[name]) is None
+
+
 def test_stages_take_effect(spark):
     """Each stage, given what the one before it kept, does what its operator finds."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
