@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from promptloom.llm import byte_bpe
+from promptloom.llm.lean import lean
 
 #: Characters of text whose words go into one trie.
 WINDOW = 1_000_000
@@ -315,7 +316,7 @@ def _run(df: DataFrame, make, vocabulary: str, id_column: str, column: str, kind
     spec = df.sparkSession.sparkContext.broadcast(byte_bpe.content(vocabulary))
     narrow = df.select(F.col(id_column).alias("id"), F.col(column).cast(kind).alias("value"))
     schema = StructType([StructField("id", narrow.schema["id"].dataType), *fields])
-    return narrow.mapInArrow(make(spec), schema).withColumnRenamed("id", id_column)
+    return narrow.mapInArrow(lean(make(spec), text=1), schema).withColumnRenamed("id", id_column)
 
 
 def encode(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from promptloom.llm import wordhash
 from promptloom.llm.components import components
+from promptloom.llm.lean import lean
 from promptloom.session import cut
 
 PERMUTATIONS, BAND = 64, 4
@@ -228,7 +229,7 @@ def near_duplicates(
     kind = narrow.schema["id"].dataType.simpleString()
     signed = cut(
         narrow.mapInArrow(
-            _sign(width), f"id {kind}, text_key string, n_shingles long, node binary, signature binary, bands array<bigint>"
+            lean(_sign(width), text=2), f"id {kind}, text_key string, n_shingles long, node binary, signature binary, bands array<bigint>"
         )
     )
     own = F.struct(F.col("id").isNull().alias("lacks_id"), F.col("id").alias("id"), F.col("text_key").alias("text_key"))
@@ -242,7 +243,7 @@ def near_duplicates(
     bucket = nodes.select("node", F.explode("bands").alias("band")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band")))
     shared = bucket.filter(F.col("n") > 1).join(nodes.select("node", "signature"), "node")
     met = _cells(shared, "band", F.ceil(F.col("n") / BUCKET_BLOCK)).select("cell", "node", "signature")
-    chained = met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_chain, "a binary, b binary")
+    chained = met.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(_chain), "a binary, b binary")
     clusters = cut(components(chained))
 
     linked = clusters.join(nodes.select("node", "text_key", "n_shingles"), "node")
@@ -252,7 +253,7 @@ def near_duplicates(
     linked = linked.join(size, "root")
     once = narrow.groupBy("text_key").agg(F.first("text").alias("text"))  # exact copies meet before the shuffle
     met = _cells(linked.join(once, "text_key"), "root", F.col("n_blocks")).select("cell", "node", "text")
-    links = met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_link(width, threshold), "a binary, b binary")
+    links = met.repartition("cell").sortWithinPartitions("cell").mapInArrow(lean(_link(width, threshold)), "a binary, b binary")
     grouped = components(links)
 
     whole = nodes.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "smallest")

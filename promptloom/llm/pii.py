@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from promptloom.llm.lean import lean
+
 KINDS = ("email", "ip", "card", "phone")
 NONE = "none"
 LABELS = (NONE, *KINDS)
@@ -408,7 +410,7 @@ def personal_data(docs: DataFrame, field: Field | None = None, *, id_column: str
     narrow = _narrow(docs, F.col(id_column), text_column)
     fields = [StructField("id", narrow.schema["id"].dataType), *(StructField(f"n_{k}", LongType()) for k in KINDS)]
     fields += [StructField("base_sha256", StringType()), StructField("spans", StringType())]
-    return narrow.mapInArrow(_rows(shipped, redact=False), StructType(fields)).withColumnRenamed("id", id_column)
+    return narrow.mapInArrow(lean(_rows(shipped, redact=False), text=1), StructType(fields)).withColumnRenamed("id", id_column)
 
 
 def redact(docs: DataFrame, field: Field | None = None, *, text_column: str = "text") -> DataFrame:
@@ -418,5 +420,5 @@ def redact(docs: DataFrame, field: Field | None = None, *, text_column: str = "t
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)
     packed = docs.select(rest.alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     schema = StructType([StructField("id", packed.schema["id"].dataType), StructField("text", StringType())])
-    done = packed.mapInArrow(_rows(shipped, redact=True), schema)
+    done = packed.mapInArrow(lean(_rows(shipped, redact=True), text=1), schema)
     return done.select(*[F.col("text").alias(c) if c == text_column else F.col(f"id.`{c}`").alias(c) for c in docs.columns])

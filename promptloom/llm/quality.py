@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm import wordhash
+from promptloom.llm.lean import lean
 
 SAMPLE, SAMPLE_BYTES = 4_000, 65_536
 ROWS, SIZE, NONZERO, WINDOW = 1 << 15, 32, 6, 2
@@ -175,7 +176,7 @@ def _partial_sums(batches):
 def all_vectors(docs: DataFrame, text_column: str) -> np.ndarray:
     """The context vectors of all documents; each task sends the rows it met of one table."""
     texts = docs.select(F.col(text_column).cast("string").alias("text"))
-    partial = texts.mapInArrow(_partial_sums, ", ".join(["row long", *[f"{v} long" for v in _FIELDS]]))
+    partial = texts.mapInArrow(lean(_partial_sums, text=0), ", ".join(["row long", *[f"{v} long" for v in _FIELDS]]))
     summed = partial.groupBy("row").agg(*[F.sum(v).alias(v) for v in _FIELDS]).toArrow()  # ROWS + _SHAPES rows at most
     contexts = Contexts()
     contexts.sums[summed.column("row").to_numpy()] = np.stack([summed.column(v).to_numpy() for v in _FIELDS], axis=1)
@@ -317,7 +318,7 @@ def score(
     model = fit(docs, labels, id_column=id_column, text_column=text_column, label_column=label_column, sample=sample)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    scored = narrow.mapInArrow(_scoring(shipped), f"id {narrow.schema['id'].dataType.simpleString()}, score double")
+    scored = narrow.mapInArrow(lean(_scoring(shipped), text=1), f"id {narrow.schema['id'].dataType.simpleString()}, score double")
     return scored.select(
         F.col("id").alias(id_column), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= good_from).cast("int").alias("predicted")
     )
@@ -337,4 +338,4 @@ def keep_good(
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(place).cast(pa.string())) >= good_from))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run, text=place), docs.schema)
