@@ -23,7 +23,7 @@ from promptloom.operators.order import as_list, skew_join
 from promptloom.session import cut
 
 #: Thresholds of the rounds; the last round is the caller's ``at_least``.
-ROUNDS = (0.9, 0.7, 0.5, 0.3)
+ROUNDS = (0.8, 0.4)
 #: The most frequent words are ordered by frequency, all rarer ones by hash before them: what is broadcast.
 HEAD = 1 << 16
 #: Cases that have a word in their beginning, up to which they stay together.

@@ -14,14 +14,15 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from promptloom.operators.order import as_list, global_rank
+from promptloom.session import cut
 
 SPECIALS = ["<pad>", "<unk>", "<eos>"]
 PAD, UNK, EOS = 0, 1, 2
 
-# The most frequent tokens are looked up by broadcast: at most 65,536 rows of at most 256
-# characters.
-HEAD = 1 << 16
-HEAD_LENGTH = 256
+# The most frequent tokens are looked up by broadcast: at most 262,144 rows of at most 64
+# characters, a few MB of ordinary words.
+HEAD = 1 << 18
+HEAD_LENGTH = 64
 
 
 def build_vocab(df: DataFrame, toks: Column, max_size: int | None = None) -> DataFrame:
@@ -91,6 +92,14 @@ def _found(coded: DataFrame, key: list[str], tail: DataFrame, by: str, want: str
     return gathered.select(*key, F.col("_e.v").alias("_found"))
 
 
+def _filled(coded: DataFrame, key: list[str], tail: DataFrame, by: str, want: str, unknown) -> DataFrame:
+    """``coded`` with ``_found``.  It is kept, so that the look-up runs once; rows the head sufficed for do not move."""
+    coded = cut(coded)
+    asked = coded.filter(F.size("_tail") > 0)
+    there = asked.drop("_tail").join(_found(asked, key, tail, by, want, unknown), key, "left")
+    return there.unionByName(coded.filter(F.size("_tail") == 0).drop("_tail"), allowMissingColumns=True)
+
+
 def _schema(df: DataFrame, *added: T.StructField) -> T.StructType:
     return T.StructType([*(f for f in df.schema if f.name != "_in"), *added])
 
@@ -104,7 +113,7 @@ def encode(
     ``key`` is unique; a null in it is an error.  ``tags`` is an optional parallel array that comes
     back as ``tags``, ``carry`` names columns that come back as they are.  A token that reads like a
     special one is a token like any other.  The head of the vocabulary is looked up inside the row,
-    in Arrow batches; only each row's distinct other tokens are shuffled.
+    in Arrow batches; only each row's distinct other tokens are shuffled, and nothing where the head is all of it.
     """
     key, carry = as_list(key), carry or []
     extra = [F.col(c) for c in carry] + ([tags.alias("tags")] if tags is not None else [])
@@ -129,9 +138,12 @@ def encode(
 
     numbers, texts = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
     coded = rows.mapInArrow(look_up, _schema(rows, T.StructField("_ids", numbers), T.StructField("_tail", texts)))
-    both = coded.drop("_tail").join(_found(coded, key, _tail(vocab), "_token", "_id", UNK), key, "left")
-    filled = F.transform("_ids", lambda x: F.when(x >= 0, x).otherwise(F.get("_found", -1 - x)))
     names = key + carry + (["tags"] if tags is not None else [])
+    tail = _tail(vocab)
+    if tail.isEmpty():  # what the head lacks, the vocabulary does
+        return coded.select(*names, F.transform("_ids", lambda x: F.when(x >= 0, x).otherwise(UNK)).alias(out))
+    both = _filled(coded, key, tail, "_token", "_id", UNK)
+    filled = F.transform("_ids", lambda x: F.when(x >= 0, x).otherwise(F.get("_found", -1 - x)))
     return both.select(*names, filled.alias(out))
 
 
@@ -176,7 +188,10 @@ def decode(
     read = rows.mapInArrow(
         look_up, _schema(rows, T.StructField("_toks", texts), T.StructField("_at", numbers), T.StructField("_tail", numbers))
     )
-    both = read.drop("_tail").join(_found(read, key, _tail(vocab), "_id", "_token", SPECIALS[UNK]), key, "left")
+    tail = _tail(vocab)
+    if tail.isEmpty():
+        return read.select(*key, F.array_join("_toks", " ", SPECIALS[UNK]).alias(out))
+    both = _filled(read, key, tail, "_id", "_token", SPECIALS[UNK])
     filled = F.zip_with("_toks", "_at", lambda t, k: F.coalesce(t, F.get("_found", k)))
     return both.select(*key, F.array_join(filled, " ").alias(out))
 

@@ -10,6 +10,7 @@ from promptloom.operators import frames, metrics, order, pairs, pivot, similar
 from promptloom.plans.registry import query, table
 from promptloom.session import scratch_path
 from promptloom.sources import csv_split, json_split, readers, writers
+from promptloom.streaming import arrivals
 
 SPLIT_SQL = """
     SELECT {key}, {more} CASE WHEN row_number() OVER (ORDER BY md5('{seed}:' || {key}), {key})
@@ -317,10 +318,10 @@ _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text,
 
 @query("attach_similar_text", f"""
     WITH sets AS (SELECT doc_id, lang, source, {_WORDS} AS words, doc_id IN (SELECT doc_id FROM labels) AS asks FROM documents),
-    pairs AS (SELECT r.doc_id, c.doc_id AS case_id, len(list_intersect(r.words, c.words)) AS common, len(r.words) + len(c.words) AS both
+    pairs AS (SELECT r.doc_id, c.doc_id AS case_id, len(list_intersect(r.words, c.words)) AS common, len(r.words) + len(c.words) AS n_words
               FROM sets r JOIN sets c ON r.asks AND NOT c.asks AND r.lang = c.lang AND r.source = c.source),
-    best AS (SELECT doc_id, case_id, CAST(common AS DOUBLE) / (both - common) AS similarity FROM pairs WHERE common * 10 >= both - common
-             QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(common AS DOUBLE) / (both - common) DESC, case_id) = 1)
+    best AS (SELECT doc_id, case_id, CAST(common AS DOUBLE) / (n_words - common) AS similarity FROM pairs WHERE common * 10 >= n_words - common
+             QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(common AS DOUBLE) / (n_words - common) DESC, case_id) = 1)
     SELECT s.doc_id, s.lang, s.source, b.case_id, b.similarity FROM sets s LEFT JOIN best b ON s.doc_id = b.doc_id WHERE s.asks""")
 def attach_similar_text(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
@@ -403,6 +404,22 @@ def new_paths(spark: SparkSession, folder: str) -> DataFrame:
     return pivot.new_paths(test, train, F.col("links"))
 
 
+@query("new_paths_stream", f"""
+    WITH arrivals AS ({split_sql('pages', 'page_id', 'html', fraction=0.5)}),
+    links AS (SELECT CASE WHEN split = 'test' THEN 0 ELSE 1 END AS arrival, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS path
+              FROM arrivals)
+    SELECT path, CAST(min(arrival) AS BIGINT) AS arrival FROM links GROUP BY path""")
+def new_paths_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the pages arrives, then the other half, then the first once more."""
+    pages = order.split_exact(table(spark, folder, "pages"), "page_id", 0.5, 42)
+    source, target = scratch_path(spark, "arrivals"), scratch_path(spark, "paths")
+    for part in ("test", "train", "test"):
+        pages.filter(F.col("split") == part).select("html").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("html string").parquet(source).select(page_links().alias("links"))
+        seen = arrivals.new_paths_stream(stream, F.col("links"), target)
+    return seen
+
+
 # eight files to a wide row; a longer conversation continues in the next row
 _WIDE = [f"t{i}" for i in range(8)]
 

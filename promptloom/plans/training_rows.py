@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from promptloom.functions import masks as M
 from promptloom.functions.text import tokens
 from promptloom.functions.templates import DEFAULT_SYSTEM, instruct_answer
-from promptloom.operators import batches, metrics, order
+from promptloom.operators import batches, lengths, metrics, order
 from promptloom.operators import vocabulary as V
 from promptloom.operators.chat_rows import chat_rows, chat_token_counts
 from promptloom.operators.messages import chat_pieces
@@ -107,6 +107,16 @@ def truncation_report(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.truncation_report(lengths, "len", LIMITS)
 
 
+@query("length_quantiles", f"""
+    WITH lens AS (SELECT lang, list_sort(list(CAST(len({tokens_sql('text')}) AS BIGINT))) AS l FROM documents GROUP BY lang),
+    cuts AS (SELECT lang, l, share, l[CAST(greatest(ceil(share * len(l)), 1) AS BIGINT)] AS length
+             FROM lens CROSS JOIN (SELECT CAST(unnest(['0.5', '0.9', '0.95', '0.99', '1.0']) AS DECIMAL(18, 17)) AS share))
+    SELECT lang, CAST(share AS DOUBLE) AS share, length, CAST(len(list_filter(l, lambda x: x > length)) AS BIGINT) AS longer FROM cuts""")
+def length_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("lang", "text")
+    return lengths.length_quantiles(docs, "lang", F.size(tokens("text")))
+
+
 # --- fitting and batching -------------------------------------------------------------------------
 
 

@@ -76,3 +76,22 @@ def test_row_operators_run_on_a_stream(spark, tmp_path):
     query.awaitTermination()
     text = spark.read.parquet(target).select(F.col("text")).first().text
     assert text.endswith("<|im_start|>assistant\na<|im_end|>\n")
+
+
+def test_paths_arrive_once(spark, tmp_path):
+    """Each path with the batch that brought it first; a restart knows what came before."""
+    from promptloom.streaming import arrivals
+
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    seen = {}
+    for rows in ([["a", "b", "a"], ["b", None]], [["a", "c"], None], [["a", "b", "c"]], [["d"], []]):
+        spark.createDataFrame([(r,) for r in rows], "paths array<string>").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("paths array<string>").parquet(source)
+        out = arrivals.new_paths_stream(stream, F.col("paths"), target)
+        found = [(r.path, r.arrival) for r in out.collect()]
+        assert len(found) == len(dict(found))
+        for path in {p for r in rows for p in r or [] if p}:
+            seen.setdefault(path, len(seen) and max(seen.values()))
+        assert set(dict(found)) == set(seen)
+    order = dict(found)
+    assert order["a"] == order["b"] < order["c"] < order["d"]
