@@ -202,6 +202,21 @@ def step_log_stream(spark: SparkSession, folder: str) -> DataFrame:
     return steplog.step_log_stream(stream, "ts", "event_type", "value")
 
 
+@query("step_log_replayed", _WINDOWS_SQL)
+def step_log_replayed(spark: SparkSession, folder: str) -> DataFrame:
+    """The log of a run that broke in the middle and logs its last half hour once more when it goes on."""
+    events = table(spark, folder, "events")
+    ends = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    low, high = ends.select("low").scalar(), ends.select("high").scalar()
+    middle = F.timestamp_seconds((F.unix_timestamp(low) + F.unix_timestamp(high)) / 2)
+    source, target = scratch_path(spark, "arrivals"), scratch_path(spark, "windows")
+    for arrived in (F.col("ts") < middle, F.col("ts") >= middle - F.expr("INTERVAL 30 MINUTES")):
+        events.filter(arrived).write.mode("append").parquet(source)
+        stream = steplog.read_log_stream(spark, source, "*.parquet", events.schema)
+        windows = steplog.step_log_stream(stream, "ts", "event_type", "value", target=target, step=["event_id"])
+    return windows
+
+
 @query("step_log_late", _WINDOWS_SQL)
 def step_log_late(spark: SparkSession, folder: str) -> DataFrame:
     """The log arrives in halves, each picked up by a run that goes on where the last one stopped;

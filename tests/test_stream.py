@@ -95,3 +95,44 @@ def test_paths_arrive_once(spark, tmp_path):
         assert set(dict(found)) == set(seen)
     order = dict(found)
     assert order["a"] == order["b"] < order["c"] < order["d"]
+
+
+def test_replayed_steps_count_once(spark, tmp_path):
+    """The numbers of the clean log, whatever is logged again, and whichever run meets it."""
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    steps = [(at(k // 6, (k % 6) * 10), "ab"[k % 2], float(k)) for k in range(40)]
+    for number, part in enumerate((steps[:15], steps[12:25], steps[24:40], steps[36:40])):
+        write(spark, source, f"part-{number}.parquet", part)
+        got = run(spark, source, target=target, step=["ts", "kind"])
+    clean = {}
+    for ts, kind, value in steps:
+        clean.setdefault((f"2024-01-01 {ts.hour:02d}:00:00", kind), []).append(value)
+    assert got == {k: (len(v), round(sum(v) / len(v), 6)) for k, v in clean.items()}
+
+
+def test_files_stay_few(spark, tmp_path):
+    """Twenty runs leave one merged table; what a run reads does not grow."""
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    for number in range(20):
+        write(spark, source, f"part-{number:02d}.parquet", [(at(number, 5), "a", 1.0), (at(number, 50), "a", 3.0)])
+        got = run(spark, source, target=str(target))
+        assert len(got) == number + 1
+        assert len(list(target.glob("merged/batch=*"))) == 1 and not list(target.glob("data/batch=*"))
+    assert set(got.values()) == {(2, 2.0)}
+
+
+def test_a_broken_merge_is_made_up_for(spark, tmp_path):
+    """A table without its mark is no table; batches that were merged but not deleted count once."""
+    import shutil
+
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    write(spark, source, "part-0.parquet", [(at(0), "a", 1.0)])
+    run(spark, source, target=str(target))
+    (table,) = target.glob("merged/batch=*")
+    shutil.copytree(table, target / "data" / table.name)  # not deleted
+    (target / "merged" / "batch=99").mkdir()  # half written
+    write(spark, source, "part-1.parquet", [(at(1), "a", 5.0)])
+    assert run(spark, source, target=str(target)) == {("2024-01-01 00:00:00", "a"): (1, 1.0), ("2024-01-01 01:00:00", "a"): (1, 5.0)}
