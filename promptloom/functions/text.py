@@ -134,17 +134,59 @@ def balance(text, opening: str, closing: str) -> Column:
     return occurrences(text, opening) - occurrences(text, closing)
 
 
+# strings and comments, which hide brackets, then brackets, then whatever lies between
+_PIECES = r'(?s)"(?:[^"\\]|\\.)*"|//[^\n]*|/\*.*?\*/|[(){}\[\]]|[^"/(){}\[\]]+|["/]'
+_OPENINGS, _CLOSINGS = "({[", ")}]"
+
+
+def nesting(text) -> Column:
+    """``struct(balanced, breaks_at)``: whether every bracket is closed by one of its kind, in order.
+
+    ``breaks_at`` is the character (from 1) of the first closing bracket that closes nothing or another kind, else of the
+    first opening one that is never closed, else null.  Brackets in strings and comments do not count; a quote or comment
+    that does not end hides nothing.  A null text has nulls.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    start = F.struct(
+        F.lit(1).alias("at"), F.lit("").alias("kinds"), F.array().cast("array<int>").alias("places"), F.lit(None).cast("int").alias("bad")
+    )
+
+    def step(state: Column, piece: Column) -> Column:
+        opening, closing = F.position(piece, F.lit(_OPENINGS)), F.position(piece, F.lit(_CLOSINGS))
+        one = F.length(piece) == 1
+        opens, closes = one & (opening > 0), one & (closing > 0)
+        kinds, places = state.getField("kinds"), state.getField("places")
+        fits = (F.length(kinds) > 0) & (F.right(kinds, F.lit(1)) == F.substring(F.lit(_OPENINGS), closing, F.lit(1)))
+        shorter = F.size(places) - 1
+        return F.struct(
+            (state.getField("at") + F.length(piece)).alias("at"),
+            F.when(opens, F.concat(kinds, piece)).when(closes & fits, F.left(kinds, shorter)).otherwise(kinds).alias("kinds"),
+            F.when(opens, F.array_append(places, state.getField("at"))).when(closes & fits, F.slice(places, F.lit(1), shorter)).otherwise(places).alias("places"),
+            F.coalesce(state.getField("bad"), F.when(closes & ~fits, state.getField("at"))).alias("bad"),
+        )
+
+    pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
+    return F.aggregate(
+        pieces, start, step,
+        lambda end: F.struct(
+            (end.getField("bad").isNull() & (end.getField("kinds") == "")).alias("balanced"),
+            F.coalesce(end.getField("bad"), F.get(end.getField("places"), F.lit(0))).alias("breaks_at"),
+        ),
+    )
+
+
 # The head block that opens a generated file, and the line that names the file.
 HEADER_BLOCK = "(?s)FoamFile\\s*\\{.*?\\}"
 HEADER_OBJECT = "(?s)FoamFile\\s*\\{[^}]*?object\\s+([^;\\s}]+)\\s*;"
 
 
 def file_checks(text, name) -> Column:
-    """``struct(has_header, object_matches, balanced)`` of a generated file's text."""
+    """``struct(has_header, object_matches, balanced, breaks_at)`` of a generated file's text."""
     text = F.col(text) if isinstance(text, str) else text
     name = F.col(name) if isinstance(name, str) else name
+    nested = nesting(text)
     return F.struct(
         F.regexp_like(text, F.lit(HEADER_BLOCK)).alias("has_header"),
         (F.regexp_extract(text, HEADER_OBJECT, 1) == name).alias("object_matches"),
-        ((balance(text, "{", "}") == 0) & (balance(text, "(", ")") == 0)).alias("balanced"),
+        nested.getField("balanced").alias("balanced"), nested.getField("breaks_at").alias("breaks_at"),
     )

@@ -193,12 +193,26 @@ _HEADED_SQL = """SELECT conv_id, turn, role, text, CASE WHEN turn % 2 = 0 THEN '
     FROM conversations"""
 
 
+# the first place where depth and kind do not fit, from running sums over the brackets outside strings and comments
+_NESTING_SQL = r"""
+    pieces AS (SELECT conv_id, turn, regexp_extract_all(file,
+        '(?s)"(?:[^"\\]|\\.)*"|//[^\n]*|/\*.*?\*/|[(){}\[\]]|[^"/(){}\[\]]+|["/]') AS p FROM files),
+    numbered AS (SELECT conv_id, turn, k, p[k] AS piece FROM (SELECT conv_id, turn, p, unnest(range(1, len(p) + 1)) AS k FROM pieces)),
+    placed AS (SELECT conv_id, turn, piece, sum(length(piece)) OVER (PARTITION BY conv_id, turn ORDER BY k) - length(piece) + 1 AS pos FROM numbered),
+    marks AS (SELECT *, CASE WHEN piece IN ('(', '{', '[') THEN 1 ELSE -1 END AS d, CASE WHEN piece IN ('(', ')') THEN 1 WHEN piece IN ('{', '}') THEN 2
+        ELSE 3 END AS kind FROM placed WHERE piece IN ('(', ')', '{', '}', '[', ']')),
+    deep AS (SELECT *, sum(d) OVER (PARTITION BY conv_id, turn ORDER BY pos) + CASE WHEN d < 0 THEN 1 ELSE 0 END AS level FROM marks),
+    beside AS (SELECT *, lag(kind) OVER (PARTITION BY conv_id, turn, level ORDER BY pos) AS before,
+        lead(pos) OVER (PARTITION BY conv_id, turn, level ORDER BY pos) AS after FROM deep),
+    broken AS (SELECT conv_id, turn, coalesce(min(CASE WHEN d < 0 AND (level < 1 OR before <> kind) THEN pos END),
+        min(CASE WHEN d > 0 AND after IS NULL THEN pos END)) AS breaks_at FROM beside GROUP BY conv_id, turn)"""
+
+
 @query("file_checks", f"""
-    SELECT conv_id, turn, true AS has_header, turn % 2 = 0 AND role = 'user' AS object_matches,
-        length(file) - length(replace(file, '{{', '')) = length(file) - length(replace(file, '}}', ''))
-            AND length(file) - length(replace(file, '(', ''))
-                = length(file) - length(replace(file, ')', '')) AS balanced
-    FROM ({_HEADED_SQL})""")
+    WITH files AS ({_HEADED_SQL}), {_NESTING_SQL}
+    SELECT f.conv_id, f.turn, true AS has_header, f.turn % 2 = 0 AND f.role = 'user' AS object_matches,
+        b.breaks_at IS NULL AS balanced, CAST(b.breaks_at AS INTEGER) AS breaks_at
+    FROM files f LEFT JOIN broken b ON f.conv_id = b.conv_id AND f.turn = b.turn""")
 def file_checks(spark: SparkSession, folder: str) -> DataFrame:
     """Turns as generated files; in every other one the object stands outside the head block."""
     headed = F.concat(F.lit("FoamFile\n{ version 2; object "), "role", F.lit("; }\n"), "text")

@@ -75,11 +75,40 @@ def test_paths(spark):
 
 def test_file_checks(spark):
     good = "FoamFile\n{\n    object      k;\n}\nboundaryField { inlet { value (1 2); } }"
-    assert tuple(one(spark, good, lambda s: X.file_checks(s, F.lit("k")))) == (True, True, True)
+    assert tuple(one(spark, good, lambda s: X.file_checks(s, F.lit("k")))) == (True, True, True, None)
     bad = "FoamFile { object p; } x { ("
-    assert tuple(one(spark, bad, lambda s: X.file_checks(s, F.lit("k")))) == (True, False, False)
+    assert tuple(one(spark, bad, lambda s: X.file_checks(s, F.lit("k")))) == (True, False, False, 26)
     bare = "no head"
-    assert tuple(one(spark, bare, lambda s: X.file_checks(s, F.lit("k")))) == (False, False, True)
+    assert tuple(one(spark, bare, lambda s: X.file_checks(s, F.lit("k")))) == (False, False, True, None)
+
+
+def plain_nesting(text):
+    import re
+
+    at, stack, pairs = 1, [], {")": "(", "}": "{", "]": "["}
+    for piece in re.findall(r'(?s)"(?:[^"\\]|\\.)*"|//[^\n]*|/\*.*?\*/|.', text):
+        if piece in "({[":
+            stack.append((piece, at))
+        elif piece in pairs:
+            if not stack or stack[-1][0] != pairs[piece]:
+                return False, at
+            stack.pop()
+        at += len(piece)
+    return (False, stack[0][1]) if stack else (True, None)
+
+
+def test_nesting(spark):
+    import random
+
+    rng = random.Random(2)
+    parts = ["(", ")", "{", "}", "[", "]", "a", "b c", '"', '"(x\\""', "// } \n", "/* ) */", "/*", "/", "\n", "é"]
+    texts = ["}{ )(", "({)}", "", "([]{})", "((", ")", None, '"never closed (', "x" * 5_000 + "(" * 300 + ")" * 300]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(0, 14))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(4)
+    got = {r.k: (r.n.balanced, r.n.breaks_at) for r in df.select("k", X.nesting("t").alias("n")).collect()}
+    for k, text in enumerate(texts):
+        assert got[k] == ((None, None) if text is None else plain_nesting(text)), text
+    assert got[0] == (False, 1) and got[1] == (False, 3)
 
 
 def test_json_map(spark):
