@@ -105,7 +105,7 @@ def test_nesting(spark):
     texts = ["}{ )(", "({)}", "", "([]{})", "((", ")", None, '"never closed (', "x" * 5_000 + "(" * 300 + ")" * 300]
     texts += ["".join(rng.choices(parts, k=rng.randrange(0, 14))) for _ in range(600)]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(4)
-    got = {r.k: (r.n.balanced, r.n.breaks_at) for r in df.select("k", X.nesting("t").alias("n")).collect()}
+    got = {r.k: (r.balanced, r.breaks_at) for r in df.select("k", X.nesting("t").alias("n")).select("k", "n.*").collect()}
     for k, text in enumerate(texts):
         assert got[k] == ((None, None) if text is None else plain_nesting(text)), text
     assert got[0] == (False, 1) and got[1] == (False, 3)
