@@ -32,9 +32,9 @@ from promptloom.llm.lean import lean
 WINDOW = 1_000_000
 #: Words a Python worker remembers between tries, in two generations: when the younger is full, the
 #: older one goes, with the words not met since.  A forgotten word is encoded again when it comes back.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Pairs of tokens a worker remembers whether BPE leaves them side by side.
-FITS = 400_000
+FITS = 200_000
 #: Longer words are not worth sharing; each is a path of its own.
 LONGEST = 256
 

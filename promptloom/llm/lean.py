@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 #: Seconds between two times that memory is given back.
 PAUSE = 0.5
 #: Bytes of text worked on at once; a longer text is a part of its own.
-PART = 4 << 20
+PART = 2 << 20
 
 Batches = Iterator[pa.RecordBatch]
 
