@@ -14,6 +14,8 @@ from promptloom.functions import templates as T
 from promptloom.functions.text import tokens
 
 PART = 256
+# parts of a conversation that are looked at by one task
+STRETCH = 256
 
 
 def part_of(order: str, size: int = PART) -> Column:
@@ -39,14 +41,29 @@ def gather_messages(
         F.min_by("_role", "_at").alias("_first"), F.max_by("_role", "_at").alias("_last"),
         F.max(query).alias("_query"), F.max("_at").alias("_end"),
     )
-    whole, ordered = Window.partitionBy(key), Window.partitionBy(key).orderBy("part")
-    about = narrow.select(
-        key, "part",
-        F.lag("part").over(ordered).isNull().alias("_opens"),
-        F.lead("part").over(ordered).isNull().alias("_closes"),
+    # two levels, as a conversation may have any number of parts: inside a stretch of them, and from stretch to stretch
+    narrow = narrow.withColumn("_stretch", F.floor(F.col("part") / STRETCH))
+    stretches = narrow.groupBy(key, "_stretch").agg(
+        F.min_by("_first", "part").alias("_head"), F.max_by("_last", "part").alias("_tail"),
+        F.max("_query").alias("_query"), F.max("_end").alias("_end"),
+    )
+    whole, along = Window.partitionBy(key), Window.partitionBy(key).orderBy("_stretch")
+    stretches = stretches.select(
+        key, "_stretch",
+        F.lag("_stretch").over(along).isNull().alias("_foremost"),
+        F.lead("_stretch").over(along).isNull().alias("_hindmost"),
         F.coalesce(F.max("_query").over(whole), F.max("_end").over(whole)).alias("_query_at"),
-        F.lag("_last").over(ordered).alias("_prev"),
-        F.lead("_first").over(ordered).alias("_next"),
+        F.lag("_tail").over(along).alias("_tail_before"),
+        F.lead("_head").over(along).alias("_head_behind"),
+    )
+    ordered = Window.partitionBy(key, "_stretch").orderBy("part")
+    foremost, hindmost = F.lag("part").over(ordered).isNull(), F.lead("part").over(ordered).isNull()
+    about = narrow.join(stretches, [key, "_stretch"]).select(
+        key, "part", "_query_at",
+        (foremost & F.col("_foremost")).alias("_opens"),
+        (hindmost & F.col("_hindmost")).alias("_closes"),
+        F.when(foremost, F.col("_tail_before")).otherwise(F.lag("_last").over(ordered)).alias("_prev"),
+        F.when(hindmost, F.col("_head_behind")).otherwise(F.lead("_first").over(ordered)).alias("_next"),
     )
     gathered = rows.groupBy(key, "part").agg(
         F.array_sort(F.collect_list(F.struct("_at", "_role", "_content"))).alias("_rows")

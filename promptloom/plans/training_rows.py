@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import masks as M
 from promptloom.functions.text import tokens
-from promptloom.functions.templates import DEFAULT_SYSTEM, instruct_answer
-from promptloom.operators import batches, lengths, metrics, order
+from promptloom.functions.templates import DEFAULT_SYSTEM, chatml_piece, instruct_answer
+from promptloom.operators import batches, completion, lengths, metrics, order
 from promptloom.operators import vocabulary as V
 from promptloom.operators.chat_rows import chat_rows, chat_token_counts
 from promptloom.operators.messages import chat_pieces
@@ -286,14 +286,6 @@ def message_ids(spark: SparkSession, folder: str) -> DataFrame:
     return V.encode(rows, ["conv_id", "turn"], toks, vocab, tags=tags, carry=["start"])
 
 
-def response_marks(rows: DataFrame) -> DataFrame:
-    """``conv_id, first_mark, last_mark``: where the response marker stands, null without one."""
-    places = F.transform(tokens("piece"), lambda t, i: F.when(t == RESPONSE_MARK, F.col("start") + i))
-    return rows.groupBy("conv_id").agg(
-        F.min(F.array_min(places)).alias("first_mark"), F.max(F.array_max(places)).alias("last_mark")
-    )
-
-
 def cut_chat_ids(spark: SparkSession, folder: str) -> DataFrame:
     """``conv_id, ids, tags``: conversations cut to ``CHAT_LIMIT`` tokens."""
     rows = pieces(spark, folder)
@@ -351,22 +343,44 @@ def mask_pad(spark: SparkSession, folder: str) -> DataFrame:
     FROM coded JOIN marks USING (conv_id) GROUP BY conv_id, home""")
 def mask_completion(spark: SparkSession, folder: str) -> DataFrame:
     """Labels behind the conversation's last, or first, response marker, message by message."""
-    marked = message_ids(spark, folder).join(response_marks(pieces(spark, folder)), "conv_id")
-
-    def behind(mark: str) -> Column:
-        there = lambda i: F.coalesce(F.col("start") + i > F.col(mark), F.lit(False))
-        return F.transform("ids", lambda x, i: F.when(there(i), x).otherwise(M.IGNORE))
-
-    labels = marked.select(
-        "conv_id", "turn", behind("last_mark").alias("_l"), behind("first_mark").alias("_f")
-    )
-    return labels.select(
+    rows = pieces(spark, folder)
+    vocab = V.build_vocab(rows, tokens("piece"))
+    coded = V.encode(rows, ["conv_id", "turn"], tokens("piece"), vocab, carry=["start"])
+    mark = [r.id for r in vocab.filter(F.col("token") == RESPONSE_MARK).select("id").collect()] or [-1]
+    for occurrence, out in (("last", "_l"), ("first", "_f")):
+        coded = completion.completion_labels(coded, "conv_id", "turn", "start", "ids", mark, out, occurrence)
+    return coded.select(
         "conv_id", "turn", M.supervised("_l").cast("bigint").alias("after_last"),
         M.supervised("_f").cast("bigint").alias("after_first"),
         F.md5(M.joined("_l")).alias("last_md5"), F.md5(M.joined("_f")).alias("first_md5"),
     )
 
 
+_BYTE_MARK = "<|im_end|>\n<|im_start|>assistant\n"
+
+
+@query("mask_completion_bytes", """
+    WITH msgs AS (SELECT conv_id, turn, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS piece FROM conversations),
+    whole AS (SELECT conv_id, string_agg(piece, '' ORDER BY turn) AS t, '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS mark
+              FROM msgs GROUP BY conv_id),
+    cut AS (SELECT conv_id, strlen(t) AS n_bytes, CASE WHEN contains(t, mark) THEN split_part(t, mark, 1) END AS before,
+                   reverse(split_part(reverse(t), reverse(mark), 1)) AS after, strlen(mark) AS m FROM whole)
+    SELECT conv_id, CAST(n_bytes AS BIGINT) AS n_bytes,
+        CAST(CASE WHEN before IS NULL THEN 0 ELSE strlen(after) END AS BIGINT) AS after_last,
+        CAST(CASE WHEN before IS NULL THEN 0 ELSE n_bytes - strlen(before) - m END AS BIGINT) AS after_first
+    FROM cut""")
+def mask_completion_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """A marker of 33 ids that begins in one message's row and ends in the next one's."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", chatml_piece("role", "text").alias("piece"))
+    placed = completion.with_starts(rows, "conv_id", "turn", F.octet_length("piece"))
+    coded = placed.withColumn("ids", V.encode_with(V.utf8_bytes, "piece"))
+    for occurrence in ("last", "first"):
+        coded = completion.completion_labels(coded, "conv_id", "turn", "start", "ids", list(_BYTE_MARK.encode()), occurrence, occurrence)
+    return coded.groupBy("conv_id").agg(
+        F.sum(F.size("ids")).alias("n_bytes"), F.sum(M.supervised("last")).alias("after_last"), F.sum(M.supervised("first")).alias("after_first")
+    )
+
+
 @query("mask_assistant", f"""
     WITH {_CHAT_IDS_SQL}
     SELECT conv_id, home AS turn, CAST(sum(CASE WHEN learnt THEN 1 ELSE 0 END) AS BIGINT) AS supervised,

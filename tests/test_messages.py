@@ -56,6 +56,33 @@ def test_parts_join_to_the_whole(spark, rows, template, size):
     assert text(size) == text(1000)
 
 
+@pytest.mark.parametrize("stretch", [1, 2, 3])
+def test_stretches_join_to_the_whole(spark, rows, monkeypatch, stretch):
+    """The context of each message is that of a window over its whole conversation."""
+    from promptloom.operators import messages
+
+    def contexts():
+        out = gather_messages(rows, "conv_id", "turn").select("conv_id", "part", "context").collect()
+        return sorted((r.conv_id, r.part, tuple(r.context)) for r in out)
+
+    whole = contexts()
+    monkeypatch.setattr(messages, "STRETCH", stretch)
+    assert contexts() == whole and len(whole) == sum(map(len, CONVERSATIONS.values()))
+
+
+def test_a_conversation_with_a_third_of_the_rows(spark):
+    """No task gets more of it than a stretch, and it reads as if it were one."""
+    turns = [(0 if k < 2_000 else k, k, "user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(6_000)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    gathered = gather_messages(df, "conv_id", "turn")
+    hot = sorted((r.part, r.t) for r in gathered.filter("conv_id = 0").select("part", P.chatml("messages", context=F.col("context")).alias("t")).collect())
+    whole = gather_messages(df.filter("conv_id = 0"), "conv_id", "turn", part_size=10_000).select(P.chatml("messages", context=F.col("context")).alias("t"))
+    assert "".join(t for _, t in hot) == whole.first().t
+    plan = gathered._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line and "part#" in line]
+    assert windows and all("_stretch" in line for line in windows)
+
+
 def test_whole_rows_match_the_array_form(spark, rows):
     gathered = gather_messages(rows, "conv_id", "turn", part_size=1000)
     differing = gathered.filter(
