@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions.masks import IGNORE
 from promptloom.operators.order import keyed_rank, skew_join
+from promptloom.session import cut
 
 #: Rows of a conversation that are looked at by one task.
 BLOCK = 1 << 12
@@ -72,18 +73,24 @@ def mark_places(rows: DataFrame, key: str, order: str, start: str, ids: str, mar
 
 
 def completion_labels(
-    rows: DataFrame, key: str, order: str, start: str, ids: str, marker: list[int], out: str = "labels", occurrence: str = "last",
-    block: int = BLOCK,
+    rows: DataFrame, key: str, order: str, start: str, ids: str, marker: list[int], out: dict[str, str] | None = None, block: int = BLOCK
 ) -> DataFrame:
     """``rows`` with labels that skip everything up to and including the conversation's last, or first, marker.
 
-    Without a marker all of the conversation is skipped.
+    ``out`` names the columns to add and which marker each goes by; it is ``{"labels": "last"}`` if left out.  Without a marker
+    all of the conversation is skipped.  ``rows`` are read for the markers and again for the labels, so they are kept first.
     """
-    if occurrence not in ("first", "last"):
+    out = out or {"labels": "last"}
+    if not set(out.values()) <= {"first", "last"}:
         raise ValueError("occurrence is 'first' or 'last'")
+    rows = cut(rows)
     marks = mark_places(rows, key, order, start, ids, marker, block)
-    marks = marks.select(F.struct(key).alias("_key"), (F.col(f"{occurrence}_mark") + len(marker)).alias("_from"))
+    froms = [(F.col(f"{o}_mark") + len(marker)).alias(f"_{o}") for o in ("first", "last")]
     # a conversation may hold a large share of all rows
-    marked = skew_join(rows.withColumn("_key", F.struct(key)), marks, ["_key"], [order], "left")
-    kept = F.transform(ids, lambda x, i: F.when(F.coalesce(F.col(start) + i >= F.col("_from"), F.lit(False)), x).otherwise(IGNORE))
-    return marked.withColumn(out, kept).drop("_key", "_from")
+    marked = skew_join(rows.withColumn("_key", F.struct(key)), marks.select(F.struct(key).alias("_key"), *froms), ["_key"], [order], "left")
+
+    def labels(occurrence: str) -> Column:
+        there = lambda i: F.coalesce(F.col(start) + i >= F.col(f"_{occurrence}"), F.lit(False))
+        return F.transform(ids, lambda x, i: F.when(there(i), x).otherwise(IGNORE))
+
+    return marked.withColumns({name: labels(o) for name, o in out.items()}).drop("_key", "_first", "_last")

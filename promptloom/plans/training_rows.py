@@ -347,9 +347,8 @@ def mask_completion(spark: SparkSession, folder: str) -> DataFrame:
     vocab = V.build_vocab(rows, tokens("piece"))
     coded = V.encode(rows, ["conv_id", "turn"], tokens("piece"), vocab, carry=["start"])
     mark = [r.id for r in vocab.filter(F.col("token") == RESPONSE_MARK).select("id").collect()] or [-1]
-    for occurrence, out in (("last", "_l"), ("first", "_f")):
-        coded = completion.completion_labels(coded, "conv_id", "turn", "start", "ids", mark, out, occurrence)
-    return coded.select(
+    labels = completion.completion_labels(coded, "conv_id", "turn", "start", "ids", mark, {"_l": "last", "_f": "first"})
+    return labels.select(
         "conv_id", "turn", M.supervised("_l").cast("bigint").alias("after_last"),
         M.supervised("_f").cast("bigint").alias("after_first"),
         F.md5(M.joined("_l")).alias("last_md5"), F.md5(M.joined("_f")).alias("first_md5"),
@@ -374,8 +373,8 @@ def mask_completion_bytes(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", chatml_piece("role", "text").alias("piece"))
     placed = completion.with_starts(rows, "conv_id", "turn", F.octet_length("piece"))
     coded = placed.withColumn("ids", V.encode_with(V.utf8_bytes, "piece"))
-    for occurrence in ("last", "first"):
-        coded = completion.completion_labels(coded, "conv_id", "turn", "start", "ids", list(_BYTE_MARK.encode()), occurrence, occurrence)
+    wanted = {"last": "last", "first": "first"}
+    coded = completion.completion_labels(coded, "conv_id", "turn", "start", "ids", list(_BYTE_MARK.encode()), wanted)
     return coded.groupBy("conv_id").agg(
         F.sum(F.size("ids")).alias("n_bytes"), F.sum(M.supervised("last")).alias("after_last"), F.sum(M.supervised("first")).alias("after_first")
     )

@@ -43,7 +43,7 @@ def plain(rows, marker, occurrence):
 def test_labels(spark, marker, occurrence):
     rows = conversations(len(marker))
     df = completion.with_starts(spark.createDataFrame(rows, DDL).repartition(5), "conv", "turn", F.size("ids"), span=16)
-    made = completion.completion_labels(df, "conv", "turn", "start", "ids", marker, occurrence=occurrence, block=3)
+    made = completion.completion_labels(df, "conv", "turn", "start", "ids", marker, {"labels": occurrence}, block=3)
     assert made.columns == ["conv", "turn", "ids", "start", "labels"]
     assert {(r.conv, r.turn): r.labels for r in made.collect()} == plain(rows, marker, occurrence)
 
@@ -54,13 +54,13 @@ def test_as_in_a_single_row(spark):
     rows = [(str(k), 0, [rng.randrange(3) for _ in range(30)]) for k in range(40)]
     df = spark.createDataFrame(rows, DDL).withColumn("start", F.lit(0))
     for occurrence in ("first", "last"):
-        made = completion.completion_labels(df, "conv", "turn", "start", "ids", [1, 2, 0], occurrence=occurrence)
+        made = completion.completion_labels(df, "conv", "turn", "start", "ids", [1, 2, 0], {"labels": occurrence})
         assert made.filter(F.col("labels") != mask_completion("ids", [1, 2, 0], occurrence)).count() == 0
 
 
 def test_wrong_arguments(spark):
     df = spark.createDataFrame([("a", 0, [1])], DDL).withColumn("start", F.lit(0))
     with pytest.raises(ValueError, match="occurrence"):
-        completion.completion_labels(df, "conv", "turn", "start", "ids", [1], occurrence="any")
+        completion.completion_labels(df, "conv", "turn", "start", "ids", [1], {"labels": "any"})
     with pytest.raises(ValueError, match="at least one"):
         completion.completion_labels(df, "conv", "turn", "start", "ids", [])

@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 # a user's function, a codec, token lookup, records that span lines
 PYTHON_QUERIES = {
     "score_stub", "generate_and_compare", "encode_bytes", "encode", "encode_pair", "decode", "truncate_pad", "pad_only",
-    "pad_longest", "collate", "mask_pad", "strip_prefix", "csv_split_scan", "json_array_scan", "json_columns_scan",
+    "pad_longest", "collate", "mask_pad", "mask_assistant", "masked_accuracy_arrays", "training_set", "csv_split_scan", "json_array_scan", "json_columns_scan",
 }
 # hide their plan behind a checkpoint or write; what they return is only a scan
 WRITERS = {
