@@ -51,8 +51,9 @@ DATE = "2000-01-01T00:00:00Z"
 #: whole file as one stream, without its dictionary.  So .zst is added when a file is handed over.
 SUFFIX = ".warc"
 RESPONSE, REVISIT = "response", "revisit"
-#: Payloads that repeat, up to which they are sent to every executor: narrow rows of a digest and an id.
-FEW = 100_000
+#: Payloads that repeat, and bytes of their first pages' urls, up to which they are sent to every executor: rows of a
+#: digest, an id and a url.
+FEW, FEW_BYTES = 100_000, 16 << 20
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
@@ -153,10 +154,10 @@ def _first_pages(rows: DataFrame, least: int) -> DataFrame:
     return found.select("key", F.struct("first.page_id", "first.url").alias("first"), "first.own", "rows")
 
 
-def _with_first(rows: DataFrame, firsts: DataFrame, n: int, repeated: int) -> DataFrame:
+def _with_first(rows: DataFrame, firsts: DataFrame, few: bool, repeated: int) -> DataFrame:
     """Each row with ``first`` and ``own``, null where its payload does not repeat."""
     narrow = firsts.select("key", "first", "own")
-    if n <= FEW:
+    if few:
         return rows.join(F.broadcast(narrow), "key", "left")
     # of the repeated rows more than that share: HOT_SHARE payloads at most
     hot = F.broadcast(firsts.filter(F.col("rows") * HOT_SHARE > repeated).select("key", F.lit(HOT_COPIES).alias("copies")))
@@ -178,12 +179,14 @@ def _once(same: DataFrame) -> DataFrame:
     return kept.unionByName(others, allowMissingColumns=True)
 
 
-def to_records(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", least: int = 0) -> DataFrame:
-    """``page_id, url, digest, size, payload, first_id, first_url, copy``; a revisit has no ``payload``."""
-    rows = _pages(pages, id_column, url_column, payload_column).withColumn("digest", base32_sha1(F.col("payload")))
+def to_records(rows: DataFrame, least: int) -> DataFrame:
+    """``page_id, url, digest, size, payload, first_id, first_url, copy`` of ``_pages``; a revisit has no ``payload``."""
+    rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
     firsts = cut(_first_pages(rows.drop("digest"), least))
-    state = firsts.agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.max("own").alias("own")).first()
-    joined = _with_first(rows.filter(F.col("size") >= least), firsts, state.n, state.rows or 0)
+    urls = F.sum(F.coalesce(F.octet_length("first.url"), F.lit(0)).cast("bigint"))
+    state = firsts.agg(F.count(F.lit(1)).alias("n"), urls.alias("urls"), F.sum("rows").alias("rows"), F.max("own").alias("own")).first()
+    few = state.n <= FEW and (state.urls or 0) <= FEW_BYTES
+    joined = _with_first(rows.filter(F.col("size") >= least), firsts, few, state.rows or 0)
     is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
     joined = joined.withColumn("is_first", F.col("first").isNull() | is_first)
     kept = F.when(F.col("is_first"), F.col("payload")).alias("payload")
@@ -200,13 +203,13 @@ def to_records(pages: DataFrame, *, id_column: str = "page_id", url_column: str
     return made.select(*columns, "payload", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), "copy")
 
 
-def _samples(records: DataFrame) -> list[bytes]:
-    """The beginnings of about SAMPLE_PAGES records, chosen by a hash of their pages."""
-    every = max(1, records.count() // SAMPLE_PAGES)
-    chosen = records.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0)
-    some = chosen.withColumn("payload", F.substring("payload", 1, SAMPLE_BYTES)).limit(2 * SAMPLE_PAGES).collect()
-    payloads = (None if r.payload is None else bytes(r.payload) for r in some)
-    return [record(r.page_id, r.url, r.digest, r.size, p, r.first_id, r.first_url, r.copy) for r, p in zip(some, payloads, strict=True)]
+def _samples(rows: DataFrame) -> list[bytes]:
+    """Records of the beginnings of about SAMPLE_PAGES pages, chosen by a hash."""
+    every = max(1, rows.count() // SAMPLE_PAGES)
+    chosen = rows.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0)
+    some = chosen.select("page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("payload")).limit(2 * SAMPLE_PAGES).collect()
+    digest = lambda p: base64.b32encode(hashlib.sha1(p).digest()).decode()
+    return [record(r.page_id, r.url, digest(r.payload), len(r.payload), bytes(r.payload), None, None) for r in some]
 
 
 def _framing(shipped, date: str):
@@ -246,10 +249,10 @@ def write_archives(
 ) -> None:
     """A record for each page in ``*.warc`` files of a new ``folder``, one file a task."""
     spark = pages.sparkSession
-    records = to_records(pages, id_column=id_column, url_column=url_column, payload_column=payload_column, least=least)
-    dictionary = build_dictionary(_samples(records)).as_bytes()
+    rows = _pages(pages, id_column, url_column, payload_column)
+    dictionary = build_dictionary(_samples(rows)).as_bytes()
     shipped = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
-    frames = records.mapInArrow(_framing(shipped, date), "frame binary")
+    frames = to_records(rows, least).mapInArrow(_framing(shipped, date), "frame binary")
     lines = frames.select(F.col("frame").cast("string").alias("value"))
     lines.write.mode("errorifexists").option("lineSep", ENDING.decode("ascii")).text(folder)
     _rename(spark, folder)
