@@ -1,19 +1,22 @@
 """Licence notices by a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line of the text.  Its features are the distinct word pairs that occur in it.  A
-multinomial logistic regression, kept sparse by an L1 penalty, gives a score for each licence
-family and for ``unknown``; a temperature fitted on held-out examples turns the scores into
-calibrated probabilities.  A family that is likelier than ``PROBABLE`` is confirmed by one of its
-templates: enough of the template's word pairs must occur in the paragraph.
+A paragraph reaches to the next line without a letter or digit, so a notice may be wrapped and stand in comment marks.
+It is looked at in windows of ``WINDOW`` words, each overlapping the next by half.  A window's features are the distinct word
+pairs that occur in it.  A multinomial logistic regression, kept sparse by an L1 penalty, gives a score for each licence
+family and for ``unknown``; a temperature fitted on held-out examples turns the scores into calibrated
+probabilities.  The likeliest family, if it is likelier than ``PROBABLE`` against ``unknown``, is confirmed by one of its
+templates: enough of the template's word pairs must occur in the window, and all of those with a digit, so that a
+version is only reported where it is stated.  The pairs of that family's templates are then taken out and what is left is
+looked at again, ``FAMILIES`` times in all, as a sentence may offer a choice of licences.
 
 The model is fitted on the small table ``examples()`` and has a few hundred weights, which is all
-that is broadcast.  A word pair without a weight adds nothing, so paragraphs without any known pair
+that is broadcast.  A word pair without a weight adds nothing, so windows without any known pair
 score the bias alone, which is ``unknown`` (checked when the model is fitted): they drop out of the
 join without a loss.  The main path is DataFrame functions only.
 
-Defined results: null and empty texts have no notices; one row per document, line and family found,
-rows with equal id and text counting once; null ids are kept as null; an empty table gives an empty
-result; other columns are ignored.
+Defined results: null and empty texts have no notices; one row per document, paragraph and family found, that of the
+most similar window (the first of equals), rows with equal id and text counting once; null ids are kept as null; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm.words import each_place, gram
+from promptloom.session import cut
 
 PROBABLE, SIMILAR = 0.5, 0.75
+#: Words of a window, half of which the next one repeats: longer than twice any template.
+WINDOW = 80
+#: Families looked for in one window.
+FAMILIES = 3
 UNKNOWN = "unknown"
 
 #: Names under which the licence families are known.
@@ -150,17 +158,25 @@ def fit() -> Model:
     return Model(families, tuple(p for p, u in zip(known, used, strict=True) if u), weights[used], bias, temperature, templates)
 
 
-def _paragraph_words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), "[^a-z0-9]+"), "")
+def _paragraph_words(paragraph: Column) -> Column:
+    return F.array_remove(F.split(F.lower(paragraph), "[^a-z0-9]+"), "")
+
+
+def _best_family(windows: DataFrame, scored: list[str], model: Model, probable: float) -> DataFrame:
+    """``family`` and ``probability`` against unknown of windows with summed scores."""
+    top, unknown = F.greatest(*scored), F.col(scored[-1])
+    family = F.coalesce(*[F.when(F.col(s) == top, F.lit(f)) for s, f in zip(scored, model.families, strict=True)])
+    named = windows.withColumns({"family": family, "probability": 1 / (1 + F.exp((unknown - top) / model.temperature))})
+    return named.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= probable))
 
 
 def notices(
     docs: DataFrame, model: Model | None = None, *, id_column: str = "doc_id", text_column: str = "text",
     probable: float = PROBABLE, similar: float = SIMILAR,
 ) -> DataFrame:
-    """Id, line_no (from 0), family, probability, similarity to the nearest template, and the paragraph."""
+    """Id, paragraph_no (from 0), family, probability, similarity to the nearest template, and first_word of the window."""
     spark, model = docs.sparkSession, model or fit()
-    n = len(model.families)
+    n, half = len(model.families), WINDOW // 2
     scored = [f"s{k}" for k in range(n)]
     known = {p: tuple(map(float, w)) for p, w in zip(model.pairs, model.weights, strict=True)}
     for _, template in model.templates:
@@ -169,28 +185,47 @@ def notices(
     fields = "first string, second string, " + ", ".join(f"{s} double" for s in scored)
     table = spark.createDataFrame([(*p, *w) for p, w in sorted(known.items())], fields)
     table = table.select(F.xxhash64("first", "second").alias("h"), F.concat_ws(" ", "first", "second").alias("pair"), *scored)
+    model_pairs = F.broadcast(table)  # some hundred rows
+    joined = [(f, sorted(" ".join(p) for p in t)) for f, t in model.templates]
+    stated = [(f, t, [p for p in t if any(c.isdigit() for c in p)]) for f, t in joined]
+    templates = F.broadcast(spark.createDataFrame(stated, "family string, template array<string>, stated array<string>"))
+    owned = [(f, sorted({p for g, t in joined if g == f for p in t})) for f in NAMES]
+    own_pairs = F.broadcast(spark.createDataFrame(owned, "family string, own array<string>"))
 
-    lines = docs.select(
+    paragraphs = docs.select(
         F.col(id_column).alias("id"), F.xxhash64(F.col(text_column)).alias("text_no"),
-        F.posexplode(F.split(F.col(text_column).cast("string"), "\n")).alias("line_no", "paragraph"),
+        F.posexplode(F.split(F.col(text_column).cast("string"), "\n(?:[^A-Za-z0-9\n]*\n)+")).alias("paragraph_no", "paragraph"),
     )
-    placed = lines.withColumn("words", _paragraph_words(F.col("paragraph"))).withColumn("at", each_place(F.size("words") - 1))
-    model_pairs = F.broadcast(table)  # some hundred rows
+    placed = paragraphs.withColumn("words", _paragraph_words(F.col("paragraph"))).withColumn("at", each_place(F.size("words") - 1))
     hits = placed.withColumn("h", gram("words", "at", 2)).join(F.broadcast(table.select("h")), "h", "left_semi")
-    hits = hits.select("id", "text_no", "line_no", "paragraph", "h").distinct().join(model_pairs, "h")
-    summed = hits.groupBy("id", "text_no", "line_no", "paragraph").agg(
-        F.collect_set("pair").alias("pairs"), *[(F.sum(s) + F.lit(float(b))).alias(s) for s, b in zip(scored, model.bias, strict=True)]
-    )
-    top = F.greatest(*scored)
-    mass = sum((F.exp((F.col(s) - F.col("top")) / model.temperature) for s in scored), F.lit(0.0))
-    family = F.coalesce(*[F.when(F.col(s) == F.col("top"), F.lit(f)) for s, f in zip(scored, model.families, strict=True)])
-    named = summed.withColumn("top", top).withColumn("family", family).withColumn("probability", 1 / mass)
-    named = named.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= probable))
-    templates = spark.createDataFrame(
-        [(f, sorted(" ".join(p) for p in t)) for f, t in model.templates], "family string, template array<string>"
+    # a pair lies in the window that begins in its own half, and in the one before unless it leaves that
+    own_half = F.floor(F.col("at") / half)
+    also = F.when((own_half > 0) & (F.col("at") + 1 < (own_half + 1) * half), own_half - 1)
+    key = ["id", "text_no", "paragraph_no", "window"]
+    window = F.explode(F.array_compact(F.array(own_half, also))).alias("window")
+    # few beside the text, and read twice a round
+    left = cut(hits.select("id", "text_no", "paragraph_no", "h", window).distinct().join(model_pairs, "h").drop("h"))
+
+    found = None
+    for _ in range(FAMILIES):
+        summed = left.groupBy(*key).agg(
+            F.collect_set("pair").alias("pairs"), *[(F.sum(s) + F.lit(float(b))).alias(s) for s, b in zip(scored, model.bias, strict=True)]
+        )
+        named = _best_family(summed, scored, model, probable).select(*key, "pairs", "family", "probability")
+        likely = named.join(templates, "family").filter(F.size(F.array_except("stated", "pairs")) == 0)  # a few rows a family
+        share = F.size(F.array_intersect("pairs", "template")) / F.size("template")
+        part = likely.groupBy(*key, "family", "probability").agg(F.max(share).alias("similarity"))
+        part = part.filter(F.col("similarity") >= similar)
+        found = part if found is None else found.unionByName(part)
+        # what is left without the pairs of the family looked at, confirmed or not
+        taken = named.join(own_pairs, "family").select(*[F.col(c).alias(f"_{c}") for c in key], "own")
+        same = F.lit(True)
+        for c in key:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        left = cut(left.join(taken, same).filter(~F.array_contains("own", F.col("pair"))).select(*key, "pair", *scored))
+    first_word = (F.col("window") * half).cast("int").alias("first_word")
+    best = F.min(F.struct((-F.col("similarity")).alias("d"), first_word, "probability")).alias("best")
+    best = found.groupBy("id", "text_no", "paragraph_no", "family").agg(best)
+    return best.select(
+        F.col("id").alias(id_column), "paragraph_no", "family", "best.probability", (-F.col("best.d")).alias("similarity"), "best.first_word"
     )
-    share = F.size(F.array_intersect("pairs", "template")) / F.size("template")
-    found = named.join(F.broadcast(templates), "family")  # a few rows a family
-    found = found.groupBy("id", "text_no", "line_no", "family", "probability", "paragraph").agg(F.max(share).alias("similarity"))
-    named = found.filter(F.col("similarity") >= similar)
-    return named.select(F.col("id").alias(id_column), "line_no", "family", "probability", "similarity", "paragraph")

@@ -22,7 +22,7 @@ COLUMNS = {
     2: ["query_id", "rank", "vec_id", "score"],
     3: ["doc_id", "n_shingles", "component_id", "kept"],
     4: ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
-    5: ["doc_id", "line_no", "family"],
+    5: ["doc_id", "paragraph_no", "family"],
     6: ["doc_id", "item_id", "first_word", "n_words", "similarity"],
     7: ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     8: ["doc_id", "held_out", "score", "predicted"],
