@@ -32,9 +32,9 @@ from promptloom.llm.lean import lean
 WINDOW = 1_000_000
 #: Words a Python worker remembers between tries, in two generations: when the younger is full, the
 #: older one goes, with the words not met since.  A forgotten word is encoded again when it comes back.
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 #: Pairs of tokens a worker remembers whether BPE leaves them side by side.
-FITS = 200_000
+FITS = 400_000
 #: Longer words are not worth sharing; each is a path of its own.
 LONGEST = 256
 
@@ -52,8 +52,8 @@ _LATIN = (
 class Trie:
     """Encodes and decodes with one vocabulary."""
 
-    def __init__(self, vocabulary: byte_bpe.Vocabulary):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: byte_bpe.Vocabulary, most_words: int = REMEMBERED, most_fits: int = FITS):
+        self.vocabulary, self.most_words, self.most_fits = vocabulary, most_words, most_fits
         self.ids = vocabulary.ids
         self.merges = vocabulary.merges
         self.fits: dict[int, bool] = {}
@@ -104,7 +104,7 @@ class Trie:
                     made = merges.get(x << 32 | y)
                     if made is not None and made < x_ended and made <= y_ended:
                         fits = False
-            if len(self.fits) > FITS:
+            if len(self.fits) > self.most_fits:
                 self.fits.clear()
             self.fits[key] = fits
         return fits
@@ -179,7 +179,7 @@ class Trie:
         yield cut.findall(segment[begin:] if begin else segment)
 
     def remember(self, words: set[str]) -> None:
-        if len(self.remembered) > REMEMBERED:
+        if len(self.remembered) > self.most_words:
             self.older, self.remembered = self.remembered, {}
         missing = words.difference(self.remembered)
         older = self.older
@@ -249,8 +249,8 @@ def _packed(number: int) -> bytes:
 
 
 @lru_cache(maxsize=2)
-def trie(content: bytes) -> Trie:
-    return Trie(byte_bpe.parse(content))
+def trie(content: bytes, most_words: int = REMEMBERED, most_fits: int = FITS) -> Trie:
+    return Trie(byte_bpe.parse(content), most_words, most_fits)
 
 
 def _encoding(spec):
@@ -282,9 +282,9 @@ def _both(spec):
     return run
 
 
-def _checked(spec):
+def _checked(spec, most_words: int = REMEMBERED, most_fits: int = FITS):
     def run(batches):
-        coder = trie(spec.value)
+        coder = trie(spec.value, most_words, most_fits)
         for batch in batches:
             ids, texts = batch.columns
             texts = texts.to_pylist()
@@ -335,7 +335,13 @@ def round_trip(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", t
     return _run(docs, _both, vocabulary, id_column, text_column, "string", fields)
 
 
-def encode_checked(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Id, number of tokens, ``packed`` ids, and whether they decode to the text."""
+def encode_checked(
+    docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id", text_column: str = "text", most_words: int = REMEMBERED, most_fits: int = FITS
+) -> DataFrame:
+    """Id, number of tokens, ``packed`` ids, and whether they decode to the text.
+
+    ``most_words`` and ``most_fits`` bound what a worker remembers, where it is shared with other stages; the ids stay the same.
+    """
     fields = [StructField("n_tokens", LongType()), StructField("packed", BinaryType()), StructField("round_trip", BooleanType())]
-    return _run(docs, _checked, vocabulary, id_column, text_column, "string", fields)
+    make = lambda spec: _checked(spec, most_words, most_fits)
+    return _run(docs, make, vocabulary, id_column, text_column, "string", fields)
