@@ -39,7 +39,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_trie.encode_checked(docs, public_tokenizers.path(VOCABULARY))
+    # the workers are those of four other stages, so they remember less
+    return bpe_trie.encode_checked(docs, public_tokenizers.path(VOCABULARY), most_words=100_000, most_fits=200_000)
 
 
 STAGES = [
