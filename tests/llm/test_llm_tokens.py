@@ -59,8 +59,7 @@ def test_windows_do_not_change_the_encoding(monkeypatch):
     given = [t * 20 for t in texts()[:200]] + ["y" * 500, None]
     whole = list(bpe_trie.Trie(byte_bpe.parse(content)).encode_all(given))
     monkeypatch.setattr(bpe_trie, "WINDOW", 50)
-    monkeypatch.setattr(bpe_trie, "REMEMBERED", 10)
-    assert list(bpe_trie.Trie(byte_bpe.parse(content)).encode_all(given)) == whole
+    assert list(bpe_trie.Trie(byte_bpe.parse(content), most_words=10, most_fits=30).encode_all(given)) == whole
 
 
 @pytest.mark.parametrize(("chunk", "overlap"), [(64, 16), (200, 40), (32_768, 1_024)])
