@@ -326,10 +326,7 @@ _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text,
 def attach_similar_text(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
     known = table(spark, folder, "labels").select("doc_id")
-    return similar.attach_similar_text(
-        docs.join(known, "doc_id", "left_semi"), docs.join(known, "doc_id", "left_anti"), ["lang", "source"], "text", "doc_id",
-        at_least=0.1,
-    ).drop("text")
+    return similar.attach_similar_within(docs, known, ["lang", "source"], "text", "doc_id", at_least=0.1).drop("text")
 
 
 @query("leakage", f"""
