@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from promptloom.operators.order import as_list, global_rank
+from promptloom.operators.parts import in_parts
 from promptloom.session import cut
 
 SPECIALS = ["<pad>", "<unk>", "<eos>"]
@@ -55,10 +56,10 @@ def _is_head() -> Column:
     return (F.col("id") < HEAD) & (F.length("token") <= HEAD_LENGTH)
 
 
-def _head(vocab: DataFrame) -> list[tuple[int, str]]:
-    """The head's ids and tokens without the special ones: HEAD rows at most."""
-    rows = vocab.filter(_is_head() & (F.col("id") >= len(SPECIALS))).select("id", "token")
-    return [(r.id, r.token) for r in rows.collect()]
+def _head(vocab: DataFrame) -> tuple[pa.Array, pa.Array]:
+    """The head's ids and tokens without the special ones: HEAD rows at most, as arrays, which workers hold in a few MB."""
+    rows = vocab.filter(_is_head() & (F.col("id") >= len(SPECIALS))).select("id", "token").toArrow().combine_chunks()
+    return tuple(pa.concat_arrays([pa.array([], kind), *rows.column(c).cast(kind).chunks]) for c, kind in (("id", pa.int32()), ("token", pa.string())))
 
 
 def _tail(vocab: DataFrame) -> DataFrame:
@@ -80,6 +81,51 @@ def _places(lengths: np.ndarray, missing: np.ndarray, values: list) -> tuple[np.
     return np.asarray(at, np.int32), [list(d) for d in distinct]
 
 
+def _offsets(lengths: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], head_ids: pa.Array, known: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Arrays of tokens, the last column, as ``_ids``, and as ``_tail`` what the head lacks."""
+    ids = head_ids.to_numpy()
+    for batch in in_parts(batches):
+        lists = batch.column(batch.num_columns - 1)
+        values, lengths = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+        at = pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy()
+        coded = np.where(at >= 0, ids[at] if ids.size else 0, 0).astype(np.int32)
+        missing = np.flatnonzero(at < 0)
+        place, tail = _places(lengths, missing, values.take(pa.array(missing)).to_pylist())
+        coded[missing] = -1 - place
+        columns = [*batch.columns[:-1], pa.ListArray.from_arrays(_offsets(lengths), pa.array(coded)), pa.array(tail, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_ids", "_tail"])
+
+
+def _worded(batches: Iterator[pa.RecordBatch], head_ids: pa.Array, known: pa.Array, skip_special: bool) -> Iterator[pa.RecordBatch]:
+    """Arrays of ids, the last column, as ``_toks``, with places ``_at`` in ``_tail`` of those the head lacks."""
+    numbers = pa.concat_arrays([pa.array(range(len(SPECIALS)), pa.int32()), head_ids])
+    names = pa.concat_arrays([pa.array(SPECIALS, pa.string()), known])
+    for batch in in_parts(batches):
+        lists = batch.column(batch.num_columns - 1)
+        values, lengths = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+        if skip_special:
+            special = pc.fill_null(pc.is_in(values, value_set=pa.array(range(len(SPECIALS)), pa.int32())), False)
+            kept = ~special.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(lengths.size), lengths)[kept]
+            values, lengths = values.filter(pa.array(kept)), np.bincount(row, minlength=lengths.size)
+        values = pc.fill_null(values, -1)
+        at = pc.index_in(values, value_set=numbers)
+        missing = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        place, tail = _places(lengths, missing, values.take(pa.array(missing)).to_pylist())
+        where = np.full(len(values), -1, np.int32)
+        where[missing] = place
+        offsets = _offsets(lengths)
+        columns = [
+            *batch.columns[:-1], pa.ListArray.from_arrays(offsets, names.take(at)),
+            pa.ListArray.from_arrays(offsets, pa.array(where)), pa.array(tail, pa.list_(pa.int32())),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_toks", "_at", "_tail"])
+
+
 def _found(coded: DataFrame, key: list[str], tail: DataFrame, by: str, want: str, unknown) -> DataFrame:
     """``key, _found``: what the tail of the vocabulary has for each row's distinct entries, in order.
 
@@ -118,23 +164,10 @@ def encode(
     key, carry = as_list(key), carry or []
     extra = [F.col(c) for c in carry] + ([tags.alias("tags")] if tags is not None else [])
     rows = _keyed(df, key, *extra, F.coalesce(toks, F.array().cast("array<string>")).alias("_in"))
-    head = _head(vocab)
-    shipped = df.sparkSession.sparkContext.broadcast(([i for i, _ in head], [t for _, t in head]))
+    shipped = df.sparkSession.sparkContext.broadcast(_head(vocab))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.asarray(shipped.value[0], np.int32)
-        known = pa.array(shipped.value[1], pa.string())
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            values, lengths = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
-            at = pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy()
-            coded = np.where(at >= 0, ids[at] if ids.size else 0, 0).astype(np.int32)
-            missing = np.flatnonzero(at < 0)
-            place, tail = _places(lengths, missing, values.take(pa.array(missing)).to_pylist())
-            coded[missing] = -1 - place
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            columns = [*batch.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(coded)), pa.array(tail, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_ids", "_tail"])
+        return _numbered(batches, *shipped.value)
 
     numbers, texts = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
     coded = rows.mapInArrow(look_up, _schema(rows, T.StructField("_ids", numbers), T.StructField("_tail", texts)))
@@ -160,29 +193,7 @@ def decode(
     shipped = df.sparkSession.sparkContext.broadcast(_head(vocab))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dict(enumerate(SPECIALS)) | dict(shipped.value)
-        names = pa.array(known.values(), pa.string())
-        numbers = pa.array(known.keys(), pa.int32())
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            values, lengths = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
-            if skip_special:
-                special = pc.fill_null(pc.is_in(values, value_set=pa.array(range(len(SPECIALS)), pa.int32())), False)
-                kept = ~special.to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(lengths.size), lengths)[kept]
-                values, lengths = values.filter(pa.array(kept)), np.bincount(row, minlength=lengths.size)
-            values = pc.fill_null(values, -1)
-            at = pc.index_in(values, value_set=numbers)
-            missing = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
-            place, tail = _places(lengths, missing, values.take(pa.array(missing)).to_pylist())
-            where = np.full(len(values), -1, np.int32)
-            where[missing] = place
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            columns = [
-                *batch.columns[:-1], pa.ListArray.from_arrays(offsets, names.take(at)),
-                pa.ListArray.from_arrays(offsets, pa.array(where)), pa.array(tail, pa.list_(pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "_toks", "_at", "_tail"])
+        return _worded(batches, *shipped.value, skip_special)
 
     numbers, texts = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
     read = rows.mapInArrow(

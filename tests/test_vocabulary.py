@@ -2,11 +2,12 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from promptloom.functions.text import tokens
-from promptloom.operators import vocabulary as V
+from promptloom.operators import parts, vocabulary as V
 
 TEXTS = {1: "b a b", 2: "", 3: "c a\tb <eos> d", 4: "z" * 300 + " a", 5: "  "}
 
@@ -86,3 +87,22 @@ def test_ids_outside_the_vocabulary_read_as_unknown(spark, docs, monkeypatch, he
 def test_plug_in_codec(spark, docs):
     coded = docs.select("id", V.encode_with(V.utf8_bytes, F.col("text")).alias("ids")).collect()
     assert {r.id: r.ids for r in coded} == {k: list(t.encode()) for k, t in TEXTS.items()}
+
+
+def test_workers_make_parts_of_bounded_size():
+    """A batch of many long rows comes back in parts, with the same rows and what the head lacks."""
+    rows = [[f"w{(k * 7 + j) % 50}" for j in range(k % 400)] for k in range(4000)]
+    batch = pa.record_batch({"id": range(4000), "_in": pa.array(rows, pa.list_(pa.string()))})
+    head = pa.array(range(3, 33), pa.int32()), pa.array([f"w{k}" for k in range(30)])
+    made = list(V._numbered(iter([batch]), *head))
+    assert len(made) > 2 and max(len(b.column("_ids").flatten()) for b in made) <= parts.ENTRIES
+    got = [(i, [t[-1 - x] if x < 0 else f"w{x - 3}" for x in ids]) for b in made for i, ids, t in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+    assert got == list(enumerate(rows))
+    numbers = pa.record_batch({"id": range(4000), "_in": pa.array([[int(w[1:]) + 3 for w in r] for r in rows], pa.list_(pa.int32()))})
+    made = list(V._worded(iter([numbers]), *head, True))
+    assert len(made) > 2 and max(len(b.column("_toks").flatten()) for b in made) <= parts.ENTRIES
+    got = [
+        (i, [t or f"w{tail[k] - 3}" for t, k in zip(toks, at, strict=True)])
+        for b in made for i, toks, at, tail in zip(*[c.to_pylist() for c in b.columns], strict=True)
+    ]
+    assert got == list(enumerate(rows))
