@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from promptloom.operators.order import as_list, global_rank
-from promptloom.operators.parts import in_parts
+from promptloom.operators.parts import ENTRIES, in_parts, spans
 from promptloom.session import cut
 
 SPECIALS = ["<pad>", "<unk>", "<eos>"]
@@ -208,7 +208,7 @@ def decode(
 
 
 def encode_with(make: Callable[[], Callable[[str], Iterable[int]]], text) -> Column:
-    """Ids from any other codec, in Arrow batches.
+    """Ids from any other codec, in Arrow batches, of a bounded part of the texts at a time.
 
     ``make`` is called once per task on the executor, so a codec need not be serialisable and may be
     costly to load.
@@ -216,13 +216,18 @@ def encode_with(make: Callable[[], Callable[[str], Iterable[int]]], text) -> Col
 
     @pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = make()
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else list(codec(t)))
+        return _coded(batches, make())
 
     return run(text)
 
 
+def _coded(batches: Iterator[pd.Series], codec: Callable[[str], Iterable[int]]) -> Iterator[pd.Series]:
+    for texts in batches:
+        sizes = texts.map(lambda t: 0 if t is None else len(t)).to_numpy(np.int64)
+        for first, last in spans(sizes, ENTRIES) if len(texts) else [(0, 0)]:
+            yield texts.iloc[first:last].map(lambda t: None if t is None else np.fromiter(codec(t), np.int32))
+
+
 def utf8_bytes() -> Callable[[str], Iterable[int]]:
     """A codec for tests: the UTF-8 bytes of the text."""
     return lambda text: text.encode("utf-8")

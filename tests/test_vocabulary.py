@@ -2,12 +2,13 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from promptloom.functions.text import tokens
-from promptloom.operators import parts, vocabulary as V
+from promptloom.operators import vocabulary as V
 
 TEXTS = {1: "b a b", 2: "", 3: "c a\tb <eos> d", 4: "z" * 300 + " a", 5: "  "}
 
@@ -95,14 +96,21 @@ def test_workers_make_parts_of_bounded_size():
     batch = pa.record_batch({"id": range(4000), "_in": pa.array(rows, pa.list_(pa.string()))})
     head = pa.array(range(3, 33), pa.int32()), pa.array([f"w{k}" for k in range(30)])
     made = list(V._numbered(iter([batch]), *head))
-    assert len(made) > 2 and max(len(b.column("_ids").flatten()) for b in made) <= parts.ENTRIES
+    assert len(made) > 2 and max(len(b.column("_ids").flatten()) for b in made) <= V.ENTRIES
     got = [(i, [t[-1 - x] if x < 0 else f"w{x - 3}" for x in ids]) for b in made for i, ids, t in zip(*[c.to_pylist() for c in b.columns], strict=True)]
     assert got == list(enumerate(rows))
     numbers = pa.record_batch({"id": range(4000), "_in": pa.array([[int(w[1:]) + 3 for w in r] for r in rows], pa.list_(pa.int32()))})
     made = list(V._worded(iter([numbers]), *head, True))
-    assert len(made) > 2 and max(len(b.column("_toks").flatten()) for b in made) <= parts.ENTRIES
+    assert len(made) > 2 and max(len(b.column("_toks").flatten()) for b in made) <= V.ENTRIES
     got = [
         (i, [t or f"w{tail[k] - 3}" for t, k in zip(toks, at, strict=True)])
         for b in made for i, toks, at, tail in zip(*[c.to_pylist() for c in b.columns], strict=True)
     ]
     assert got == list(enumerate(rows))
+
+
+def test_a_codec_makes_parts_of_bounded_size():
+    texts = ["ab" * (k % 300) if k % 5 else None for k in range(3000)] + ["c" * (V.ENTRIES + 5), ""]
+    made = list(V._coded(iter([pd.Series(texts, dtype=object), pd.Series([], dtype=object)]), V.utf8_bytes()))
+    assert len(made) > 3 and sorted(sum(0 if x is None else x.size for x in m) for m in made)[-2] <= V.ENTRIES
+    assert [None if x is None else bytes(x.tolist()) for m in made for x in m] == [None if t is None else t.encode() for t in texts]
