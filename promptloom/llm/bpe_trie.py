@@ -4,7 +4,8 @@ Every prefix of a word has one BPE encoding, and cutting off its last token leav
 a shorter prefix.  So one number per prefix, its last token, holds the encodings of all prefixes.
 The distinct words of a batch go into a trie, and a depth-first walk hands the last tokens of the
 path down to each node: what many words share is encoded once.  The last token of a prefix is the
-one token ending there that BPE would not merge into what stands before it.
+one token ending there that BPE would not merge into what stands before it.  Which tokens end there
+is known from the longest end of the prefix that begins a token, also handed down the path.
 
 Defined results: null and empty texts have no ids and decode to the empty text; ids of rows pass
 through as they are, null and repeated ones too, one row per input row; other columns are ignored;
@@ -33,12 +34,14 @@ WINDOW = 1_000_000
 #: Words a Python worker remembers between tries, in two generations: when the younger is full, the
 #: older one goes, with the words not met since.  A forgotten word is encoded again when it comes back.
 REMEMBERED = 150_000
-#: Pairs of tokens a worker remembers whether BPE leaves them side by side.
+#: Pairs of tokens a worker remembers whether BPE leaves them side by side, and steps of a letter to the tokens that end there.
 FITS = 400_000
 #: Longer words are not worth sharing; each is a path of its own.
 LONGEST = 256
 
-_END = -1
+#: The beginning of a token: its number (the low byte is free), its letters, and the tokens that end there, longest first.
+Place = tuple[int, bytes, tuple[int, ...]]
+_TOP: Place = (0, b"", ())
 _NEVER = 1 << 62
 #: The same pieces for text without letters above Latin-1, by the faster engine.  White space is named, as that
 #: engine's \s takes in 0x1C to 0x1F.
@@ -61,10 +64,9 @@ class Trie:
         self.older: dict[str, bytes] = {}
         self.latin = re.compile(_LATIN)
         self.above_latin = re.compile("[^\x00-\xff]")
-        self.longest: dict[bytes, int] = {}
-        for token in self.ids:
-            end = token[-2:]
-            self.longest[end] = max(self.longest.get(end, 0), len(token))
+        self.heads: dict[bytes, Place | None] = {token[:n]: None for token in self.ids for n in range(1, len(token) + 1)}
+        self.places = 1
+        self.steps: dict[int, Place] = {}
         self.right: dict[int, list[tuple[int, int]]] = {}
         self.left: dict[int, list[tuple[int, int]]] = {}
         top = max(vocabulary.tokens) + 1
@@ -72,6 +74,8 @@ class Trie:
         for n, token in vocabulary.tokens.items():
             sizes[n] = len(token)
         self.sizes = sizes
+        self.lengths = sizes.tolist()
+        self.packed = [_packed(n) for n in range(top)]
         self.starts = np.cumsum(sizes) - sizes
         self.letters = np.frombuffer(b"".join(vocabulary.tokens.get(n, b"") for n in range(top)), np.uint8)
 
@@ -109,60 +113,87 @@ class Trie:
             self.fits[key] = fits
         return fits
 
-    def last_token(self, prefix: bytes, path: list[int], begin: int = 0) -> int:
-        """The last token of ``prefix``, given those of all shorter prefixes."""
-        size, get = len(prefix), self.ids.get
-        for length in range(min(size, self.longest.get(prefix[-2:], 1)), 0, -1):
-            token = get(prefix[-length:])
-            if token is not None and (length == size or self.side_by_side(path[begin + size - length], token)):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
-    def chain(self, path: list[int], size: int) -> bytes:
-        """The ids of the first ``size`` bytes, found from the last token back."""
-        out, sizes = [], self.sizes
+    def step(self, head: bytes) -> Place:
+        """The longest end of ``head`` that begins a token, and the tokens that end there."""
+        while head not in self.heads:
+            head = head[1:]
+            if not head:
+                raise ValueError("the vocabulary lacks a byte")
+        place = self.heads[head]
+        if place is None:
+            ends = (head[n:] for n in range(len(head)))
+            place = self.heads[head] = (self.places << 8, head, tuple(self.ids[e] for e in ends if e in self.ids))
+            self.places += 1
+        return place
+
+    def walk(self, word: bytes, end: int, path: list[int], places: list[Place]) -> None:
+        """The last tokens of the prefixes of ``word`` up to ``end`` that ``path`` lacks.
+
+        Only the tokens that end at a letter are tried there, longest first.
+        """
+        steps, fits, lengths, side_by_side = self.steps, self.fits, self.lengths, self.side_by_side
+        place = places[-1]
+        for size in range(len(path), end + 1):
+            key = place[0] | word[size - 1]
+            below = steps.get(key)
+            if below is None:
+                if len(steps) > self.most_fits:
+                    steps.clear()
+                below = steps[key] = self.step(place[1] + word[size - 1 : size])
+            place = below
+            for token in place[2]:
+                length = lengths[token]
+                if length == size:
+                    break
+                left = path[size - length]
+                fit = fits.get(left << 32 | token)
+                if fit or fit is None and side_by_side(left, token):
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            path.append(token)
+            places.append(place)
+
+    def chain(self, path: list[int]) -> list[int]:
+        """The ids of the whole path, found from the last token back."""
+        out, size, lengths = [], len(path) - 1, self.lengths
         while size:
-            out.append(path[size])
-            size -= int(sizes[path[size]])
-        return np.asarray(out[::-1], dtype="<u4").tobytes()
+            token = path[size]
+            out.append(token)
+            size -= lengths[token]
+        out.reverse()
+        return out
 
     def alone(self, word: bytes) -> bytes:
         """A long word: the walk down a single path."""
-        path, fits, get = [0], self.side_by_side, self.ids.get
-        for size in range(1, len(word) + 1):
-            for length in range(min(size, self.longest.get(word[max(0, size - 2) : size], 1)), 0, -1):
-                token = get(word[size - length : size])
-                if token is not None and (length == size or fits(path[size - length], token)):
-                    path.append(token)
-                    break
-        return self.chain(path, len(word))
+        path, places = [0], [_TOP]
+        for begin in range(0, len(word), LONGEST):
+            self.walk(word, min(begin + LONGEST, len(word)), path, places)
+            del places[:-1]
+        return np.asarray(self.chain(path), dtype="<u4").tobytes()
 
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of distinct words, packed as 32-bit numbers."""
+        """The ids of distinct words, packed as 32-bit numbers.
+
+        In sorted order the words are met as a depth-first walk through their trie meets them: the prefix that a word
+        shares with the one before it is still on the path.
+        """
         found: dict[str, bytes] = {}
-        root: dict = {}
-        for word in words:
+        path, places, before, packed = [0], [_TOP], b"", self.packed
+        for word in sorted(words):
             raw = word.encode()
             if len(raw) > LONGEST:
                 found[word] = self.alone(raw)
                 continue
-            node = root
-            for byte in raw:
-                below = node.get(byte)
-                if below is None:
-                    below = node[byte] = {}
-                node = below
-            node[_END] = word
-        path = [0] * (LONGEST + 1)
-        todo = [(node, bytes((byte,))) for byte, node in root.items()]
-        while todo:
-            node, prefix = todo.pop()
-            path[len(prefix)] = self.last_token(prefix, path)
-            for byte, below in node.items():
-                if byte == _END:
-                    found[below] = self.chain(path, len(prefix))
-                else:
-                    todo.append((below, prefix + bytes((byte,))))
+            shared = 0
+            for one, other in zip(raw, before):  # noqa: B905
+                if one != other:
+                    break
+                shared += 1
+            del path[shared + 1 :], places[shared + 1 :]
+            self.walk(raw, len(raw), path, places)
+            found[word] = b"".join([packed[token] for token in self.chain(path)])
+            before = raw
         return found
 
     def pieces(self, segment: str) -> Iterator[list[str]]:

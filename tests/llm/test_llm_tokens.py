@@ -54,6 +54,32 @@ def test_every_token_is_its_own_encoding():
     assert all(coder.alone(t) == np.asarray([n], "<u4").tobytes() for t, n in ids.items())
 
 
+def test_only_tokens_that_end_at_a_letter_are_tried(library):
+    class Counted(dict):
+        lookups = 0
+
+        def get(self, *key):
+            Counted.lookups += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Counted.lookups += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            Counted.lookups += 1
+            return super().__contains__(key)
+
+    coder = bpe_trie.Trie(byte_bpe.parse(byte_bpe.content(PATH)))
+    words = {a + b + c for a in (" inter", "un", " é", "x" * 300) for b in ("", "nation", "token") for c in ("ing", "als", "ization")}
+    coder.encode_words(words)
+    coder.ids = Counted(coder.ids)
+    found = coder.encode_words(words)
+    prefixes = {w.encode()[:n] for w in words for n in range(1, len(w.encode()) + 1)}
+    assert Counted.lookups <= len(prefixes)
+    assert all(np.frombuffer(found[w], "<u4").tolist() == library.encode(w, add_special_tokens=False).ids for w in words)
+
+
 def test_windows_do_not_change_the_encoding(monkeypatch):
     content = byte_bpe.content(PATH)
     given = [t * 20 for t in texts()[:200]] + ["y" * 500, None]
