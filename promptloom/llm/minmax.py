@@ -8,9 +8,9 @@ once in 20 million.
 Linked documents are found in three steps, none of which makes pairs inside a group:
 
 1. Documents with the same set count as one node (its digest), so exact copies cost one row each.
-2. In each bucket, nodes whose signatures agree to ``CUT`` at least are chained to one another,
-   with no more chains than nodes.  For a linked pair the agreement falls below ``CUT`` with a
-   chance of about one in ten million.  The components of the chains are small clusters.
+2. In each bucket, nodes whose signatures agree to ``CUT`` at least are chained, and each chain's nodes
+   are tied to its smallest one, with no more ties than nodes.  For a linked pair the agreement falls
+   below ``CUT`` with a chance of about one in ten million.  The components of the ties are small clusters.
 3. Each cluster gets its members' whole texts once, counts all intersections of their full sets as
    a matrix product, and links those of ``100 * intersection >= 80 * union``.
 
@@ -120,6 +120,14 @@ def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
+def _star(group: list, a: list, b: list) -> None:
+    """Adds an edge from each other node of a group to its smallest one, as `components` leaves them, which saves it rounds."""
+    least = min(group)
+    others = [node for node in group if node != least]
+    a.extend(others)
+    b.extend([least] * len(others))
+
+
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chains the nodes of each bucket whose signatures agree well enough."""
     for table in whole_groups(batches, "cell"):
@@ -133,19 +141,21 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for begin, size in zip(spans[:-1], sizes, strict=True):
             rest = np.flatnonzero(~near[begin : begin + size]) + begin
             todo = [int(i) for i in np.flatnonzero(near[begin : begin + size])[1:] + begin]
-            a.extend(nodes[i] for i in todo)
-            b.extend([nodes[begin]] * len(todo))
+            group = [int(begin), *todo]
             while rest.size:
                 if not todo:
+                    _star([nodes[i] for i in group], a, b)
                     todo, rest = [int(rest[0])], rest[1:]
+                    group = [todo[0]]
+                    continue
                 one = todo.pop()
                 joined = (signed[rest] == signed[one]).sum(axis=1) >= CUT
                 if joined.any():
                     fresh = [int(i) for i in rest[joined]]
-                    a.extend(nodes[i] for i in fresh)
-                    b.extend([nodes[one]] * len(fresh))
+                    group.extend(fresh)
                     todo.extend(fresh)
                     rest = rest[~joined]
+            _star([nodes[i] for i in group], a, b)
         if a:
             yield _edges(a, b)
 
@@ -188,18 +198,21 @@ def _link(width: int, threshold: int):
                 common = intersections(sets)
                 linked = 100 * common >= threshold * (sizes[:, None] + sizes - common)
                 rest = np.arange(1, len(sets))
-                todo = [0]
+                todo, group = [0], [0]
                 while rest.size:
                     if not todo:
+                        _star([nodes[begin + i] for i in group], a, b)
                         todo, rest = [int(rest[0])], rest[1:]
+                        group = [todo[0]]
+                        continue
                     one = todo.pop()
                     joined = linked[one, rest]
                     if joined.any():
                         fresh = [int(i) for i in rest[joined]]
-                        a.extend(nodes[begin + i] for i in fresh)
-                        b.extend([nodes[begin + one]] * len(fresh))
+                        group.extend(fresh)
                         todo.extend(fresh)
                         rest = rest[~joined]
+                _star([nodes[begin + i] for i in group], a, b)
             if a:
                 yield _edges(a, b)
 

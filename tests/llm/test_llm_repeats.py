@@ -8,9 +8,11 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from promptloom.llm import minmax, suffixes
+from promptloom.llm import components as components_module
 from promptloom.llm.components import components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -188,3 +190,56 @@ def test_components(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 9: 1, 10: 10, 11: 10, 6: 6, 7: 6, **{20 + k: 20 for k in range(31)}}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def tasks_of(spark, run):
+    """The result of ``run``, and how many tasks the driver had to keep track of for it."""
+    group = f"tasks-{id(run)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    return out, sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info is not None)
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    rounds = []
+    large = components_module._large
+    monkeypatch.setattr(components_module, "_large", lambda edges: rounds.append(1) or large(edges))
+    stars = [(10 * k + j, 10 * k) for k in range(20) for j in range(1, 9)]
+    found = components(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in found) == sorted(stars + [(10 * k, 10 * k) for k in range(20)])
+    assert not rounds
+    assert components(spark.createDataFrame([(2, 1), (3, 2)], "a long, b long")).filter("root = 1").count() == 3 and rounds
+
+
+def test_rounds_of_components_cost_few_tasks(spark):
+    """With many partitions nearly all tasks of a round read empty parts, and the driver has to keep all of them."""
+    pairs = [(100 * k + j + 1, 100 * k + j) for k in range(9) for j in range(30)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found, n_tasks = tasks_of(spark, lambda: components(spark.createDataFrame(pairs, "a long, b long")).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.node: r.root for r in found} == {100 * k + j: 100 * k for k in range(9) for j in range(31)}
+    assert 0 < n_tasks < 64 * 40
+
+
+def test_linked_groups_are_stars(spark, monkeypatch):
+    """What a cell finds linked needs no round of its own, however the links run inside it."""
+    words = [f"w{k}" for k in range(400)]
+    drift = [" ".join(words[3 * k : 3 * k + 100]) for k in range(20)]  # each is linked with its neighbours only
+    rounds = []
+    large = components_module._large
+    monkeypatch.setattr(components_module, "_large", lambda edges: rounds.append(1) or large(edges))
+    links = minmax._link(4, 80)(iter([pa.record_batch({"cell": [7] * 20, "node": [b"%02d" % (k * 7 % 20) for k in range(20)], "text": drift})]))
+    edges = [tuple(r.values()) for batch in links for r in batch.to_pylist()]
+    assert sorted(edges) == [(b"%02d" % k, b"00") for k in range(1, 20)]
+    found = components(spark.createDataFrame(edges, "a binary, b binary")).collect()
+    assert {bytes(r.root) for r in found} == {b"00"} and len(found) == 20 and not rounds
